@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes and patterns of the dialogue rules.
 WORD = r"[\p{L}\p{N}_\x{C0}-\x{1EF9}]"
@@ -130,12 +131,12 @@ def clause_pause_ms(clause: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
 

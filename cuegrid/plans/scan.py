@@ -79,22 +79,22 @@ def neighbours(
     prev, next = dict(prev or {}), dict(next or {})
     base = seq.with_chunk(df)
     carried = F.struct(*[e.alias(f"p_{a}") for a, e in prev.items()], *[e.alias(f"n_{a}") for a, e in next.items()])
-    base = base.withColumn("_c", carried)
+    base = base.withColumn("_nb_c", carried)
     edges = base.groupBy(*seq.chunk_keys).agg(
-        F.min_by("_c", seq.order_struct()).alias("_first"), F.max_by("_c", seq.order_struct()).alias("_last"),
+        F.min_by("_nb_c", seq.order_struct()).alias("_first"), F.max_by("_nb_c", seq.order_struct()).alias("_last"),
     )
     chain = edges.select(
         *seq.chunk_keys,
-        F.lag("_last").over(seq.chain()).alias("_before"), F.lead("_first").over(seq.chain()).alias("_after"),
+        F.lag("_last").over(seq.chain()).alias("_nb_before"), F.lead("_first").over(seq.chain()).alias("_nb_after"),
     )
     w = seq.local()
-    rows = base.withColumn("_lag", F.lag("_c").over(w)).withColumn("_lead", F.lead("_c").over(w))
+    rows = base.withColumn("_nb_lag", F.lag("_nb_c").over(w)).withColumn("_nb_lead", F.lead("_nb_c").over(w))
     rows = _join_chain(rows, chain, seq)
     for a in prev:
-        rows = rows.withColumn(a, F.when(F.col("_lag").isNotNull(), F.col(f"_lag.p_{a}")).otherwise(F.col(f"_before.p_{a}")))
+        rows = rows.withColumn(a, F.when(F.col("_nb_lag").isNotNull(), F.col(f"_nb_lag.p_{a}")).otherwise(F.col(f"_nb_before.p_{a}")))
     for a in next:
-        rows = rows.withColumn(a, F.when(F.col("_lead").isNotNull(), F.col(f"_lead.n_{a}")).otherwise(F.col(f"_after.n_{a}")))
-    return rows.drop(CHUNK, "_c", "_lag", "_lead", "_before", "_after")
+        rows = rows.withColumn(a, F.when(F.col("_nb_lead").isNotNull(), F.col(f"_nb_lead.n_{a}")).otherwise(F.col(f"_nb_after.n_{a}")))
+    return rows.drop(CHUNK, "_nb_c", "_nb_lag", "_nb_lead", "_nb_before", "_nb_after")
 
 
 @dataclass(frozen=True)

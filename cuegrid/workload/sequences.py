@@ -1 +1,333 @@
-"""Queries."""
+"""Window, scan and fold operators over the ordered cues and words."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cuegrid.functions import text as X
+from cuegrid.functions import timing as M
+from cuegrid.functions import vietnamese as V
+from cuegrid.operators import folds as G
+from cuegrid.operators import sequence as S
+from cuegrid.plans.scan import Sequence, neighbours
+from cuegrid.plans.store import cut
+from cuegrid.workload import views
+from cuegrid.workload.registry import query
+from cuegrid.workload.scalars import pause_sql, predict_sql, strip_sql
+
+
+def ids(column: str = "cue_ids") -> Column:
+    return F.array_join(F.transform(column, lambda i: i.cast("string")), ",").alias(column)
+
+
+@query("repair_fragment_speakers", "marked", r"""recursive_rows as (select *, row_number() over w i,
+    coalesce(length(regexp_replace(content, '[^\p{L}\p{N}]', '', 'g')) between 1 and 2 and start_ms - lag(end_ms) over w <= 180, false) frag
+    from marked window w as (partition by media_id order by cue_id)),
+  walk as (select media_id, cue_id, i, speaker fixed from recursive_rows where i = 1
+    union all select r.media_id, r.cue_id, r.i, case when r.frag and w.fixed is not null then w.fixed else r.speaker end
+    from walk w join recursive_rows r on r.media_id = w.media_id and r.i = w.i + 1)
+  select media_id, cue_id, fixed speaker_fixed from walk""", recursive=True)
+def repair_fragment_speakers(spark, sf_dir):
+    return S.repair_fragment_speakers(views.marked(spark, sf_dir)).select("media_id", "cue_id", "speaker_fixed")
+
+
+@query("smooth_speaker_flips", "words", """o as (select *, row_number() over w i, lag(speaker) over w p, lead(speaker) over w n,
+    from words window w as (partition by media_id order by pos)),
+  c as (select *, coalesce(p is not null and p = n and speaker is distinct from p and end_ms - start_ms < 350, false) cand from o),
+  r as (select *, sum(case when cand then 0 else 1 end) over (partition by media_id order by pos) run from c)
+  select media_id, pos, case when cand and row_number() over (partition by media_id, run, cand order by pos) % 2 = 1
+    then p else speaker end speaker_fixed from r""")
+def smooth_speaker_flips(spark, sf_dir):
+    return S.smooth_speaker_flips(views.words(spark, sf_dir)).select("media_id", "pos", "speaker_fixed")
+
+
+@query("group_words", "words", """o as (select *, row_number() over (partition by media_id order by pos) i from words),
+  walk as (select media_id, i, pos grp, start_ms opened, end_ms reached, length(word) chars,
+      case when speaker = 'assistant' then 1 else 0 end na, case when speaker = 'user' then 1 else 0 end nu,
+      case when speaker = 'system' then 1 else 0 end ns from o where i = 1
+    union all
+    select media_id, i, case when brk then pos else grp end, case when brk then start_ms else opened end, end_ms,
+      case when brk then 0 else chars end + length(word),
+      case when brk then 0 else na end + case when speaker = 'assistant' then 1 else 0 end,
+      case when brk then 0 else nu end + case when speaker = 'user' then 1 else 0 end,
+      case when brk then 0 else ns end + case when speaker = 'system' then 1 else 0 end
+    from (select o.media_id, o.i, o.pos, o.word, o.start_ms, o.end_ms, o.speaker, w.grp, w.opened, w.reached, w.chars, w.na, w.nu, w.ns,
+        o.start_ms - w.reached > 450 or o.end_ms - w.opened > 4500 or w.chars >= 18 or coalesce(o.end_ms - o.start_ms >= 350
+          and o.speaker <> case when w.na + w.nu + w.ns = 0 then null when w.na >= w.ns and w.na >= w.nu then 'assistant'
+            when w.ns >= w.nu then 'system' else 'user' end, false) brk
+      from walk w join o on o.media_id = w.media_id and o.i = w.i + 1)),
+  last_row as (select media_id, grp, max_by(case when na + nu + ns = 0 then null when na >= ns and na >= nu then 'assistant'
+      when ns >= nu then 'system' else 'user' end, i) speaker_x, max(na) na, max(nu) nu, max(ns) ns from walk group by all)
+  select g.media_id, row_number() over (partition by g.media_id order by g.grp) cue_id, g.start_ms, g.end_ms, g.content,
+    case when l.na + l.nu + l.ns = 0 then null when l.na >= l.ns and l.na >= l.nu then 'assistant' when l.ns >= l.nu then 'system' else 'user' end speaker
+  from (select w.media_id, w.grp, min_by(o.start_ms, o.pos) start_ms, max_by(o.end_ms, o.pos) end_ms,
+      trim(string_agg(o.word, '' order by o.pos)) as content from walk w join o using (media_id, i) group by all) g
+  join last_row l on l.media_id = g.media_id and l.grp = g.grp""", recursive=True)
+def group_words(spark, sf_dir):
+    g = G.group_words(G.clean_words(views.words(spark, sf_dir)))
+    return g.select("media_id", "cue_id", "start_ms", "end_ms", "content", "speaker")
+
+
+def bounded_sql(gap: int, span: str, chars: int) -> str:
+    return f"""o as (select *, row_number() over (partition by media_id order by cue_id) i from base),
+  walk as (select media_id, i, cue_id grp, speaker voice, start_ms opened, end_ms reached, length(content) chars, done, tail from o where i = 1
+    union all select media_id, i, case when brk then cue_id else grp end, case when brk then speaker else voice end,
+      case when brk then start_ms else opened end, end_ms, case when brk then 0 else chars end + length(content), done, tail
+    from (select o.media_id, o.i, o.cue_id, o.speaker, o.start_ms, o.end_ms, o.content, o.done, o.tail, w.grp, w.voice, w.opened, w.chars,
+        o.speaker is distinct from w.voice or w.done or o.start_ms - w.reached > {gap}
+        or o.end_ms - w.opened > {span} or w.chars + length(o.content) > {chars} brk
+      from walk w join o on o.media_id = w.media_id and o.i = w.i + 1))"""
+
+
+ONE_SPACED = "string_agg(" + strip_sql(r"regexp_replace(o.content, '\s+', ' ', 'g')") + ", ' ' order by o.i)"
+
+
+@query("dialogue_units", "marked", rf"""base as (select *, regexp_matches({strip_sql('content')}, '[.!?。！？][)"”’]?\s*$') done, false tail from marked),
+  {bounded_sql(650, '8000', 120)},
+  units as (select w.media_id, w.grp unit_id, min_by(w.voice, w.i) speaker, min_by(o.start_ms, o.i) start_ms, max_by(o.end_ms, o.i) end_ms,
+    {strip_sql(ONE_SPACED)} source_text,
+    string_agg(o.cue_id, ',' order by o.i) cue_ids from walk w join o using (media_id, i) group by all)
+  select * exclude (g), 1 + sum(case when g >= 2200 then 1 else 0 end) over (partition by media_id order by unit_id)::bigint scene_id
+    from (select *, start_ms - lag(end_ms) over (partition by media_id order by unit_id) g from units)""", recursive=True)
+def dialogue_units(spark, sf_dir):
+    u = G.dialogue_units(views.marked(spark, sf_dir))
+    return u.select("media_id", "unit_id", "speaker", "start_ms", "end_ms", "source_text", ids(), "scene_id")
+
+
+@query("build_utterances", "marked", rf"""base as (select *, not tail and regexp_matches(bare, '[.!?。！？]["”’)]?\s*$') done
+    from (select *, {strip_sql('content')} bare, regexp_matches({strip_sql('content')}, '(\.{{3,}}|…+)\s*$') tail from marked)),
+  {bounded_sql(550, 'case when w.tail then 10000 else 6500 end', 90)}
+  select w.media_id, w.grp utterance_id, min_by(w.voice, w.i) speaker, min_by(o.start_ms, o.i) start_ms, max_by(o.end_ms, o.i) end_ms,
+    {strip_sql(r"regexp_replace(string_agg(o.content, ' ' order by o.i), '\s*(\.{3,}|…+)\s*', ' ', 'g')")} as content,
+    string_agg(o.cue_id, ',' order by o.i) cue_ids from walk w join o using (media_id, i) group by all""", recursive=True)
+def build_utterances(spark, sf_dir):
+    u = G.build_utterances(views.marked(spark, sf_dir))
+    return u.select("media_id", "utterance_id", "speaker", "start_ms", "end_ms", "content", ids())
+
+
+@query("scene_ids", "cues", """g as (select media_id, cue_id, start_ms - lag(end_ms) over (partition by media_id order by cue_id) g from cues)
+  select media_id, cue_id, 1 + sum(case when g >= 2200 then 1 else 0 end) over (partition by media_id order by cue_id)::bigint scene_id from g""")
+def scene_ids(spark, sf_dir):
+    return S.scene_ids(views.cues(spark, sf_dir)).select("media_id", "cue_id", "scene_id")
+
+
+PHRASE_SQL = rf"""n as (select *, lag(end_ms) over w p_end, lag(speaker) over w p_speaker,
+    lag(regexp_matches({strip_sql('content')}, '[.!?…]["”’)]?\s*$')) over w p_done from marked window w as (partition by media_id order by cue_id)),
+  phrased as (select *, sum(case when p_end is null or p_done or (p_speaker <> speaker) is true or start_ms - p_end > 800 then 1 else 0 end)
+    over (partition by media_id order by cue_id) phrase from n),
+  utterances as (select media_id, phrase, min(cue_id) utterance_id, min_by(start_ms, cue_id) start_ms, max_by(end_ms, cue_id) end_ms,
+    arg_min_null(speaker, cue_id) speaker, string_agg({strip_sql('content')}, ' ' order by cue_id) as content,
+    string_agg(cue_id, ',' order by cue_id) cue_ids from phrased group by all)"""
+
+
+@query("sentence_utterances", "marked", PHRASE_SQL + """ select media_id, utterance_id, start_ms, end_ms, speaker, content, cue_ids from utterances""")
+def sentence_utterances(spark, sf_dir):
+    u = S.sentence_utterances(views.marked(spark, sf_dir))
+    return u.select("media_id", "utterance_id", "start_ms", "end_ms", "speaker", "content", ids())
+
+
+HARD_SQL = """hard as (select *, coalesce(lag(speaker) over w <> speaker, false) or coalesce(start_ms - lag(end_ms) over w >= 2800, false) hard_break
+    from marked window w as (partition by media_id order by cue_id))"""
+
+
+@query("hard_breaks", "marked", HARD_SQL + " select media_id, cue_id from hard where hard_break")
+def hard_breaks(spark, sf_dir):
+    return S.hard_breaks(views.marked(spark, sf_dir)).where("hard_break").select("media_id", "cue_id")
+
+
+@query("coalesce_speech", "marked", HARD_SQL + rf""", o as (select *, row_number() over (partition by media_id order by cue_id) i,
+    regexp_matches({strip_sql('source')}, '[。！？!?]["”’)]?\s*$') ended, {strip_sql('source')} src from hard),
+  walk as (select media_id, i, cue_id grp, start_ms opened, end_ms reached, speaker voice, ended, src, content said from o where i = 1
+    union all select media_id, i, case when brk then cue_id else grp end, case when brk then start_ms else opened end, end_ms, speaker, ended, src,
+      case when brk then content else {strip_sql(r"case when regexp_matches(p_src, '[。！？!?]\s*$') then b when regexp_matches(p_src, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(content, '^\s+', '')")} end
+    from (select o.media_id, o.i, o.cue_id, o.start_ms, o.end_ms, o.speaker, o.ended, o.src, o.content, w.grp, w.opened, w.src p_src,
+        regexp_replace(w.said, '\s+$', '') b,
+        regexp_replace(regexp_replace(regexp_replace(w.said, '\s+$', ''), '[.!?。！？]+\s*$', ''), '\s+$', '') bare,
+        o.hard_break or coalesce(w.voice <> o.speaker, false) or w.ended or o.start_ms - w.reached > 950
+        or o.end_ms - w.opened > 14000 or length(w.said) + length(o.content) > 220 brk
+      from walk w join o on o.media_id = w.media_id and o.i = w.i + 1))
+  select w.media_id, w.grp utterance_id, min_by(o.start_ms, o.i) start_ms, max_by(o.end_ms, o.i) end_ms, max_by(w.said, o.i) full_text,
+    string_agg(o.cue_id, ',' order by o.i) cue_ids from walk w join o using (media_id, i) group by all""", recursive=True)
+def coalesce_speech(spark, sf_dir):
+    c = S.hard_breaks(views.marked(spark, sf_dir)).select(
+        "media_id", F.col("cue_id").alias("group_id"), F.array("cue_id").alias("cue_ids"), F.col("content").alias("full_text"),
+        "start_ms", "end_ms", F.col("speaker").alias("first_speaker"), F.col("speaker").alias("last_speaker"),
+        F.col("source").alias("source_last"), "hard_break")
+    u = G.coalesce_speech(c)
+    return u.select("media_id", "utterance_id", "start_ms", "end_ms", "full_text", ids())
+
+
+@query("split_hard", "marked", HARD_SQL + """, g as (select *, 6 * (cue_id // 6) utt from hard),
+  p as (select *, sum(case when hard_break then 1 else 0 end) over (partition by media_id, utt order by cue_id)
+    - max(case when rn = 1 and hard_break then 1 else 0 end) over (partition by media_id, utt) + 1 part
+    from (select *, row_number() over (partition by media_id, utt order by cue_id) rn from g))
+  select media_id, utt utterance_id, cast(part as bigint) part, string_agg(content, ' ' order by cue_id) full_text,
+    string_agg(cue_id, ',' order by cue_id) cue_ids from p group by all""")
+def split_hard(spark, sf_dir):
+    c = S.hard_breaks(views.marked(spark, sf_dir)).select(
+        "media_id", (F.floor(F.col("cue_id") / 6) * 6).alias("utterance_id"), "cue_id", F.col("content").alias("line"), "hard_break")
+    return S.split_at_hard_breaks(c).select("media_id", "utterance_id", "part", "full_text", ids())
+
+
+@query("ocr_sessionize", "ocr_samples", """n as (select *, coalesce(lag(text) over w = text and (ts_ms - 300) - (lag(ts_ms) over w + 300) <= 900, false) same
+    from ocr_samples window w as (partition by media_id order by seq)),
+  s as (select *, sum(case when same then 0 else 1 end) over (partition by media_id order by seq) session from n)
+  select media_id, cast(session as bigint) as session, greatest(0, min(ts_ms) - 300) start_ms, max(ts_ms) + 300 end_ms, min(text) as text,
+    sum(score_pct)::bigint score_sum, count(*) samples from s group by media_id, session""")
+def ocr_sessionize(spark, sf_dir):
+    return S.ocr_sessions(views.ocr_samples(spark, sf_dir), views.EVENTS)
+
+
+@query("ocr_timing", "ranked_events", """packed as (select media_id, seq, 300 * rank + seq % 500 start_ms, 300 * rank + seq % 500 + seq % 700 end_ms from ranked_events),
+  ranked as (select *, row_number() over (partition by media_id order by start_ms, end_ms, seq) k from packed),
+  walk as (select media_id, seq, k, start_ms s, greatest(end_ms, start_ms + 350) e from ranked where k = 1
+    union all select r.media_id, r.seq, r.k, greatest(r.start_ms, w.e + 20),
+      case when r.start_ms < w.e + 20 then greatest(r.end_ms, r.start_ms + 350, w.e + 20 + 350) else greatest(r.end_ms, r.start_ms + 350) end
+    from walk w join ranked r on r.media_id = w.media_id and r.k = w.k + 1)
+  select media_id, seq, s timed_start_ms, e timed_end_ms from walk""", recursive=True)
+def ocr_timing(spark, sf_dir):
+    e = views.ranked_events(spark, sf_dir)
+    start = 300 * F.col("rank") + F.col("seq") % 500
+    c = e.select("media_id", F.col("seq").alias("cue_id"), start.alias("start_ms"), (start + F.col("seq") % 700).alias("end_ms"))
+    t = S.separate_spans(c)
+    return t.select("media_id", F.col("cue_id").alias("seq"), "timed_start_ms", "timed_end_ms")
+
+
+@query("merge_intervals", "cues", """p as (select media_id, cue_id, greatest(0, start_ms - 120) s, end_ms + 180 e from cues),
+  r as (select *, max(e) over (partition by media_id order by cue_id rows between unbounded preceding and 1 preceding) reach from p),
+  n as (select *, sum(case when reach is null or s - reach > 350 then 1 else 0 end) over (partition by media_id order by cue_id) span_id from r)
+  select media_id, cast(span_id as bigint) span_id, min(s) start_ms, max(e) end_ms from n group by media_id, span_id""")
+def merge_intervals(spark, sf_dir):
+    return S.merge_intervals(views.cues(spark, sf_dir))
+
+
+PLAN_SQL = PHRASE_SQL + f""",
+  led as (select u.*, coalesce(lead(start_ms) over (partition by media_id order by utterance_id), media_end_ms) nxt
+    from utterances u join (select media_id, max(end_ms) + 1500 media_end_ms from marked group by media_id) using (media_id)),
+  plans as (select media_id, utterance_id, phrase, content, start_ms, end_ms, greatest(250, end_ms - start_ms) target_ms,
+    greatest(250, end_ms - start_ms, nxt - start_ms) deadline_ms, {predict_sql('content')} predicted_ms,
+    case when contains(content, '!') then 'intense' when contains(content, '?') then 'questioning'
+      when contains(content, '…') or contains(content, '...') then 'hesitant' else 'neutral' end emotion,
+    {pause_sql('content')} pause_after_ms from led)"""
+
+
+def plans(spark, sf_dir: str) -> DataFrame:
+    c = views.marked(spark, sf_dir)
+    media_end = c.groupBy("media_id").agg((F.max("end_ms") + 1500).alias("media_end_ms"))
+    return S.speech_plans(cut(S.sentence_utterances(c)), V.spoken_text(F.col("content")), media_end)
+
+
+@query("speech_plan", "marked", PLAN_SQL + """ select media_id, utterance_id, target_ms, deadline_ms, predicted_ms, emotion, pause_after_ms,
+    cast(floor(10000 * least(1.12::double, greatest(0.94::double, predicted_ms / target_ms))) as bigint) pace_e4 from plans""")
+def speech_plan(spark, sf_dir):
+    p = plans(spark, sf_dir)
+    return p.select("media_id", "utterance_id", "target_ms", "deadline_ms", "predicted_ms", "emotion", "pause_after_ms",
+                    F.floor(10_000 * F.col("pace")).cast("long").alias("pace_e4"))
+
+
+def with_clip(p: DataFrame) -> DataFrame:
+    """Predicted clip length stands in for the synthesised one."""
+    window = M.speech_window_ms(F.col("target_ms"), F.col("deadline_ms"), F.col("pause_before_ms"), F.col("pause_after_ms"))
+    return p.withColumn("window_ms", window).withColumn("fitted_ms", M.fitted_ms(F.col("predicted_ms"), F.greatest(F.lit(1), F.col("window_ms"))))
+
+
+SCHEDULE_SQL = PLAN_SQL + """,
+  windows as (select *, greatest(target_ms, least(deadline_ms - pause_after_ms, cast(round_even(target_ms * 1.12::double, 0) as bigint) + 220)) window_ms from plans),
+  fitted as (select *, case when predicted_ms / window_ms <= 1.03::double then predicted_ms
+    else cast(round_even(predicted_ms / least(1.12::double, predicted_ms / window_ms), 0) as bigint) end fitted_ms,
+    row_number() over (partition by media_id order by utterance_id) k from windows),
+  walk as (select media_id, k, start_ms s, start_ms + fitted_ms + pause_after_ms cursor_ms from fitted where k = 1
+    union all select f.media_id, f.k, greatest(f.start_ms, w.cursor_ms), greatest(f.start_ms, w.cursor_ms) + f.fitted_ms + f.pause_after_ms
+    from walk w join fitted f on f.media_id = w.media_id and f.k = w.k + 1),
+  scheduled as (select f.*, w.s scheduled_start_ms, greatest(0, w.s + f.fitted_ms - (f.start_ms + f.deadline_ms)) overflow_ms
+    from fitted f join walk w using (media_id, k))"""
+
+
+def scheduled(spark, sf_dir: str) -> DataFrame:
+    return S.schedule(cut(with_clip(plans(spark, sf_dir))))
+
+
+@query("overrunning_sentences", "marked", SCHEDULE_SQL + """ select media_id, utterance_id, scheduled_start_ms, overflow_ms from scheduled
+  where overflow_ms > 0""", recursive=True)
+def overrunning_sentences(spark, sf_dir):
+    return scheduled(spark, sf_dir).where("overflow_ms > 0").select("media_id", "utterance_id", "scheduled_start_ms", "overflow_ms")
+
+
+@query("schedule", "marked", SCHEDULE_SQL + """ select media_id, utterance_id, window_ms, fitted_ms, scheduled_start_ms, overflow_ms,
+  scheduled_start_ms - start_ms shift_ms from scheduled""", recursive=True)
+def schedule(spark, sf_dir):
+    return scheduled(spark, sf_dir).select("media_id", "utterance_id", "window_ms", "fitted_ms", "scheduled_start_ms", "overflow_ms", "shift_ms")
+
+
+@query("retime", "marked", PHRASE_SQL + f""",
+  w as (select media_id, phrase, cue_id, {predict_sql('content')} w from phrased),
+  s as (select *, sum(w) over o upto, sum(w) over p total, count(*) over p n, max(cue_id) over p last_id,
+      min(cue_id) over p * 3000 base, greatest(count(*) over p, 700 + 37 * sum(w) over p // 50) span
+    from w window p as (partition by media_id, phrase), o as (partition by media_id, phrase order by cue_id))
+  select media_id, cue_id, base + cast(round_even(span * (upto - w) / total, 0) as bigint) aligned_start_ms,
+    greatest(base + cast(round_even(span * (upto - w) / total, 0) as bigint) + 1,
+      case when cue_id = last_id then base + span else base + cast(round_even(span * upto / total, 0) as bigint) end)::bigint aligned_end_ms from s""")
+def retime(spark, sf_dir):
+    c = S.phrase_ids(views.marked(spark, sf_dir)).select("media_id", "phrase", "cue_id", "content")
+    w = F.greatest(F.lit(1), M.predict_ms(F.col("content")))
+    clip = c.groupBy("media_id", "phrase").agg(
+        (F.min("cue_id") * 3000).alias("scheduled_start_ms"), (700 + F.floor(37 * F.sum(w) / 50)).alias("fitted_ms"))
+    lines = cut(c.join(clip, ["media_id", "phrase"]))
+    return S.retime(lines).select("media_id", "cue_id", "aligned_start_ms", "aligned_end_ms")
+
+
+@query("utterance_spans", "marked", PHRASE_SQL + """,
+  g as (select *, start_ms - lag(end_ms) over (partition by media_id, phrase order by cue_id) gap from phrased)
+  select media_id, min(cue_id) utterance_id, max_by(end_ms, cue_id) - min_by(start_ms, cue_id) source_span_ms,
+    greatest(0, coalesce(max(gap), 0)) max_internal_gap_ms, count(*) num_source_cues from g group by media_id, phrase""")
+def utterance_spans(spark, sf_dir):
+    return S.phrase_gaps(S.phrase_ids(views.marked(spark, sf_dir))).drop("phrase")
+
+
+@query("font_step_limit", "cues", """o as (select media_id, cue_id, 18 + cue_id * 37 % 17 want, row_number() over (partition by media_id order by cue_id) i from cues),
+  walk as (select media_id, cue_id, i, want size from o where i = 1
+    union all select o.media_id, o.cue_id, o.i, least(o.want, w.size + 2) from walk w join o on o.media_id = w.media_id and o.i = w.i + 1)
+  select media_id, cue_id, size font_size from walk""", recursive=True)
+def font_step_limit(spark, sf_dir):
+    c = views.cues(spark, sf_dir).select("media_id", "cue_id", (18 + F.col("cue_id") * 37 % 17).alias("want"))
+    return S.limit_font_steps(c, "want").select("media_id", "cue_id", "font_size")
+
+
+@query("translation_batches", "cues", """select media_id, cue_id, (row_number() over (partition by media_id order by cue_id) - 1) // 30 batch_no from cues""")
+def translation_batches(spark, sf_dir):
+    return S.translation_batches(views.cues(spark, sf_dir)).select("media_id", "cue_id", "batch_no")
+
+
+@query("speaker_alias", "marked", """f as (select media_id, speaker, min(cue_id) f from marked where speaker is not null group by all)
+  select media_id, speaker, 'character_' || row_number() over (partition by media_id order by f) alias from f""")
+def speaker_alias(spark, sf_dir):
+    return S.speaker_aliases(views.marked(spark, sf_dir)).select("media_id", "speaker", "alias")
+
+
+@query("adjacent_repetition", "cues", f"""m as (select media_id, cue_id, case when cue_id % 5 = 1 then ' Chờ Đã ' when cue_id % 5 = 2 then 'chờ đã'
+    when cue_id % 5 = 3 then 'CHỜ ĐÃ' else content end as text from cues),
+  n as (select *, lag(lower({strip_sql('text')})) over (partition by media_id order by cue_id) p from m)
+  select media_id, cue_id from n where lower({strip_sql('text')}) = p and length({strip_sql('text')}) > 4""")
+def adjacent_repetition(spark, sf_dir):
+    k = F.col("cue_id") % 5
+    text = F.when(k == 1, " Chờ Đã ").when(k == 2, "chờ đã").when(k == 3, "CHỜ ĐÃ").otherwise(F.col("content"))
+    return S.adjacent_repetitions(views.cues(spark, sf_dir).withColumn("content", text)).select("media_id", "cue_id")
+
+
+@query("sample_grid", "cues", """d as (select media_id, max(end_ms) * (1 + media_id % 25) d from cues group by media_id),
+  n as (select media_id, d, cast(least(3600, greatest(1, round_even(d / 1000 * case when d <= 120000 then 4 when d <= 900000 then 2 else 1 end, 0))) as bigint) n from d),
+  i as (select *, unnest(range(n)) sample_no from n)
+  select media_id, sample_no, least(d, (2 * sample_no + 1) * d // (2 * n)) ts_ms from i""")
+def sample_grid(spark, sf_dir):
+    d = views.cues(spark, sf_dir).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
+    return S.sample_grid(d.withColumn("duration_ms", F.col("duration_ms") * (1 + F.col("media_id") % 25)))
+
+
+@query("refinement_grid", "ocr_cues", """l as (select * from ocr_cues where coalesce(score, 1.0) < 0.88),
+  s as (select *, unnest([0.45::double, 0.39::double, 0.33::double]) share from l), i as (select *, unnest(range(7)) sample_no from s)
+  select media_id, cue_id, cast(share * 100 as int) share_pct, sample_no, cast(round_even((start_ms + end_ms) / 2
+    - greatest(400, end_ms - start_ms) * share + sample_no * greatest(400, end_ms - start_ms) / 6, 0) as bigint) ts_ms from i""")
+def refinement_grid(spark, sf_dir):
+    low = views.ocr_cues(spark, sf_dir).where(F.coalesce("score", F.lit(1.0)) < 0.88)
+    return S.refinement_grid(low).select("media_id", "cue_id", F.bround(F.col("share") * 100).cast("int").alias("share_pct"), "sample_no", "ts_ms")

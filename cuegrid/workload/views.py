@@ -64,6 +64,26 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "cues", "conversations", lambda: _build_cues(spark, sf_dir))
 
 
+# Endings that give the lines every kind of punctuation the rules look at.
+LINE_TAILS = ("", ".", "?", "!", ",", ";", "…", "...", '."', " ")
+SOURCE_TAILS = ("吗", "？", "。", "，", "！", "…", "", "...", "呢")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues with varied endings, fragments and blanks, and a source line for each."""
+    c = cues(spark, sf_dir)
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("cue_id") % by + 1).cast("int"))
+    line = (
+        F.when(F.col("cue_id") % 15 == 0, F.substring("content", 1, 2)).when(F.col("cue_id") % 16 == 0, "")
+        .when(F.col("cue_id") % 18 == 0, " -- ").otherwise(F.concat("content", pick(LINE_TAILS, 10)))
+    )
+    return c.select(
+        "media_id", "cue_id", "start_ms", "end_ms",
+        F.when(F.col("cue_id") % 21 == 4, F.lit(None).cast("string")).otherwise(F.col("speaker")).alias("speaker"),
+        line.alias("content"), F.concat(F.lit("原话"), pick(SOURCE_TAILS, 9)).alias("source"),
+    )
+
+
 def asr_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second track over the same media, shifted so that spans cross."""
     c = cues(spark, sf_dir)
@@ -204,6 +224,11 @@ DUCK: dict[str, tuple[tuple[str, ...], str]] = {
   cues as materialized (select conv_id media_id, cue_id, speaker, content, n_chars,
     cast(sum(dur_ms + gap_ms) over (partition by conv_id order by cue_id) - dur_ms as bigint) start_ms,
     cast(sum(dur_ms + gap_ms) over (partition by conv_id order by cue_id) as bigint) end_ms from gaps)"""),
+    "marked": (("cues",), """
+  marked as (select media_id, cue_id, start_ms, end_ms, case when cue_id % 21 = 4 then null else speaker end speaker,
+    case when cue_id % 15 = 0 then substr(content, 1, 2) when cue_id % 16 = 0 then '' when cue_id % 18 = 0 then ' -- '
+      else content || ['', '.', '?', '!', ',', ';', '…', '...', '."', ' '][cue_id % 10 + 1] end as content,
+    '原话' || ['吗', '？', '。', '，', '！', '…', '', '...', '呢'][cue_id % 9 + 1] source from cues)"""),
     "asr_track": (("cues",), """
   asr_track as (select media_id, cue_id asr_id, start_ms + (cue_id * 37) % 7 * 220 - 500 asr_start,
     end_ms + (cue_id * 53) % 5 * 260 - 450 asr_end, case when cue_id % 9 = 0 then '  ' else 'heard ' || content end asr_text,
