@@ -262,13 +262,21 @@ def usage_ledger(tokens: DataFrame) -> DataFrame:
     pro = F.lower("model").contains("pro")
 
     def price(i: int) -> Column:
-        return F.when(pro, PRO_PRICE[i]).otherwise(BASE_PRICE[i])
+        """USD per million tokens, as whole pico-dollars per token: sums stay exact."""
+        return F.when(pro, round(PRO_PRICE[i] * 1_000_000)).otherwise(round(BASE_PRICE[i] * 1_000_000)).cast("long")
 
-    usd = F.when(F.col("provider") == PRICED_PROVIDER, F.col("hit") * price(0) + F.col("miss") * price(1) + F.col("completion") * price(2))
-    return m.withColumn("_usd", F.coalesce(usd, F.lit(0.0))).groupBy("media_id").agg(
+    cost = F.when(F.col("provider") == PRICED_PROVIDER, F.col("hit") * price(0) + F.col("miss") * price(1) + F.col("completion") * price(2))
+    led = m.withColumn("_cost", F.coalesce(cost, F.lit(0))).groupBy("media_id").agg(
         *[F.sum(c).alias(c) for c in ("requests", "prompt", "completion", "hit", "miss", "total")],
-        F.round(F.sum("_usd") / 1_000_000, 6).alias("cost_usd"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "requests")))).alias("models"))
+        F.sum("_cost").alias("cost_pico_usd"), F.array_sort(F.collect_list(F.struct("model", "provider", "requests"))).alias("_m"))
+    names = F.array_distinct(F.transform("_m", lambda x: x["model"]))
+
+    def count(name: Column) -> Column:
+        same = F.filter("_m", lambda x: x["model"] == name)
+        return F.aggregate(same, F.lit(0).cast("long"), lambda n, x: n + x["requests"])
+
+    return led.withColumn("cost_usd", F.round(F.col("cost_pico_usd") / 10**12, 6)).withColumn(
+        "models", F.map_from_arrays(names, F.transform(names, count))).drop("_m")
 
 
 def valid_artifacts(wanted: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:

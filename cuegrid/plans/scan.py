@@ -29,7 +29,8 @@ FIRST_TO_BEFORE = (Window.unboundedPreceding, -1)
 class Sequence:
     """Keys, total order inside a key, and the chunk width in order units.
 
-    The first order column must be an integer; it decides the chunk.
+    The first order column must be an integer; it decides the chunk. Keys and
+    order are not null.
     """
 
     keys: tuple[str, ...]
@@ -59,14 +60,8 @@ class Sequence:
 
 
 def _join_chain(rows: DataFrame, chain: DataFrame, seq: Sequence) -> DataFrame:
-    """Null-safe on the keys, so rows with an unknown key are kept."""
-    renamed = chain
-    on = None
-    for name in seq.chunk_keys:
-        renamed = renamed.withColumnRenamed(name, f"_k_{name}")
-        test = F.col(name).eqNullSafe(F.col(f"_k_{name}")) if name != CHUNK else F.col(name) == F.col(f"_k_{name}")
-        on = test if on is None else on & test
-    return rows.join(renamed, on, "left").drop(*[f"_k_{n}" for n in seq.chunk_keys])
+    """Plain equality, so the join reuses the hash partitioning of the local window."""
+    return rows.join(chain, seq.chunk_keys, "left")
 
 
 def neighbours(
@@ -99,7 +94,11 @@ def neighbours(
 
 @dataclass(frozen=True)
 class Run:
-    """One running value: op in sum, max, min, first, last (the last two skip nulls)."""
+    """One running value: op in sum, max, min, first, last (the last two skip nulls).
+
+    first and last follow the scan, so "last" scanned backward is the nearest
+    value at or after the row.
+    """
 
     op: str
     value: Column

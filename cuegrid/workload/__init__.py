@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "scalars", "sequences", "overlaps", "rollups", "reconcile", "catalogue", "quality", "regions", "streams")
+MODULES = ("tables", "scalars", "sequences", "overlaps", "catalogue", "reconcile", "quality", "regions", "sources", "streams")
 
 
 def load():
