@@ -141,6 +141,11 @@ def nfc_folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    return text.map(str.casefold, na_action="ignore")
+
+
 def lexical_key(text: Column) -> Column:
     """Words of the text, insensitive to case, composition and punctuation."""
     return F.array_join(F.regexp_extract_all(nfc_folded(text), F.lit(f"({WORD}+)"), F.lit(1)), " ")
