@@ -98,15 +98,22 @@ def track_envelopes(tracks: DataFrame, step_ms: int, frame_width: int, frame_hei
     Percentiles count distinct pixel values, which the frame size bounds.
     media may give (media_id, duration_ms) to end regions with the video.
     """
+    def edge_at(pixel: Column, share: float) -> Column:
+        # Percentiles of whole pixels have two decimals; the rest is float noise.
+        return F.round(F.percentile(pixel, F.lit(share)), 6)
+
+    def whole(pixel: Column) -> Column:
+        return rounded(F.round(pixel, 6))
+
+    right_x, low_y = F.col("x") + F.col("w"), F.col("y") + F.col("h")
     t = tracks.groupBy("media_id", "track_id").agg(
-        F.percentile("x", F.lit(0.05)).alias("x1"), F.percentile("y", F.lit(0.05)).alias("y1"),
-        F.percentile(F.col("x") + F.col("w"), F.lit(0.95)).alias("x2"), F.percentile(F.col("y") + F.col("h"), F.lit(0.95)).alias("y2"),
+        edge_at(F.col("x"), 0.05).alias("x1"), edge_at(F.col("y"), 0.05).alias("y1"), edge_at(right_x, 0.95).alias("x2"), edge_at(low_y, 0.95).alias("y2"),
         F.sum("score_pct").alias("score"), F.count("*").alias("n"), F.count_distinct("ts_ms").alias("samples"),
         F.min("ts_ms").alias("t1"), F.max("ts_ms").alias("t2")).where("samples >= 2")
     pad_x = F.greatest(F.lit(12.0), (F.col("x2") - F.col("x1")) * 0.08)
     pad_y = F.greatest(F.lit(8.0), (F.col("y2") - F.col("y1")) * 0.30)
-    left, top = F.greatest(F.lit(0), rounded(F.col("x1") - pad_x)), F.greatest(F.lit(0), rounded(F.col("y1") - pad_y))
-    right, bottom = F.least(F.lit(frame_width), rounded(F.col("x2") + pad_x)), F.least(F.lit(frame_height), rounded(F.col("y2") + pad_y))
+    left, top = F.greatest(F.lit(0), whole(F.col("x1") - pad_x)), F.greatest(F.lit(0), whole(F.col("y1") - pad_y))
+    right, bottom = F.least(F.lit(frame_width), whole(F.col("x2") + pad_x)), F.least(F.lit(frame_height), whole(F.col("y2") + pad_y))
     mean = F.col("score") / 100 / F.col("n")
     confidence = F.least(F.lit(0.99), 0.55 * mean + 0.45 * F.least(F.lit(1.0), F.col("samples") / 4))
     edge = rounded(F.lit(step_ms * 0.65))

@@ -43,11 +43,11 @@ def box_tracks(spark, sf_dir):
 
 
 @query("track_envelope", "boxes", """t as (select *, ts_ms // 2000 track from boxes),
-  e as (select media_id, track, quantile_cont(x::double, 0.05) x1, quantile_cont(y::double, 0.05) y1, quantile_cont((x + w)::double, 0.95) x2, quantile_cont((y + h)::double, 0.95) y2,
+  e as (select media_id, track, round(quantile_cont(x::double, 0.05), 6) x1, round(quantile_cont(y::double, 0.05), 6) y1, round(quantile_cont((x + w)::double, 0.95), 6) x2, round(quantile_cont((y + h)::double, 0.95), 6) y2,
     sum(score_pct) score, count(*) n, count(distinct ts_ms) samples, min(ts_ms) t1, max(ts_ms) t2 from t group by all having count(distinct ts_ms) >= 2),
   p as (select *, greatest(12, (x2 - x1) * 0.08::double) px, greatest(8, (y2 - y1) * 0.30::double) py from e),
-  q as (select *, greatest(0, cast(round_even(x1 - px, 0) as bigint)) l, greatest(0, cast(round_even(y1 - py, 0) as bigint)) tp,
-    least(1280, cast(round_even(x2 + px, 0) as bigint)) r, least(720, cast(round_even(y2 + py, 0) as bigint)) bt from p)
+  q as (select *, greatest(0, cast(round_even(round(x1 - px, 6), 0) as bigint)) l, greatest(0, cast(round_even(round(y1 - py, 6), 0) as bigint)) tp,
+    least(1280, cast(round_even(round(x2 + px, 6), 0) as bigint)) r, least(720, cast(round_even(round(y2 + py, 6), 0) as bigint)) bt from p)
   select media_id, track region_id, l x, tp y, r - l width, bt - tp height,
     cast(round(round(least(0.99::double, 0.55::double * (score / 100 / n) + 0.45::double * least(1.0::double, samples / 4)), 3) * 1000) as bigint) confidence_e3,
     greatest(0, t1 - 162) start_ms, t2 + 162 end_ms from q""")
