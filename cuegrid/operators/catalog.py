@@ -308,7 +308,9 @@ def uncached_synthesis(utterances: DataFrame, cache: DataFrame) -> DataFrame:
 def chunk_fingerprints(rows: DataFrame, keys: list[str], order: str, content: Column, width: int = 16_384) -> DataFrame:
     """SHA-256 over ordered content: bounded chunks first, then the chunk digests."""
     def digest(order_col: str, value: str) -> Column:
-        return F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(order_col, value)))), 256)
+        rows_ = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(value).alias("v"))))
+        parts = F.transform(rows_, lambda r: F.concat(r["o"].cast("string"), F.lit("\x1f"), F.coalesce(r["v"], F.lit(""))))
+        return F.sha2(F.array_join(parts, "\x1e"), 256)
 
     r = rows.select(*keys, order, content.alias("_v"), F.floor(F.col(order) / width).alias("_chunk"))
     chunks = r.groupBy(*keys, "_chunk").agg(digest(order, "_v").alias("_digest"))

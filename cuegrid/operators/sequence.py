@@ -244,6 +244,13 @@ def adjacent_repetitions(cues: DataFrame, seq: Sequence = CUES) -> DataFrame:
     return c.where((bare == F.col("_said")) & (F.length(X.strip(F.col("content"))) > 4)).drop("_said")
 
 
+def segments_to_cues(segments: DataFrame, seq: Sequence) -> DataFrame:
+    """Timed segments (start_s, end_s, text) as cues numbered from 1 in order."""
+    s = numbered(segments, seq, "cue_id")
+    return s.select("media_id", "cue_id", M.seconds_to_ms(F.col("start_s")).alias("start_ms"), M.seconds_to_ms(F.col("end_s")).alias("end_ms"),
+                    X.strip(F.col("text")).alias("content"))
+
+
 def sample_grid(media: DataFrame, longest: int = 3600) -> DataFrame:
     """Detector timestamps of each medium from (media_id, duration_ms)."""
     seconds = F.col("duration_ms") / 1000

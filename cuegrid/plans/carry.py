@@ -6,10 +6,13 @@ partition and streamed through a small step function in Arrow batches: memory
 per task is one batch plus the state, whatever the length of a sequence.
 
 Chunks of one key run in parallel. A chunk first assumes nothing is open at its
-start; the state each chunk ends with is then handed to the following one and
-only chunks whose entry state changed run again, until no end state changes.
-Open groups are short, so their ends agree after a round or two. Keys that fit
-in one chunk skip all of this.
+start; the state each chunk ends with is then tried as entry of the following
+one, and every (chunk, entry) -> end found is kept. Groups opened at different
+rows soon close at the same one, so this settles after a round; in the worst
+case a chunk is replayed once for each different group that can reach into it.
+The true entries are then read off the table of ends by doubling jumps, so the
+number of rounds never grows with the number of chunks. Keys that fit in one
+chunk skip all of this.
 """
 
 from __future__ import annotations
@@ -31,18 +34,17 @@ Step = Callable[[State, tuple], tuple[State, tuple]]
 
 
 def _replay(batches: Iterator[pa.RecordBatch], seq: Sequence, fields: list[str], step: Step):
-    """Yield (batch, outputs, [(chunk key, end state)]) while walking sorted rows."""
+    """Yield (batch, outputs, [(chunk key + entry, end state)]) while walking sorted rows."""
     here, state = None, None
     for batch in batches:
-        ids = list(zip(*[batch.column(k).to_pylist() for k in seq.chunk_keys]))
-        entry = batch.column("_entry").to_pylist()
+        ids = list(zip(*[batch.column(k).to_pylist() for k in (*seq.chunk_keys, "_entry")]))
         rows = zip(*[batch.column(f).to_pylist() for f in fields])
         outs, ends = [], []
-        for key, start, row in zip(ids, entry, rows):
+        for key, row in zip(ids, rows):
             if key != here:
                 if here is not None:
                     ends.append((here, state))
-                here, state = key, json.loads(start) if start else None
+                here, state = key, json.loads(key[-1]) if key[-1] else None
             state, out = step(state, row)
             outs.append(out)
         yield batch, outs, ends
@@ -52,51 +54,65 @@ def _replay(batches: Iterator[pa.RecordBatch], seq: Sequence, fields: list[str],
 
 def _entering(df: DataFrame, entries: DataFrame | None, seq: Sequence) -> DataFrame:
     if entries is None:
-        ready = df.withColumn("_entry", F.lit(None).cast("string")).repartition(*seq.chunk_keys)
+        ready = df.withColumn("_entry", F.lit(""))
     else:
-        ready = df.join(entries, seq.chunk_keys, "left").repartition(*seq.chunk_keys)
-    return ready.sortWithinPartitions(*seq.chunk_keys, *seq.order)
+        ready = df.join(entries, seq.chunk_keys, "left").withColumn("_entry", F.coalesce("_entry", F.lit("")))
+    return ready.repartition(*seq.chunk_keys).sortWithinPartitions(*seq.chunk_keys, "_entry", *seq.order)
 
 
 def _ends(df: DataFrame, entries: DataFrame | None, seq: Sequence, fields: list[str], step: Step) -> DataFrame:
+    """(keys, chunk, _entry, _end) of every chunk, for each entry it is given."""
     names = seq.chunk_keys
-    schema = T.StructType([df.schema[n] for n in names] + [T.StructField("_end", T.StringType())])
-    types = [to_arrow_type(df.schema[n].dataType) for n in names] + [pa.string()]
+    added = [T.StructField("_entry", T.StringType()), T.StructField("_end", T.StringType())]
+    schema = T.StructType([df.schema[n] for n in names] + added)
+    types = [to_arrow_type(df.schema[n].dataType) for n in names] + [pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, ends in _replay(batches, seq, fields, step):
             if ends:
                 columns = list(zip(*[(*key, json.dumps(state)) for key, state in ends]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)], names=[*names, "_end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
     return _entering(df, entries, seq).mapInArrow(run, schema)
 
 
 def _entry_states(df: DataFrame, seq: Sequence, fields: list[str], step: Step) -> DataFrame | None:
     """(keys, chunk, _entry) for every chunk that follows another one of its key."""
-    spread = df.groupBy(*seq.keys).agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi")).where("_lo < _hi")
-    spread = cut(spread.select(*seq.keys))
+    keys, at = list(seq.keys), seq.chunk_keys
+    spread = df.groupBy(*keys).agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi")).where("_lo < _hi")
+    spread = cut(spread.select(*keys))
     if spread.isEmpty():
         return None
-    long = cut(df.join(spread, list(seq.keys), "left_semi"))
-    ends = cut(_ends(long, None, seq, fields, step))
-    entries = None
+    long = cut(df.join(spread, keys, "left_semi"))
+    follow = cut(long.select(*at).distinct().select(
+        *at, F.lead(CHUNK).over(seq.chain()).alias("_next"), F.lag(CHUNK).over(seq.chain()).isNull().alias("_head")))
+    onward = follow.where("_next is not null").select(*at, "_next")
+    known = fresh = cut(_ends(long, None, seq, fields, step))
     while True:
-        handed = cut(ends.withColumn("_entry", F.lag("_end").over(seq.chain())).where("_entry is not null").drop("_end"))
-        if entries is None:
-            moved = handed
-        else:
-            old = entries.withColumnRenamed("_entry", "_old")
-            moved = cut(handed.join(old, seq.chunk_keys).where("_entry <> _old").drop("_old"))
-        entries = handed
-        if moved.isEmpty():
-            return entries
-        again = _ends(long.join(moved.select(*seq.chunk_keys), seq.chunk_keys, "left_semi"), moved, seq, fields, step)
-        ends = cut(
-            ends.join(again.withColumnRenamed("_end", "_new"), seq.chunk_keys, "left")
-            .select(*seq.chunk_keys, F.coalesce("_new", "_end").alias("_end"))
-        )
+        handed = fresh.join(onward, at).select(*keys, F.col("_next").alias(CHUNK), F.col("_end").alias("_entry")).distinct()
+        new = cut(handed.join(known, [*at, "_entry"], "left_anti"))
+        if new.isEmpty():
+            break
+        fresh = cut(_ends(long.join(new, at, "left_semi"), new, seq, fields, step))
+        known = cut(known.unionByName(fresh))
+    entered = known.where("_entry <> ''").select(*at, "_entry")
+    if entered.groupBy(*at).count().where("count > 1").isEmpty():
+        return entered
+    return _followed(known.join(onward, at), follow.where("_head").select(*at), seq)
+
+
+def _followed(moves: DataFrame, heads: DataFrame, seq: Sequence) -> DataFrame:
+    """The entries met when walking from the heads; the k-th pass jumps 2**k chunks."""
+    keys, at = list(seq.keys), [*seq.chunk_keys, "_entry"]
+    jump = cut(moves.select(*at, F.col("_next").alias("_to"), F.col("_end").alias("_to_entry")))
+    met = cut(heads.withColumn("_entry", F.lit("")))
+    while True:
+        more = cut(met.join(jump, at).select(*keys, F.col("_to").alias(CHUNK), F.col("_to_entry").alias("_entry")))
+        if more.isEmpty():
+            return met.where("_entry <> ''")
+        met = cut(met.unionByName(more))
+        second = jump.select(*keys, F.col(CHUNK).alias("_to"), F.col("_entry").alias("_to_entry"), F.col("_to").alias("_far"), F.col("_to_entry").alias("_far_entry"))
+        jump = cut(jump.join(second, [*keys, "_to", "_to_entry"]).select(*at, F.col("_far").alias("_to"), F.col("_far_entry").alias("_to_entry")))
 
 
 def carry_fold(

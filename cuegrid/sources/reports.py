@@ -28,8 +28,8 @@ MANIFEST = "pipeline_version string, artifacts map<string,struct<fingerprint:str
 def report_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(media_id, body) of whole report files; the folder name is the media id."""
     text = spark.read.text(paths, wholetext=True)
-    media = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    return text.select(media.alias("media_id"), F.regexp_replace("value", "^﻿", "").alias("body"))
+    media = F.regexp_extract(F.input_file_name(), r"(?:^|/)(?:media_id=)?([^/]+)/[^/]+$", 1)
+    return text.select(media.alias("media_id"), F.regexp_replace("value", "^\ufeff", "").alias("body"))
 
 
 def _parsed(reports: DataFrame, schema: str) -> DataFrame:

@@ -245,7 +245,9 @@ def batch_media_profile(spark, sf_dir):
     return C.batch_media_profile(m).withColumn("same_streams", F.col("same_streams").cast("int"))
 
 
-@query("fingerprint", "cues", None)
+@query("fingerprint", "cues", """c as (select media_id, cue_id // 16384 c, sha256(string_agg(cue_id || chr(31) || content, chr(30) order by cue_id)) d from cues group by all),
+  g as (select media_id, c // 16384 g, sha256(string_agg(c || chr(31) || d, chr(30) order by c)) d from c group by all)
+  select media_id, sha256(string_agg(g || chr(31) || d, chr(30) order by g)) fingerprint from g group by all""")
 def fingerprint(spark, sf_dir):
     return C.chunk_fingerprints(views.cues(spark, sf_dir), ["media_id"], "cue_id", F.col("content"))
 

@@ -1 +1,113 @@
-"""Queries."""
+"""Readers and writers, each fed with files written from derived tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from cuegrid.operators import sequence as S
+from cuegrid.plans.scan import Sequence
+from cuegrid.plans.store import shared_dir
+from cuegrid.sources import reports as J
+from cuegrid.sources import srt
+from cuegrid.workload import views
+from cuegrid.workload.registry import query
+
+
+def fresh(spark, name):
+    return f"{shared_dir(spark)}/cuegrid-files/{name}-{uuid.uuid4().hex}"
+
+
+@query("read_srt_corpus", "marked", r"""select media_id, cue_id, start_ms, end_ms, content from marked""")
+def read_srt_corpus(spark, sf_dir):
+    path = fresh(spark, "srt")
+    srt.write_srt(views.marked(spark, sf_dir), path)
+    return srt.read_srt(spark, f"{path}/*").withColumn("media_id", F.col("media_id").cast("long"))
+
+
+@query("write_srt_corpus", "marked", r"""t as (select *, start_ms // 1000 s, end_ms // 1000 e from marked)
+  select media_id, cue_id // 16384 part_no, string_agg(cue_id || chr(10) || printf('%02d:%02d:%02d,%03d', s // 3600, s // 60 % 60, s % 60, start_ms % 1000) || ' --> '
+    || printf('%02d:%02d:%02d,%03d', e // 3600, e // 60 % 60, e % 60, end_ms % 1000) || chr(10) || content || chr(10) || chr(10), '' order by cue_id) srt_text from t group by all""")
+def write_srt_corpus(spark, sf_dir):
+    return srt.srt_texts(views.marked(spark, sf_dir))
+
+
+def _report(spark, rows, name):
+    """Write (media_id, body) reports to a new folder and read them back."""
+    path = fresh(spark, name)
+    J.write_reports(rows, path)
+    texts = J.report_texts(spark, f"{path}/*")
+    return texts.withColumn("media_id", F.col("media_id").cast("long"))
+
+
+def _per_report(df, item, order):
+    """Reports of at most 4096 consecutive ids; the report id is media * 1000 + part."""
+    part = (F.col("media_id") * 1000 + F.floor(F.col(order) / 4096)).alias("media_id")
+    return df.select(part, F.col(order), item.alias("i")).groupBy("media_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "i"))), lambda r: r["i"]).alias("items"))
+
+
+@query("read_aligned_words", "words", """select media_id * 1000 + pos // 4096 media_id, row_number() over (partition by media_id, pos // 4096 order by pos) - 1 pos, word, start_ms, end_ms, speaker from words""")
+def read_aligned_words(spark, sf_dir):
+    item = F.struct("word", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "speaker")
+    r = _per_report(views.words(spark, sf_dir), item, "pos")
+    body = F.to_json(F.struct(F.lit("zh").alias("language"), F.col("items").alias("word_segments"), F.lit(1.5).alias("elapsed_seconds")))
+    return J.aligned_words(_report(spark, r.select("media_id", body.alias("body")), "words"))
+
+
+@query("segments_to_cues", "cues", """select media_id, row_number() over (partition by media_id order by cue_id) cue_id, start_ms, end_ms, content from cues where cue_id % 5 <> 0""")
+def segments_to_cues(spark, sf_dir):
+    c = views.cues(spark, sf_dir).where("cue_id % 5 <> 0").select(
+        "media_id", F.col("cue_id").alias("pos"), (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), F.concat(F.lit(" "), "content", F.lit("\t")).alias("text"))
+    return S.segments_to_cues(c, Sequence(("media_id",), ("pos",), 16_384))
+
+
+@query("read_ocr_report", "ocr_cues", """select media_id * 1000 + cue_id // 4096 media_id, row_number() over (partition by media_id, cue_id // 4096 order by cue_id) cue_id, start_ms, end_ms, content as text,
+  cast(round(score * 100) as bigint) score_pct, cast(samples as int) samples from ocr_cues""")
+def read_ocr_report(spark, sf_dir):
+    item = F.struct((F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("content").alias("text"), "score", F.col("samples").cast("int").alias("samples"))
+    r = _per_report(views.ocr_cues(spark, sf_dir), item, "cue_id")
+    body = F.to_json(F.struct(F.lit("ocr").alias("engine"), F.lit(2.5).alias("sample_fps"), F.col("items")))
+    c = J.ocr_cues(_report(spark, r.select("media_id", body.alias("body")), "ocr"))
+    return c.withColumn("score_pct", F.round(F.col("score") * 100).cast("long")).drop("score")
+
+
+@query("read_regions", "regions", """select media_id, row_number() over (partition by media_id order by region_id) - 1 region_id, x, y, width, height, region_start start_ms, region_end end_ms, 'visual_tracks_v2' as method from regions""")
+def read_regions(spark, sf_dir):
+    r = views.regions(spark, sf_dir).select(
+        "media_id", "region_id", *[F.col(c).cast("int").alias(c) for c in ("x", "y", "width", "height")], (F.col("confidence_pct") / 100).alias("confidence"),
+        (F.col("region_start") / 1000).alias("start"), (F.col("region_end") / 1000).alias("end"))
+    video = r.select("media_id").distinct().select("media_id", F.lit("visual_tracks_v2").alias("method"), F.lit(1280).alias("video_width"), F.lit(720).alias("video_height"))
+    back = J.regions(_report(spark, J.region_reports(r, video), "regions"))
+    return back.select("media_id", F.col("region_id").cast("long").alias("region_id"), *[F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height")],
+                       F.bround(F.col("start") * 1000).cast("long").alias("start_ms"), F.bround(F.col("end") * 1000).cast("long").alias("end_ms"), "method")
+
+
+@query("read_tts_timing", "cues", """select media_id * 1000 + cue_id // 4096 media_id, cue_id id, start_ms scheduled_start_ms, end_ms - start_ms fitted_ms, cue_id || ',' || cue_id + 1 cue_ids from cues""")
+def read_tts_timing(spark, sf_dir):
+    item = F.struct(F.col("cue_id").alias("id"), F.col("start_ms").alias("scheduled_start_ms"), (F.col("end_ms") - F.col("start_ms")).alias("fitted_ms"),
+                    F.array(F.col("cue_id"), F.col("cue_id") + 1).alias("cue_ids"), F.lit("punctuated_sentence").alias("alignment_mode"))
+    r = _per_report(views.cues(spark, sf_dir), item, "cue_id")
+    t = J.tts_timing(_report(spark, r.select("media_id", F.to_json("items").alias("body")), "timing"))
+    return t.select("media_id", "id", "scheduled_start_ms", "fitted_ms", F.array_join(F.transform("cue_ids", lambda i: i.cast("string")), ",").alias("cue_ids"))
+
+
+def _masters(spark, sf_dir):
+    line = F.struct(F.col("cue_id").alias("id"), F.col("content").alias("text"), "start_ms", "end_ms", "speaker")
+    r = _per_report(views.cues(spark, sf_dir), line, "cue_id")
+    u = F.transform("items", lambda i: F.struct(i["id"].alias("id"), F.array(i["id"]).alias("cue_ids"), i["text"].alias("full_text"),
+                                                (i["start_ms"] / 1000).alias("start"), (i["end_ms"] / 1000).alias("end"), i["speaker"].alias("speaker")))
+    d = F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["text"].alias("text")))
+    return _report(spark, r.select("media_id", F.to_json(F.struct(u.alias("utterances"), d.alias("display_lines"))).alias("body")), "master")
+
+
+@query("read_dialogue_master", "cues", """select media_id * 1000 + cue_id // 4096 media_id, cue_id utterance_id, cast(cue_id as varchar) cue_ids, content full_text, speaker, start_ms, end_ms from cues""")
+def read_dialogue_master(spark, sf_dir):
+    u = J.master_utterances(_masters(spark, sf_dir))
+    return u.select("media_id", "utterance_id", F.array_join(F.transform("cue_ids", lambda i: i.cast("string")), ",").alias("cue_ids"), "full_text", "speaker", "start_ms", "end_ms")
+
+
+@query("read_display_lines", "cues", """select media_id * 1000 + cue_id // 4096 media_id, cue_id, content line from cues""")
+def read_display_lines(spark, sf_dir):
+    return J.master_lines(_masters(spark, sf_dir)).drop("pos")
