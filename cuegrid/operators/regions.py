@@ -14,6 +14,7 @@ from cuegrid.functions.timing import rounded
 from cuegrid.operators.sequence import merge_intervals
 from cuegrid.plans.carry import carry_fold
 from cuegrid.plans.scan import Sequence
+from cuegrid.plans.store import cut
 
 # Detector limits and voice ranges.
 BEST_BOXES, BEST_NEURAL, LEAST_SCORE = 5, 8, 0.48
@@ -169,7 +170,8 @@ def source_regions(boxes: DataFrame, cues: DataFrame, step_ms: int, frame_width:
     """
     bands = dominant_bands(band_ranks(boxes, step_ms, frame_width, frame_height))
     tracks = box_tracks(in_dominant_bands(boxes, bands, frame_height), step_ms, frame_width, frame_height)
-    found = merge_regions(track_envelopes(tracks, step_ms, frame_width, frame_height), step_ms, frame_height)
+    envelopes = cut(track_envelopes(tracks, step_ms, frame_width, frame_height))
+    found = cut(merge_regions(envelopes, step_ms, frame_height))
     bare = cues.join(found.select("media_id").distinct(), "media_id", "left_anti")
     seen = boxes.select("media_id").distinct().withColumn("method", F.lit("visual_tracks_v2"))
     both = found.unionByName(fallback_regions(bare, frame_width, frame_height))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions import text as X
 from cuegrid.functions import timing as M
-from cuegrid.plans.scan import Run, Sequence, islands, neighbours, numbered, running
+from cuegrid.plans.scan import Run, Sequence, islands, neighbours, numbered, paced, running
 from cuegrid.plans.store import cut
 
 CUES = Sequence(("media_id",), ("cue_id",), 16_384)
@@ -132,12 +132,11 @@ def separate_spans(cues: DataFrame, least_ms: int = 350, space_ms: int = 20, wid
     """
     d = least_ms + space_ms
     seq = Sequence(("media_id",), ("start_ms", "end_ms", "cue_id"), width_ms)
-    c = numbered(cues, seq, "_i")
-    lifted = F.greatest(F.col("end_ms"), F.col("start_ms") + least_ms) - d * F.col("_i")
-    c = running(c, seq, {"_upto": Run("max", lifted), "_before": Run("max", lifted, exclusive=True)})
+    lifted = F.greatest(F.col("end_ms"), F.col("start_ms") + least_ms)
+    c = paced(cues, seq, F.lit(d), lifted, "max", "_pace", "_upto", "_before")
     return (
-        c.withColumn("timed_start_ms", F.greatest(F.col("start_ms"), F.col("_before") + d * (F.col("_i") - 1) + space_ms))
-        .withColumn("timed_end_ms", F.col("_upto") + d * F.col("_i")).drop("_i", "_upto", "_before")
+        c.withColumn("timed_start_ms", F.greatest(F.col("start_ms"), F.col("_before") + F.col("_pace") - d + space_ms))
+        .withColumn("timed_end_ms", F.col("_upto") + F.col("_pace")).drop("_pace", "_upto", "_before")
     )
 
 
@@ -176,8 +175,7 @@ def schedule(plans: DataFrame, seq_width: int = 16_384) -> DataFrame:
     P_i plus the running maximum of (planned_j - P_j).
     """
     seq = Sequence(("media_id",), ("utterance_id",), seq_width)
-    p = running(plans, seq, {"_busy": Run("sum", F.col("fitted_ms") + F.col("pause_after_ms"), exclusive=True)})
-    p = running(p, seq, {"_slack": Run("max", F.col("start_ms") + F.col("pause_before_ms") - F.col("_busy"))})
+    p = paced(plans, seq, F.col("fitted_ms") + F.col("pause_after_ms"), F.col("start_ms") + F.col("pause_before_ms"), "max", "_busy", "_slack")
     p = p.withColumn("scheduled_start_ms", F.col("_busy") + F.col("_slack"))
     return (
         p.withColumn("overflow_ms", F.greatest(F.lit(0), F.col("scheduled_start_ms") + F.col("fitted_ms") - (F.col("start_ms") + F.col("deadline_ms"))))
@@ -220,9 +218,8 @@ def phrase_gaps(cues: DataFrame, seq_width: int = 16_384) -> DataFrame:
 
 def limit_font_steps(cues: DataFrame, size: str, seq: Sequence = CUES, step: int = 2) -> DataFrame:
     """Sizes may fall freely but rise by at most `step` from cue to cue."""
-    c = numbered(cues, seq, "_i")
-    c = running(c, seq, {"_low": Run("min", F.col(size) - step * F.col("_i"))})
-    return c.withColumn("font_size", F.col("_low") + step * F.col("_i")).drop("_i", "_low")
+    c = paced(cues, seq, F.lit(step), F.col(size), "min", "_rise", "_low")
+    return c.withColumn("font_size", F.col("_low") + F.col("_rise")).drop("_rise", "_low")
 
 
 def translation_batches(cues: DataFrame, seq: Sequence = CUES, size: int = 30) -> DataFrame:

@@ -170,27 +170,58 @@ def islands(
         return F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)
 
     w = seq.local()
-    base = seq.with_chunk(df).withColumn("_c", F.struct(*[e.alias(a) for a, e in need.items()]))
-    base = base.withColumn("_p", F.lag("_c").over(w))
-    base = base.withColumn("_f", F.when(F.col("_p").isNotNull(), test("_p", "_c")).otherwise(0))
-    base = base.withColumn("_r", F.sum("_f").over(w.rowsBetween(*FIRST_TO_HERE)))
+    base = seq.with_chunk(df).withColumn("_is_c", F.struct(*[e.alias(a) for a, e in need.items()]))
+    base = base.withColumn("_is_p", F.lag("_is_c").over(w))
+    base = base.withColumn("_is_f", F.when(F.col("_is_p").isNotNull(), test("_is_p", "_is_c")).otherwise(0))
+    base = base.withColumn("_is_r", F.sum("_is_f").over(w.rowsBetween(*FIRST_TO_HERE)))
     summary = base.groupBy(*seq.chunk_keys).agg(
-        F.min_by("_c", seq.order_struct()).alias("_first"), F.max_by("_c", seq.order_struct()).alias("_last"),
-        F.sum("_f").alias("_n"),
+        F.min_by("_is_c", seq.order_struct()).alias("_is_first"), F.max_by("_is_c", seq.order_struct()).alias("_is_last"),
+        F.sum("_is_f").alias("_is_n"),
     )
-    chain = summary.withColumn("_before", F.lag("_last").over(seq.chain()))
-    chain = chain.withColumn("_head", F.when(F.col("_before").isNull(), 1).otherwise(test("_before", "_first")))
+    chain = summary.withColumn("_is_before", F.lag("_is_last").over(seq.chain()))
+    chain = chain.withColumn("_is_head", F.when(F.col("_is_before").isNull(), 1).otherwise(test("_is_before", "_is_first")))
     chain = chain.select(
-        *seq.chunk_keys, "_head",
-        (F.sum("_head").over(seq.chain().rowsBetween(*FIRST_TO_HERE))
-         + F.coalesce(F.sum("_n").over(seq.chain().rowsBetween(*FIRST_TO_BEFORE)), F.lit(0))).alias("_off"),
+        *seq.chunk_keys, "_is_head",
+        (F.sum("_is_head").over(seq.chain().rowsBetween(*FIRST_TO_HERE))
+         + F.coalesce(F.sum("_is_n").over(seq.chain().rowsBetween(*FIRST_TO_BEFORE)), F.lit(0))).alias("_is_off"),
     )
-    rows = _join_chain(base, chain, seq).withColumn(out, F.col("_off") + F.col("_r"))
+    rows = _join_chain(base, chain, seq).withColumn(out, F.col("_is_off") + F.col("_is_r"))
     if first_flag:
-        rows = rows.withColumn(first_flag, F.when(F.col("_p").isNull(), F.col("_head")).otherwise(F.col("_f")))
-    return rows.drop(CHUNK, "_c", "_p", "_f", "_r", "_head", "_off")
+        rows = rows.withColumn(first_flag, F.when(F.col("_is_p").isNull(), F.col("_is_head")).otherwise(F.col("_is_f")))
+    return rows.drop(CHUNK, "_is_c", "_is_p", "_is_f", "_is_r", "_is_head", "_is_off")
 
 
 def numbered(df: DataFrame, seq: Sequence, out: str) -> DataFrame:
     """1-based position inside the key."""
     return running(df, seq, {out: Run("sum", F.lit(1).cast("long"))})
+
+
+def paced(
+    df: DataFrame, seq: Sequence, weight: Column, value: Column, op: str,
+    progress: str, reach: str, reach_before: str | None = None,
+) -> DataFrame:
+    """Running max or min of value measured against a running total, in one pass.
+
+    progress is the total of weight over the rows before; reach is the extreme of
+    (value - progress) up to the row, reach_before the same without the row. A
+    chunk settles both against its own total; the chain shifts them.
+    """
+    best = {"max": F.max, "min": F.min}[op]
+    pick = {"max": F.greatest, "min": F.least}[op]
+    w = seq.local()
+    base = seq.with_chunk(df).withColumn("_pc_w", weight).withColumn("_pc_v", value)
+    base = base.withColumn("_pc_p", F.coalesce(F.sum("_pc_w").over(w.rowsBetween(*FIRST_TO_BEFORE)), F.lit(0)))
+    base = base.withColumn("_pc_d", F.col("_pc_v") - F.col("_pc_p"))
+    base = base.withColumn("_pc_upto", best("_pc_d").over(w.rowsBetween(*FIRST_TO_HERE)))
+    if reach_before:
+        base = base.withColumn("_pc_past", best("_pc_d").over(w.rowsBetween(*FIRST_TO_BEFORE)))
+    summary = base.groupBy(*seq.chunk_keys).agg(F.sum("_pc_w").alias("_pc_sum"), best("_pc_d").alias("_pc_best"))
+    before = seq.chain().rowsBetween(*FIRST_TO_BEFORE)
+    chain = summary.withColumn("_pc_off", F.coalesce(F.sum("_pc_sum").over(before), F.lit(0)))
+    chain = chain.select(*seq.chunk_keys, "_pc_off", best(F.col("_pc_best") - F.col("_pc_off")).over(before).alias("_pc_reach"))
+    rows = _join_chain(base, chain, seq)
+    rows = rows.withColumn(progress, F.col("_pc_off") + F.col("_pc_p"))
+    rows = rows.withColumn(reach, pick(F.col("_pc_reach"), F.col("_pc_upto") - F.col("_pc_off")))
+    if reach_before:
+        rows = rows.withColumn(reach_before, pick(F.col("_pc_reach"), F.col("_pc_past") - F.col("_pc_off")))
+    return rows.drop(CHUNK, "_pc_w", "_pc_v", "_pc_p", "_pc_d", "_pc_upto", "_pc_past", "_pc_off", "_pc_reach")

@@ -245,7 +245,7 @@ SCHEDULE_SQL = PLAN_SQL + """,
 
 
 def scheduled(spark, sf_dir: str) -> DataFrame:
-    return S.schedule(cut(with_clip(plans(spark, sf_dir))))
+    return S.schedule(with_clip(plans(spark, sf_dir)))
 
 
 @query("overrunning_sentences", "marked", SCHEDULE_SQL + """ select media_id, utterance_id, scheduled_start_ms, overflow_ms from scheduled

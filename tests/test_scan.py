@@ -98,3 +98,19 @@ def test_carry_fold_without_any_break_hands_state_through_every_chunk(spark):
     df = spark.createDataFrame(data, "k long, o long, v long")
     got = carry.carry_fold(df, Sequence(("k",), ("o",), 10), ["o", "v"], sum_step(), out).collect()
     assert {r.head for r in got} == {0} and len(got) == 60
+
+
+@pytest.mark.parametrize("width", [1, 9, 100_000])
+def test_paced_matches_loop(spark, width):
+    from cuegrid.plans.scan import paced
+    data = [(k, o, v or 0, t) for k, o, v, t in rows(width + 50)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(r.k, r.o): r for r in paced(df, Sequence(("k",), ("o",), width), F.abs("v"), F.col("o"), "max", "p", "r", "b").collect()}
+    for key, rs in by_key(data).items():
+        total, best = 0, None
+        for r in rs:
+            q = got[(key, r[1])]
+            assert q.p == total and q.b == best
+            best = max(x for x in (best, r[1] - total) if x is not None)
+            assert q.r == best
+            total += abs(r[2])
