@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions.text import natural_key, safe_label, strip
 from cuegrid.functions.timing import rounded
+from cuegrid.plans.scan import ranked_by
 
 # Request defaults, allowed values and limits.
 JOB_DEFAULTS = {
@@ -201,25 +202,23 @@ def batch_media_profile(media: DataFrame) -> DataFrame:
     return t.withColumn("combine_bytes", rounded(F.col("size_bytes") * COMBINE_FACTOR))
 
 
+def missing_receipts(episodes: DataFrame) -> DataFrame:
+    """(batch_id, position) of uploads without size or checksum."""
+    return episodes.where((F.coalesce("received_bytes", F.lit(0)) == 0) | (F.coalesce("sha256", F.lit("")) == "")).select("batch_id", "position")
+
+
 def batch_receipts(episodes: DataFrame, batches: DataFrame) -> DataFrame:
-    """Complete batches, and the positions whose upload receipt is missing."""
-    missing = F.coalesce("received_bytes", F.lit(0)).eqNullSafe(0) | (F.coalesce("sha256", F.lit("")) == "")
-    n = episodes.groupBy("batch_id").agg(
-        F.count("*").alias("uploaded"), F.array_sort(F.collect_list(F.when(missing, F.col("position")))).alias("missing_positions"))
+    """Is every expected episode of a batch uploaded with its receipt?"""
+    missing = (F.coalesce("received_bytes", F.lit(0)) == 0) | (F.coalesce("sha256", F.lit("")) == "")
+    n = episodes.groupBy("batch_id").agg(F.count("*").alias("uploaded"), F.count_if(missing).alias("missing"))
     r = batches.select("batch_id", "expected_episodes").join(n, "batch_id", "left")
-    r = r.withColumn("uploaded", F.coalesce("uploaded", F.lit(0))).withColumn(
-        "missing_positions", F.coalesce("missing_positions", F.array().cast("array<bigint>")))
-    complete = (F.col("uploaded") == F.col("expected_episodes")) & (F.size("missing_positions") == 0)
-    return r.withColumn("complete", complete)
+    r = r.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("uploaded", "missing")})
+    return r.withColumn("complete", (F.col("uploaded") == F.col("expected_episodes")) & (F.col("missing") == 0))
 
 
 def natural_order(files: DataFrame, key: str, tie: str) -> DataFrame:
-    """Position of each file of `key` in natural name order.
-
-    The window runs on one batch of uploads, which the service limits to 200 files.
-    """
-    order = Window.partitionBy(key).orderBy(natural_key(F.col("filename")), tie)
-    return files.withColumn("natural_position", F.row_number().over(order))
+    """Position of each file of `key` in natural name order."""
+    return ranked_by(files, (key,), [natural_key(F.col("filename")).alias("name"), F.col(tie)], "natural_position")
 
 
 def recent(jobs: DataFrame, n: int = 50) -> DataFrame:

@@ -28,9 +28,12 @@ def _best_match(cues: DataFrame, asr: DataFrame, value: Column) -> DataFrame:
     pairs of a cue are combined before they are shuffled.
     """
     left = cues.select("media_id", "cue_id", "start_ms", "end_ms")
-    pairs = overlap_pairs(left, asr, "media_id", "start_ms", "end_ms", "asr_start", "asr_end")
+    # Of spans with the same times only the first can win: copies go before the join.
+    first = asr.groupBy("media_id", "asr_start", "asr_end").agg(F.min(F.struct("asr_id", value.alias("value"))).alias("f"))
+    first = first.select("media_id", "asr_start", "asr_end", "f.*")
+    pairs = overlap_pairs(left, first, "media_id", "start_ms", "end_ms", "asr_start", "asr_end")
     ratio = overlap_ratio(F.col("start_ms"), F.col("end_ms"), F.col("asr_start"), F.col("asr_end"))
-    best = F.max(F.struct(ratio.alias("ratio"), (-F.col("asr_id")).alias("first"), value.alias("value")))
+    best = F.max(F.struct(ratio.alias("ratio"), (-F.col("asr_id")).alias("first"), "value"))
     return pairs.groupBy("media_id", "cue_id").agg(best.alias("best")).select(
         "media_id", "cue_id", F.col("best.ratio").alias("ratio"), F.col("best.value").alias("value"))
 
@@ -66,15 +69,18 @@ def recover_speakers(cues: DataFrame, asr: DataFrame) -> DataFrame:
     return best.where(F.col("ratio") >= SPEAKER_RATIO).select("media_id", "cue_id", F.col("value").alias("speaker"))
 
 
-def _region_overlaps(cues: DataFrame, regions: DataFrame) -> DataFrame:
+def _region_overlaps(cues: DataFrame, regions: DataFrame, *values: str) -> DataFrame:
+    """Cue and region spans that share time; regions with the same times count as one with `copies`."""
     spans = cues.select("media_id", "cue_id", "start_ms", "end_ms")
-    pairs = overlap_pairs(spans, regions, "media_id", "start_ms", "end_ms", "region_start", "region_end")
+    one = regions.groupBy("media_id", "region_start", "region_end").agg(F.min(F.struct("region_id", *values)).alias("f"), F.count("*").alias("copies"))
+    one = one.select("media_id", "region_start", "region_end", "copies", "f.*")
+    pairs = overlap_pairs(spans, one, "media_id", "start_ms", "end_ms", "region_start", "region_end")
     return pairs.withColumn("shared", shared_ms("start_ms", "end_ms", "region_start", "region_end"))
 
 
 def cue_box_width(cues: DataFrame, regions: DataFrame) -> DataFrame:
     """Width of the region with most overlap; a cue without overlap takes the first region."""
-    hit = _region_overlaps(cues, regions).groupBy("media_id", "cue_id").agg(
+    hit = _region_overlaps(cues, regions, "width").groupBy("media_id", "cue_id").agg(
         F.max(F.struct("shared", (-F.col("region_id")).alias("first"), "width")).alias("best"))
     first = regions.groupBy("media_id").agg(F.min(F.struct("region_id", "width")).alias("first"))
     c = cues.select("media_id", "cue_id").join(hit, ["media_id", "cue_id"], "left").join(first, "media_id")
@@ -106,7 +112,7 @@ def cue_region(cues: DataFrame, regions: DataFrame) -> DataFrame:
     middle = F.col("start_ms") + F.col("end_ms")
     far = F.least(F.abs(middle - 2 * F.col("region_start")), F.abs(middle - 2 * F.col("region_end")))
     hit = pairs.groupBy("media_id", "cue_id").agg(
-        F.max(F.struct("shared", (-far).alias("near"), (-F.col("region_id")).alias("first"))).alias("best"), F.sum("shared").alias("visual_overlap_ms"))
+        F.max(F.struct("shared", (-far).alias("near"), (-F.col("region_id")).alias("first"))).alias("best"), F.sum(F.col("shared") * F.col("copies")).alias("visual_overlap_ms"))
     missed = cues.select("media_id", "cue_id", "start_ms", "end_ms").join(hit, ["media_id", "cue_id"], "left_anti")
     near = _nearest_region(missed, regions)
     found = hit.select("media_id", "cue_id", (-F.col("best.first")).alias("region_id"), "visual_overlap_ms")
@@ -114,11 +120,19 @@ def cue_region(cues: DataFrame, regions: DataFrame) -> DataFrame:
         "media_id", "cue_id", F.col("near_id").alias("region_id"), F.lit(0).cast("long").alias("visual_overlap_ms")))
 
 
-def active_cues(cues: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cues on screen together with a region."""
-    r = regions.select("media_id", "region_start", "region_end")
-    pairs = overlap_pairs(cues.select("media_id", "cue_id", "start_ms", "end_ms"), r, "media_id", "start_ms", "end_ms", "region_start", "region_end")
-    return cues.join(pairs.select("media_id", "cue_id"), ["media_id", "cue_id"], "left_semi")
+def active_cues(cues: DataFrame, regions: DataFrame, width_ms: int = 3_600_000) -> DataFrame:
+    """Cues on screen together with a region.
+
+    No pairs are formed: laid out by time, a cue is active if the latest end of
+    the regions that start before the cue's end lies after the cue's start.
+    """
+    spans = regions.where("region_end > region_start").select("media_id", F.col("region_start").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("cue_id"),
+                                                              F.col("region_end").alias("reach"), F.lit(None).cast("long").alias("start_ms"))
+    spans = spans.groupBy("media_id", "at", "kind", "cue_id", "start_ms").agg(F.max("reach").alias("reach"))
+    shown = cues.where("end_ms > start_ms").select("media_id", F.col("end_ms").alias("at"), F.lit(0).alias("kind"), "cue_id", F.lit(None).cast("long").alias("reach"), "start_ms")
+    line = running(shown.unionByName(spans), Sequence(("media_id",), ("at", "kind", "cue_id"), width_ms), {"_reach": Run("max", F.col("reach"))})
+    hit = line.where((F.col("kind") == 0) & (F.col("_reach") > F.col("start_ms"))).select("media_id", "cue_id")
+    return cues.join(hit, ["media_id", "cue_id"], "left_semi")
 
 
 def translation_context(cues: DataFrame, before: int = 6, after: int = 4, size: int = 30, seq: Sequence = CUES) -> DataFrame:

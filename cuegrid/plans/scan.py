@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cuegrid.plans.store import cut
+
 CHUNK = "_chunk"
 FIRST_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 FIRST_TO_BEFORE = (Window.unboundedPreceding, -1)
@@ -36,12 +38,13 @@ class Sequence:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     width: int = 65_536
+    ready: bool = False  # the rows already carry their chunk
 
     def chunk(self) -> Column:
         return F.floor(F.col(self.order[0]) / F.lit(self.width)).cast("long")
 
     def with_chunk(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(CHUNK, self.chunk())
+        return df if self.ready else df.withColumn(CHUNK, self.chunk())
 
     @property
     def chunk_keys(self) -> list[str]:
@@ -196,6 +199,18 @@ def numbered(df: DataFrame, seq: Sequence, out: str) -> DataFrame:
     return running(df, seq, {out: Run("sum", F.lit(1).cast("long"))})
 
 
+def ranked_by(df: DataFrame, keys: tuple[str, ...], order: list[Column], out: str) -> DataFrame:
+    """1-based rank inside the key by any sortable columns that give a total order.
+
+    Range partitioning samples the data and splits a hot key over several
+    partitions in order; the partition numbers are stored before they serve as
+    chunks, because a second evaluation could draw other bounds.
+    """
+    placed = df.withColumn("_rank_key", F.struct(*order)).repartitionByRange(*keys, "_rank_key")
+    placed = cut(placed.withColumn(CHUNK, F.spark_partition_id().cast("long")))
+    return numbered(placed, Sequence(keys, ("_rank_key",), ready=True), out).drop("_rank_key")
+
+
 def paced(
     df: DataFrame, seq: Sequence, weight: Column, value: Column, op: str,
     progress: str, reach: str, reach_before: str | None = None,

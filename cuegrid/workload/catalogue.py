@@ -252,16 +252,25 @@ def fingerprint(spark, sf_dir):
     return C.chunk_fingerprints(views.cues(spark, sf_dir), ["media_id"], "cue_id", F.col("content"))
 
 
-@query("batch_receipts", "jobs batches", """e as (select batch_id, position, case when job_id % 8 = 0 then null else size_bytes end b, case when job_id % 10 = 0 then '' else 'x' end s from jobs),
-  n as (select batch_id, count(*) uploaded, string_agg(case when b is null or b = 0 or s = '' then position end, ',' order by position) missing from e group by batch_id)
-  select b.batch_id, coalesce(uploaded, 0) uploaded, coalesce(missing, '') missing,
-    case when coalesce(uploaded, 0) = expected_episodes and coalesce(missing, '') = '' then 1 else 0 end complete from batches b left join n using (batch_id)""")
+RECEIPTS_SQL = """e as (select batch_id, position, case when job_id % 8 = 0 then null else size_bytes end b, case when job_id % 10 = 0 then '' else 'x' end s from jobs)"""
+
+
+def _receipts(spark, sf_dir):
+    return views.jobs(spark, sf_dir).select("batch_id", "position", F.when(job() % 8 != 0, F.col("size_bytes")).alias("received_bytes"),
+                                            F.when(job() % 10 == 0, "").otherwise("x").alias("sha256"))
+
+
+@query("batch_receipts", "jobs batches", RECEIPTS_SQL + """, n as (select batch_id, count(*) uploaded, count(*) filter (b is null or b = 0 or s = '') missing from e group by batch_id)
+  select b.batch_id, expected_episodes, coalesce(uploaded, 0) uploaded, coalesce(missing, 0) missing,
+    case when coalesce(uploaded, 0) = expected_episodes and coalesce(missing, 0) = 0 then 1 else 0 end complete from batches b left join n using (batch_id)""")
 def batch_receipts(spark, sf_dir):
-    e = views.jobs(spark, sf_dir).select("batch_id", "position", F.when(job() % 8 != 0, F.col("size_bytes")).alias("received_bytes"),
-                                         F.when(job() % 10 == 0, "").otherwise("x").alias("sha256"))
-    r = C.batch_receipts(e, views.batches(spark, sf_dir))
-    return r.select("batch_id", "uploaded", F.array_join(F.transform("missing_positions", lambda p: p.cast("string")), ",").alias("missing"),
-                    F.col("complete").cast("int").alias("complete"))
+    r = C.batch_receipts(_receipts(spark, sf_dir), views.batches(spark, sf_dir))
+    return r.withColumn("complete", F.col("complete").cast("int"))
+
+
+@query("missing_receipts", "jobs", RECEIPTS_SQL + " select batch_id, position from e where b is null or b = 0 or s = ''")
+def missing_receipts(spark, sf_dir):
+    return C.missing_receipts(_receipts(spark, sf_dir))
 
 
 @query("recent_jobs", "", """select o_orderkey job_id, strftime(o_orderdate, '%Y-%m-%d') created from orders order by o_orderdate desc, o_orderkey desc limit 50""")

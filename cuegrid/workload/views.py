@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.plans.scan import Run, Sequence, numbered, running
+from cuegrid.plans.scan import Run, Sequence, numbered, ranked_by, running
 from cuegrid.plans.store import as_table, source_stamp
 
 CUE_WIDTH = 16_384
@@ -171,9 +171,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position in the batch by order date, then key: dates are chunked by day number."""
-    o = table(spark, sf_dir, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long"))
-    o = numbered(o, Sequence(("o_custkey",), ("day", "o_orderdate", "o_orderkey"), 365), "position")
+    """Position in the batch by order date, then key."""
+    o = table(spark, sf_dir, "orders")
+    o = ranked_by(o, ("o_custkey",), [F.col("o_orderdate"), F.col("o_orderkey")], "position")
     key = F.col("o_orderkey")
     return o.select(
         key.alias("job_id"), F.col("o_custkey").alias("batch_id"), "position",
