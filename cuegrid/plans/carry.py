@@ -1,8 +1,8 @@
 """Left-to-right folds with carried state, run chunk by chunk.
 
 Some groupings depend on everything the open group has collected so far, so no
-window expresses them. The rows are hashed on (keys, chunk), sorted inside the
-partition and streamed through a small step function in Arrow batches: memory
+window expresses them. The rows are hashed on (keys, chunk), sorted and
+streamed through a small step function in Arrow batches: memory
 per task is one batch plus the state, whatever the length of a sequence.
 
 Chunks of one key run in parallel. A chunk first assumes nothing is open at its
@@ -21,7 +21,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -57,7 +57,11 @@ def _entering(df: DataFrame, entries: DataFrame | None, seq: Sequence) -> DataFr
         ready = df.withColumn("_entry", F.lit(""))
     else:
         ready = df.join(entries, seq.chunk_keys, "left").withColumn("_entry", F.coalesce("_entry", F.lit("")))
-    return ready.repartition(*seq.chunk_keys).sortWithinPartitions(*seq.chunk_keys, "_entry", *seq.order)
+    # The window makes "one chunk, one task, in order" a requirement of the plan.
+    # A repartition in front of an Arrow map is only a wish: adaptive execution may
+    # drop it as redundant and then read the join's shuffle locally.
+    replay = Window.partitionBy(*seq.chunk_keys, "_entry").orderBy(*seq.order)
+    return ready.withColumn("_row", F.row_number().over(replay))
 
 
 def _ends(df: DataFrame, entries: DataFrame | None, seq: Sequence, fields: list[str], step: Step) -> DataFrame:

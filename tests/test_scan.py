@@ -114,3 +114,23 @@ def test_paced_matches_loop(spark, width):
             best = max(x for x in (best, r[1] - total) if x is not None)
             assert q.r == best
             total += abs(r[2])
+
+
+def test_carry_fold_keeps_chunks_whole_when_joins_turn_into_broadcasts(spark):
+    """Planned as sort-merge, switched to broadcast at run time: chunks must not be torn."""
+    data = [(k, o, (k + o) % 7) for k in range(40) for o in range(60)]
+    df = spark.createDataFrame(data, "k long, o long, v long").repartition(8)
+    out = T.StructType([T.StructField("head", T.LongType()), T.StructField("total", T.LongType())])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    try:
+        got = {(r.k, r.o): (r.head, r.total) for r in carry.carry_fold(df, Sequence(("k",), ("o",), 25), ["o", "v"], sum_step(), out).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    want, step = {}, sum_step()
+    for key in range(40):
+        state = None
+        for _, o, v in sorted(d for d in data if d[0] == key):
+            state, want[(key, o)] = step(state, (o, v))
+    assert got == want
