@@ -124,7 +124,7 @@ def track_envelopes(tracks: DataFrame, step_ms: int, frame_width: int, frame_hei
         end = F.least(end, F.col("duration_ms"))
     return t.select(
         "media_id", F.col("track_id").alias("region_id"), left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"),
-        F.round(confidence, 3).alias("confidence"), F.greatest(F.lit(0), F.col("t1") - edge).alias("start_ms"), end.alias("end_ms"))
+        (F.bround(F.round(confidence * 1000, 6)) / 1000).alias("confidence"), F.greatest(F.lit(0), F.col("t1") - edge).alias("start_ms"), end.alias("end_ms"))
 
 
 def _merge_step(step_ms: int, frame_height: int):

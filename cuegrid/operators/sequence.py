@@ -90,10 +90,9 @@ def phrase_ids(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 800) -> Data
     )
 
 
-def sentence_utterances(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 800) -> DataFrame:
-    """Spoken sentences: id and speaker of the first line, span of all lines."""
-    c = phrase_ids(cues, seq, gap_ms)
-    return c.groupBy("media_id", "phrase").agg(
+def sentences_of(phrased: DataFrame) -> DataFrame:
+    """One row per phrase: id and speaker of its first line, span of all lines."""
+    return phrased.groupBy("media_id", "phrase").agg(
         F.min("cue_id").alias("utterance_id"),
         F.min_by("start_ms", "cue_id").alias("start_ms"), F.max_by("end_ms", "cue_id").alias("end_ms"),
         F.min_by(F.struct("speaker"), "cue_id").getField("speaker").alias("speaker"),
@@ -101,6 +100,11 @@ def sentence_utterances(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 800
     )
 
 
+def sentence_utterances(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 800) -> DataFrame:
+    """Spoken sentences of display lines."""
+    return sentences_of(phrase_ids(cues, seq, gap_ms))
+
+
 def split_at_hard_breaks(lines: DataFrame, seq_width: int = 16_384) -> DataFrame:
     """Cut utterances where a line carries hard_break; rows are (media_id, utterance_id, cue_id, line, hard_break)."""
     seq = Sequence(("media_id", "utterance_id"), ("cue_id",), seq_width)

@@ -73,7 +73,7 @@ def active_cues(spark, sf_dir):
 
 @query("overlapping_tracks", "intervals", """longer as (select * replace (start_ms + 300 * (end_ms - start_ms) as end_ms) from intervals)
   select a.media_id, a.seq a_seq, b.seq b_seq, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) shared_ms
-  from longer a join longer b on a.media_id = b.media_id and a.start_ms < b.end_ms and b.start_ms < a.end_ms
+  from longer a join longer b on a.media_id = b.media_id and greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms)
   where a.track = 'click' and b.track = 'view'""")
 def overlapping_tracks(spark, sf_dir):
     from cuegrid.plans.overlap import overlap_pairs, shared_ms

@@ -49,7 +49,7 @@ def box_tracks(spark, sf_dir):
   q as (select *, greatest(0, cast(round_even(round(x1 - px, 6), 0) as bigint)) l, greatest(0, cast(round_even(round(y1 - py, 6), 0) as bigint)) tp,
     least(1280, cast(round_even(round(x2 + px, 6), 0) as bigint)) r, least(720, cast(round_even(round(y2 + py, 6), 0) as bigint)) bt from p)
   select media_id, track region_id, l x, tp y, r - l width, bt - tp height,
-    cast(round(round(least(0.99::double, 0.55::double * (score / 100 / n) + 0.45::double * least(1.0::double, samples / 4)), 3) * 1000) as bigint) confidence_e3,
+    cast(round_even(round(least(0.99::double, 0.55::double * (score / 100 / n) + 0.45::double * least(1.0::double, samples / 4)) * 1000, 6), 0) as bigint) confidence_e3,
     greatest(0, t1 - 162) start_ms, t2 + 162 end_ms from q""")
 def track_envelope(spark, sf_dir):
     t = views.boxes(spark, sf_dir).withColumn("track_id", F.floor(F.col("ts_ms") / 2000))

@@ -9,6 +9,7 @@ from cuegrid.functions import text as X
 from cuegrid.functions import timing as M
 from cuegrid.functions import vietnamese as V
 from cuegrid.operators import folds as G
+from cuegrid.operators import pipeline as D
 from cuegrid.operators import sequence as S
 from cuegrid.plans.scan import Sequence, neighbours
 from cuegrid.plans.store import cut
@@ -260,6 +261,41 @@ def schedule(spark, sf_dir):
     return scheduled(spark, sf_dir).select("media_id", "utterance_id", "window_ms", "fitted_ms", "scheduled_start_ms", "overflow_ms", "shift_ms")
 
 
+TIMELINE_SQL = SCHEDULE_SQL + f""",
+  spans as (select media_id, phrase, max_by(end_ms, cue_id) - min_by(start_ms, cue_id) source_span_ms, greatest(0, coalesce(max(gap), 0)) max_internal_gap_ms, count(*) n
+    from (select *, start_ms - lag(end_ms) over (partition by media_id, phrase order by cue_id) gap from phrased) group by all),
+  timeline as (select s.*, source_span_ms, max_internal_gap_ms, n from scheduled s join spans using (media_id, phrase)),
+  weighed as (select p.media_id, p.cue_id, t.scheduled_start_ms base, greatest(n, t.fitted_ms) span, {predict_sql('p.content')} w, t.utterance_id from phrased p join timeline t using (media_id, phrase)),
+  moved as (select *, sum(w) over o upto, sum(w) over u total, max(cue_id) over u last_id from weighed
+    window u as (partition by media_id, utterance_id), o as (partition by media_id, utterance_id order by cue_id))"""
+
+
+def timeline(spark, sf_dir: str) -> DataFrame:
+    c = views.marked(spark, sf_dir)
+    media_end = c.groupBy("media_id").agg((F.max("end_ms") + 1500).alias("media_end_ms"))
+    return D.dub_timing(D.spoken_sentences(c, media_end))
+
+
+@query("dub_timing", "marked", TIMELINE_SQL + """ select media_id, utterance_id, scheduled_start_ms, fitted_ms, window_ms, overflow_ms, scheduled_start_ms - start_ms schedule_shift_ms,
+  source_span_ms, max_internal_gap_ms, n num_source_cues, cast(floor(predicted_ms / greatest(1, fitted_ms) * 1000) as bigint) tempo_e3 from timeline""", recursive=True)
+def dub_timing(spark, sf_dir):
+    return timeline(spark, sf_dir).select(
+        "media_id", "utterance_id", "scheduled_start_ms", "fitted_ms", "window_ms", "overflow_ms", "schedule_shift_ms", "source_span_ms", "max_internal_gap_ms",
+        "num_source_cues", F.floor(F.col("original_ms") / F.greatest(F.lit(1), F.col("fitted_ms")) * 1000).cast("long").alias("tempo_e3"))
+
+
+@query("aligned_lines", "marked", TIMELINE_SQL + """ select media_id, cue_id, base + cast(round_even(span * (upto - w) / total, 0) as bigint) aligned_start_ms,
+  greatest(base + cast(round_even(span * (upto - w) / total, 0) as bigint) + 1, case when cue_id = last_id then base + span
+    else base + cast(round_even(span * upto / total, 0) as bigint) end)::bigint aligned_end_ms from moved""", recursive=True)
+def aligned_lines(spark, sf_dir):
+    return D.aligned_lines(views.marked(spark, sf_dir), cut(timeline(spark, sf_dir))).select("media_id", "cue_id", "aligned_start_ms", "aligned_end_ms")
+
+
+@query("source_dialogue")
+def source_dialogue(spark, sf_dir):
+    return D.source_dialogue(views.words(spark, sf_dir))
+
+
 @query("retime", "marked", PHRASE_SQL + f""",
   w as (select media_id, phrase, cue_id, {predict_sql('content')} w from phrased),
   s as (select *, sum(w) over o upto, sum(w) over p total, count(*) over p n, max(cue_id) over p last_id,
