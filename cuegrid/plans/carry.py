@@ -84,10 +84,9 @@ def _entry_states(df: DataFrame, seq: Sequence, fields: list[str], step: Step) -
     """(keys, chunk, _entry) for every chunk that follows another one of its key."""
     keys, at = list(seq.keys), seq.chunk_keys
     spread = df.groupBy(*keys).agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi")).where("_lo < _hi")
-    spread = cut(spread.select(*keys))
     if spread.isEmpty():
         return None
-    long = cut(df.join(spread, keys, "left_semi"))
+    long = cut(df.join(spread.select(*keys), keys, "left_semi"))
     follow = cut(long.select(*at).distinct().select(
         *at, F.lead(CHUNK).over(seq.chain()).alias("_next"), F.lag(CHUNK).over(seq.chain()).isNull().alias("_head")))
     onward = follow.where("_next is not null").select(*at, "_next")

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuegrid.functions import text as X
-from cuegrid.functions import timing as M
 from cuegrid.operators import reconcile as R
 from cuegrid.operators import replies as P
 from cuegrid.operators import sequence as S
 from cuegrid.operators import tracks as T
-from cuegrid.plans.scan import Sequence, numbered
+from cuegrid.plans.scan import numbered
 from cuegrid.plans.store import cut
 from cuegrid.workload import views
 from cuegrid.workload.registry import query
-from cuegrid.workload.scalars import ignorable_sql, strip_sql
+from cuegrid.workload.scalars import ignorable_sql
 
 
 def ranked(spark, sf_dir):

@@ -9,6 +9,8 @@ from cuegrid.functions import timing as M
 from cuegrid.functions import vietnamese as V
 from cuegrid.functions.geometry import background_box, centredness
 from cuegrid.operators import catalog as C
+from cuegrid.operators.folds import clean_words as drop_untimed
+from cuegrid.plans.scan import neighbours
 from cuegrid.workload import views
 from cuegrid.workload.registry import query
 
@@ -192,7 +194,6 @@ def balanced_lines(spark, sf_dir):
     regexp_replace(regexp_replace(regexp_replace(l, '\s+$', ''), '[.!?。！？]+\s*$', ''), '\s+$', '') bare from p where r is not null)
   select media_id, cue_id, {strip_sql(r"case when regexp_matches(s, '[。！？!?]\s*$') then b when regexp_matches(s, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(r, '^\s+', '')")} spoken from q""")
 def join_spoken(spark, sf_dir):
-    from cuegrid.plans.scan import neighbours
     c = neighbours(views.marked(spark, sf_dir), views.CUES, next={"right": F.col("content")}).where("right is not null")
     return c.select(*C3, X.join_spoken(F.col("content"), F.col("right"), F.col("source")).alias("spoken"))
 
@@ -293,6 +294,5 @@ def nfc_text(spark, sf_dir):
 
 @query("clean_words", "words", """select media_id, pos, word, start_ms, least(end_ms, start_ms + 320) end_ms from words where trim(word) <> ''""")
 def clean_words(spark, sf_dir):
-    from cuegrid.operators.folds import clean_words as clean
-    w = clean(views.words(spark, sf_dir), 320)
+    w = drop_untimed(views.words(spark, sf_dir), 320)
     return w.select("media_id", "pos", "word", "start_ms", "end_ms")

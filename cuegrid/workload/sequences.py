@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.functions import text as X
 from cuegrid.functions import timing as M
 from cuegrid.functions import vietnamese as V
 from cuegrid.operators import folds as G
 from cuegrid.operators import pipeline as D
 from cuegrid.operators import sequence as S
-from cuegrid.plans.scan import Sequence, neighbours
 from cuegrid.plans.store import cut
 from cuegrid.workload import views
 from cuegrid.workload.registry import query
