@@ -28,7 +28,7 @@ CHUNK = re.compile(r" +[^ ]*")
 KEPT = 400_000
 #: Longer chunks are segmented without being kept.
 KEPT_LENGTH = 64
-#: Texts that are cut before their chunks are looked up, and characters after which fewer will do.
+#: Texts that are cut before their chunks are looked up, and characters at which fewer will do.
 TEXTS, CHARS = 256, 1_000_000
 
 
@@ -87,12 +87,13 @@ def table(path: str) -> PieceTable:
     return _tables[path]
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+def slices(texts: list[str | None], most: int = TEXTS, most_chars: int = CHARS) -> Iterator[list[str | None]]:
+    """Consecutive parts of at most `most` texts, ended early by a text that fills `most_chars`."""
     part, chars = [], 0
     for t in texts:
         part.append(t)
         chars += len(t) if t else 0
-        if len(part) >= TEXTS or chars >= CHARS:
+        if len(part) >= most or chars >= most_chars:
             yield part
             part, chars = [], 0
     if part:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, mixing, pieces
-from cuegrid.llm.common import read
+from cuegrid.llm import bpe_counts, langid, mixing, pieces
+from cuegrid.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -19,6 +19,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold_of() != 1))
+    return (docs.select("doc_id", (fold_of() == 1).alias("held_out"), langid.predicted(F.col("text"), model, spark).alias("p"))
+            .select("doc_id", "held_out", "p.*"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = bpe_counts.token_counts(F.col("text"))
