@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, langid, mixing, pieces
+from cuegrid.llm import bpe_counts, langid, mixing, pieces, toxicity
 from cuegrid.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "p.*"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(fold_of() != 1).select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return (docs.select("doc_id", (fold_of() == 1).alias("held_out"), toxicity.scored(F.col("text"), model, spark).alias("score"))
+            .withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = bpe_counts.token_counts(F.col("text"))
