@@ -126,7 +126,7 @@ def draw(sources: DataFrame, n_sources: int, slots_per_shard: int, seed: int) ->
                      (F.col("drawn") + F.col("k") * slots_per_shard).alias("before")))
     runs = placed.select("sid", "shard", "n", "before").unionByName(topup)
     meta = sources.select("sid", "quota", "blocks")
-    return (runs.join(F.broadcast(meta) if n_sources <= BROADCAST_SOURCES else meta, "sid")
+    return (runs.repartition(pieces_for(total, 4 * slots_per_shard), "sid", "shard").join(F.broadcast(meta) if n_sources <= BROADCAST_SOURCES else meta, "sid")
             .withColumn("ordinal", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
             .where("ordinal < quota").withColumn("pass", F.floor(F.col("ordinal") / F.col("blocks")))
             .select("sid", "shard", "ordinal", "pass", permuted(F.pmod("ordinal", "blocks"), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block")))
