@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,8 +137,6 @@ def counter(path: str) -> MergeCounter:
 
 def token_counts(text: Column, path: str | None = None) -> Column:
     """Number of tokens of a text column, by the byte-level vocabulary file at `path`."""
-    import pandas as pd
-
     where = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +103,6 @@ def slices(texts: list[str | None], most: int = TEXTS, most_chars: int = CHARS)
 
 def _over_texts(row, schema: str, path: str | None):
     """A column function of a text column; row((ids, decoded)) gives the fields of its struct."""
-    import pandas as pd
-
     where = path or public_tokenizers.path("piece_bpe_32k.model")
     names = [f.split()[0] for f in schema.split(", ")]
 
