@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, langid, maxscore, mixing, near_dup, pieces, toxicity
+from cuegrid.llm import bpe_counts, langid, maxscore, mixing, near_dup, pieces, pii, toxicity
 from cuegrid.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return (docs.select("doc_id", pii.found(F.col("text"), pii.train(docs), spark).alias("p"))
+            .select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", F.sha2("p.base", 256).alias("base_sha256"), "p.spans"))
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
