@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, langid, maxscore, mixing, near_dup, pieces, pii, toxicity
+from cuegrid.llm import bpe_counts, fingerprints, langid, maxscore, mixing, near_dup, pieces, pii, toxicity
 from cuegrid.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edits_and_neighbours(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("samples")).alias("fingerprint"),
+                       fingerprints.as_text(F.col("edited_samples")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
