@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, fingerprints, langid, maxscore, mixing, near_dup, pieces, pii, toxicity
+from cuegrid.llm import bpe_counts, fingerprints, langid, licenses, maxscore, mixing, near_dup, pieces, pii, toxicity
 from cuegrid.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("over_limit", F.col("n_tokens") > 512))
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(read(spark, sf_dir, "documents"))
+
+
+CHECKS["op7_licenses"] = licenses.check_sql()
+
+
 @query
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(read(spark, sf_dir, "embeddings"))
