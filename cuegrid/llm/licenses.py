@@ -50,7 +50,10 @@ def shingles(w: Column) -> Column:
 
 def minima(window: Column) -> Column:
     """One key a band: the band's number with the least hash of a shingle under the band's hash function."""
-    return F.array(*[F.xxhash64(F.lit(b), F.array_min(F.transform(window, lambda x, b=b: F.xxhash64(x, F.lit(b))))) for b in range(BANDS)])
+    def least(b: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(b))))
+
+    return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(BANDS)])
 
 
 def windows(s: Column, width: int, step: int) -> Column:
