@@ -4,9 +4,10 @@
    (SuperMinHash, Ertl 2017); a slot keeps the least value. A document stops after the turn that no later value can beat.
 2. Classes. Documents with equal shingle sets are one class; only the smallest doc_id of each goes on.
 3. Bands. 32 bands of 4 slots: a pair at similarity 0.75 shares no band with probability 5e-6, at 0.8 with 5e-8.
-   Round one pairs every member of a bucket with the bucket's smallest id. After verification and grouping, round two looks
-   only at buckets whose members are not all in one group, and compares members of different groups by 128-bit sketches of
-   their signatures; pairs that could reach the threshold go to verification. No pair inside a group is formed in round two.
+   Round one pairs every member of a bucket with the bucket's smallest id. After verification and grouping, further rounds look
+   only at buckets whose members are not all in one group, and compare members of different groups by sketches of their
+   signatures, one byte a slot. Of the pairs that could reach the threshold, the most similar one of each two groups goes to
+   verification, then 16, then all that are left, so a group joined by its best links never spells out the others.
 4. Verification counts the intersection of the full shingle sets.
 5. Grouping alternates large-star and small-star steps on the links until nothing changes; no group meets in one task.
 
@@ -124,8 +125,8 @@ def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> list[bytes]:
-    """One bit of every slot: equal bits come up with probability (1 + similarity) / 2."""
-    return [row.tobytes() for row in np.packbits((mixed(sig) & np.uint64(1)).astype(np.uint8), axis=1)]
+    """One byte of every slot: equal bytes come up with a probability that exceeds the similarity by 1/256 of the rest."""
+    return [row.tobytes() for row in (mixed(sig) & np.uint64(0xFF)).astype(np.uint8)]
 
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -205,11 +206,12 @@ def grouped(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def crossing(members: DataFrame, plan: Bands) -> DataFrame:
+def crossing(members: DataFrame, plan: Bands, most: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket, of different groups, whose sketches and sizes allow the threshold.
 
     members: key, size (of the bucket), doc_id, n, sketch, component. A bucket of more than BLOCK members is compared in
-    pairs of hashed blocks, each pair of blocks a unit of its own.
+    pairs of hashed blocks, each pair of blocks a unit of its own. Of each two groups in a unit the `most` pairs with the most
+    similar sketches are returned; None: all of them.
     """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -217,21 +219,40 @@ def crossing(members: DataFrame, plan: Bands) -> DataFrame:
              .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"),
                      "doc_id", "n", "sketch", "component"))
     slots, percent = plan.slots, plan.percent
-    # six standard deviations of a share of slots below its mean at the threshold
-    at = (1 + percent / 100) / 2
-    enough = slots * at - 6 * (slots * at * (1 - at)) ** 0.5
+    # 4.9 standard deviations of the share of equal slots below its mean at the threshold: one pair in a million falls short
+    enough = slots * percent / 100 - 4.9 * (slots * percent / 100 * (1 - percent / 100)) ** 0.5
 
-    def compare(ids, n, bits, comp, second, diagonal) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(ids, n, sketch, comp, second, diagonal) -> np.ndarray:
+        """Rows (a, b) of a unit."""
         rows = np.arange(len(ids)) if diagonal else np.flatnonzero(second)
         cols = rows if diagonal else np.flatnonzero(~second)
-        for lo in range(0, len(rows), 256):
-            r = rows[lo:lo + 256]
-            # with bits as -1 and 1, a product counts equal bits less unequal ones
-            agree = (bits[r] @ bits[cols].T + slots) / 2
-            fits = (agree >= enough) & (comp[r][:, None] != comp[cols][None, :])
+        x_all, y_all, e_all = [], [], []
+        for lo in range(0, len(rows), 64):
+            r = rows[lo:lo + 64]
+            fits = comp[r][:, None] != comp[cols][None, :]
             fits &= 100 * np.minimum(n[r][:, None], n[cols][None, :]) >= percent * np.maximum(n[r][:, None], n[cols][None, :])
             x, y = np.nonzero(fits)
-            yield np.maximum(ids[r[x]], ids[cols[y]]), np.minimum(ids[r[x]], ids[cols[y]])
+            for part in range(0, len(x), 50_000):
+                px, py = r[x[part:part + 50_000]], cols[y[part:part + 50_000]]
+                equal = (sketch[px] == sketch[py]).sum(axis=1)
+                keep = equal >= enough
+                x_all.append(px[keep])
+                y_all.append(py[keep])
+                e_all.append(equal[keep])
+        if not x_all:
+            return np.zeros((2, 0), np.int64)
+        x, y, equal = np.concatenate(x_all), np.concatenate(y_all), np.concatenate(e_all)
+        pair = np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])])
+        if most is None or not len(x):
+            return pair
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((pair[1], pair[0], -equal, high, low))
+        pair, low, high = pair[:, order], low[order], high[order]
+        new = np.flatnonzero((np.diff(pair[0], prepend=-1) != 0) | (np.diff(pair[1], prepend=-1) != 0))  # a pair of one block is met twice
+        pair, low, high = pair[:, new], low[new], high[new]
+        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        place = np.arange(len(low)) - np.maximum.accumulate(np.where(first, np.arange(len(low)), 0))
+        return pair[:, place < most]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -260,10 +281,9 @@ def crossing(members: DataFrame, plan: Bands) -> DataFrame:
             return
         ids, n, comp = (table[c].to_numpy() for c in ("doc_id", "n", "component"))
         second, i, j = (table[c].to_numpy() for c in ("second", "i", "j"))
-        bits = np.unpackbits(np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1), axis=1).astype(np.float32) * 2 - 1
-        found = [x for lo, hi in zip(s, ends) for x in compare(ids[lo:hi], n[lo:hi], bits[lo:hi], comp[lo:hi], second[lo:hi], i[lo] == j[lo])]
-        a, b = np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in found] or [np.zeros(0, np.int64)])
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        found = np.concatenate([compare(ids[lo:hi], n[lo:hi], sketch[lo:hi], comp[lo:hi], second[lo:hi], i[lo] == j[lo]) for lo, hi in zip(s, ends)], axis=1)
+        yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
     return (units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(pairs, "a long, b long")).distinct()
 
@@ -288,12 +308,14 @@ def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
     pairs = as_table(buckets.where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     links = as_table(verified(pairs, sets, plan), "near-links")
     groups = as_table(grouped(links), "near-groups")
-    labelled = (buckets.select("key", "size", "doc_id", "n", "sketch").join(groups, "doc_id", "left")
-                .withColumn("component", F.coalesce("component", "doc_id")))
-    labelled = as_table(labelled, "near-labelled")
-    mixed_keys = as_table(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-mixed")
-    more = as_table(crossing(labelled.join(mixed_keys, "key"), plan).join(pairs, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
+    for most in (1, 16, None):
+        labelled = as_table(buckets.select("key", "size", "doc_id", "n", "sketch").join(groups, "doc_id", "left")
+                            .withColumn("component", F.coalesce("component", "doc_id")), "near-labelled")
+        mixed_keys = as_table(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-mixed")
+        more = as_table(crossing(labelled.join(mixed_keys, "key"), plan, most).join(pairs, ["a", "b"], "left_anti"), "near-more")
+        if most is None and more.isEmpty():
+            break
+        pairs = as_table(pairs.unionByName(more), "near-pairs")
         links = as_table(links.unionByName(verified(more, sets, plan)), "near-links")
         groups = as_table(grouped(links), "near-groups")
     found = members.select("doc_id", "n_shingles", "rep").join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left")
