@@ -1,10 +1,64 @@
-"""A corpus, from raw documents to token ids: language, near-duplicates, personal data, source mix, encoding."""
+"""A corpus, from raw documents to token ids: language, near-duplicates, personal data, source mix, encoding.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of documents. Defined results: rows without doc_id pass like others and are never taken for duplicates; null
+texts have no language and go in the first stage; further columns of the input are left out; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cuegrid.llm import langid, mixing, near_dup, pieces, pii
+from cuegrid.llm.common import fold_of
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least posterior of the predicted language.
+SURE = 0.5
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that some learned language explains; a missing lang is filled with it."""
+    model = langid.train(docs.where(fold_of() != 1))
+    judged = docs.select(*COLUMNS, langid.predicted(F.col("text"), model, spark).alias("p"))
+    return (judged.where((F.col("p.lang_pred") != langid.UNKNOWN) & (F.col("p.score") >= SURE))
+            .withColumn("lang", F.coalesce("lang", "p.lang_pred")).select(COLUMNS))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, and of repeated rows with that id one."""
+    docs = docs.select(COLUMNS)
+    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("turn", turn).where("turn = 1").select(COLUMNS).unionByName(docs.where("doc_id is null"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span is replaced by its kind."""
+    searched = docs.select(*COLUMNS, pii.found(F.col("text"), pii.train(docs), spark).alias("p"))
+    return (searched.withColumn("n_chars", F.when(F.col("p.redacted").isNotNull(), F.length("p.redacted").cast("long")).otherwise(F.col("n_chars")))
+            .withColumn("text", F.coalesce("p.redacted", "text")).select(COLUMNS))
+
+
+def in_target_shares(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, as its text; documents of which it takes nothing go."""
+    return mixing.taken_texts(docs.select(COLUMNS))
+
+
+def as_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, decoded."""
+    done = docs.select("doc_id", "lang", "source", pieces.encoded(F.col("text")).alias("e"))
+    return done.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.decoded")
+
 
-STAGES: list = []
+STAGES = [
+    ("language", in_a_language),
+    ("near duplicates", one_of_each_group),
+    ("personal data", without_personal_data),
+    ("source mix", in_target_shares),
+    ("token ids", as_token_ids),
+]
 #: The stages are trained, hashed or library-bound, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 

@@ -17,12 +17,17 @@ Of the input only doc_id, text and source are read; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import WORD, pieces_for, total_before, uniform
 from cuegrid.plans.store import as_table
 
+WORDS = re.compile(WORD)
 WEIGHTS = (5, 2, 1)
 ROUNDS = 14
 #: Documents of a source that are packed in one window, on average.
@@ -67,12 +72,12 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
 def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 16_384, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """(taken, slots).
 
-    taken: row (a number for each input row), doc_id, size, source_size, target, and parts, an array of (first, last, times):
+    taken: row (a number for each input row), doc_id, digest (a hash of the text), size, source_size, target, and parts, an array of (first, last, times):
     words first..last-1 of the document come `times` times; null if none comes. slots: sid, shard, ordinal, pass, block.
     """
     sized = as_table(docs.select(
         "doc_id", F.col("source").alias("doc_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", F.length("text"), F.lit(seed)).alias("h"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+        F.xxhash64("doc_id", F.length("text"), F.lit(seed)).alias("h"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     quota = F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
     sources = as_table(source_targets(sized.withColumnRenamed("doc_source", "source"))
                        .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
@@ -87,7 +92,7 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 16_384, seed: i
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
     packed = as_table(bucketed.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
                       .join(starts.select("sid", "bucket", "bucket_start"), ["sid", "bucket"])
-                      .select("row", "doc_id", "sid", "size", "source_size", "target", (F.col("start") + F.col("bucket_start")).alias("start")), "mix-packed")
+                      .select("row", "doc_id", "digest", "sid", "size", "source_size", "target", (F.col("start") + F.col("bucket_start")).alias("start")), "mix-packed")
     end, b = F.col("start") + F.col("size"), F.lit(block)
     cut = (packed.where("size > 0")
            .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b))))
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 16_384, seed: i
     drawn = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = (cut.join(drawn, ["sid", "block"]).groupBy("row")
              .agg(F.array_sort(F.collect_list(F.struct("first", "last", "times"))).alias("parts")))
-    return packed.select("row", "doc_id", "size", "source_size", "target").join(parts, "row", "left"), slots
+    return packed.select("row", "doc_id", "digest", "size", "source_size", "target").join(parts, "row", "left"), slots
 
 
 def draw(sources: DataFrame, n_sources: int, slots_per_shard: int, seed: int) -> DataFrame:
@@ -136,3 +141,43 @@ def word_counts(taken: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted."""
     words = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + (p["last"] - p["first"]) * p["times"])
     return taken.select("doc_id", "size", "source_size", F.col("target").cast("double"), F.coalesce(words, F.lit(0)).cast("long").alias("taken"))
+
+
+def rebuilt(text: str, parts: list[tuple[int, int, int]]) -> str:
+    """The taken words of a text, each with the white space that follows it, runs of equal repeats one after another."""
+    starts = [m.start() for m in WORDS.finditer(text)]
+    edges = [0, *starts[1:], len(text)]
+    runs: list[list[int]] = []
+    for first, last, times in parts:
+        if runs and runs[-1][1] == first and runs[-1][2] == times:
+            runs[-1][1] = last
+        else:
+            runs.append([first, last, times])
+    out = []
+    for first, last, times in runs:
+        piece = text[edges[first]:edges[last]]
+        out += [piece] * times
+    glued = [p if p[-1:].isspace() else p + " " for p in out[:-1]]
+    return "".join([*glued, *out[-1:]])
+
+
+def taken_texts(docs: DataFrame, **settings: int) -> DataFrame:
+    """docs with the text that the mix takes, and its n_chars; rows of which nothing is taken are left out.
+
+    Rows meet their parts by (doc_id, text hash, place among equal rows), so repeated rows are served one by one.
+    """
+    digest = F.xxhash64("text")
+    marked = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_nul", F.col("doc_id").isNull()).withColumn("_digest", digest)
+    taken = mix(docs, **settings)[0].where("parts is not null")
+    keys = ["_k", "_nul", "_digest"]
+    parts = (taken.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_nul"), F.col("digest").alias("_digest"), "row", "parts")
+             .withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("row"))).drop("row"))
+    turns = marked.repartition(*keys).withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("source", "lang")))
+    met = turns.join(parts, keys).where(F.col("_copy") - F.col("_turn") == 0)
+
+    def texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, own in batches:
+            yield pd.Series([rebuilt(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(text, own)])
+
+    made = met.withColumn("text", F.pandas_udf(texts, "string")("text", "parts"))
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
