@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
     marks = as_table(signed(docs, plan), "near-marks")
     able = marks.where("n_shingles > 0 and doc_id is not null")
     copies = as_table(able.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("key").alias("copy_key"), "rep"), "near-copies")
-    node = F.coalesce("rep", "doc_id")
+    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     first = (F.col("n_shingles") > 0) & (F.col("doc_id") == node)
     members = as_table(marks.join(copies, F.col("key") == F.col("copy_key"), "left")
                        .select("doc_id", "n_shingles", node.alias("rep"), F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")), "near-members")
