@@ -50,7 +50,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").where(fold_of() != 1).select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return (docs.select("doc_id", (fold_of() == 1).alias("held_out"), toxicity.scored(F.col("text"), model, spark).alias("score"))
             .withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)))
 

@@ -99,8 +99,11 @@ def calibrated(margins: np.ndarray, labels: np.ndarray, positive: float = 0.4) -
     return float(a), float(b)
 
 
-def train(labelled: DataFrame, per_class: int = 4_000, epochs: int = 3) -> tuple[list[int], list[float], float] | None:
-    """(coordinates, weights, intercept) from doc_id, text, toxic; None without both classes."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, epochs: int = 3) -> tuple[list[int], list[float], float] | None:
+    """(coordinates, weights, intercept) from doc_id, text and doc_id, toxic; None without both classes.
+
+    The labels are drawn first: about 2 * per_class rows, which are sent to the tasks that read the texts.
+    """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "doc_id", "text"])
@@ -118,8 +121,10 @@ def train(labelled: DataFrame, per_class: int = 4_000, epochs: int = 3) -> tuple
         at = np.flatnonzero(w[:-1])
         return pd.DataFrame({"at": [at.tolist()], "w": [(slope * w[at]).tolist()], "intercept": [float(slope * w[-1] + shift)]})
 
-    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    sample = sample_about(rows, "toxic", per_class, "toxicity").withColumn("turn", F.xxhash64("doc_id", F.lit("order"))).withColumn("model", F.lit(1))
+    known = labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    drawn = sample_about(known, "toxic", per_class, "toxicity")
+    sample = (docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+              .withColumn("turn", F.xxhash64("doc_id", F.lit("order"))).withColumn("model", F.lit(1)))
     found = sample.groupBy("model").applyInPandas(fit, "at array<long>, w array<double>, intercept double").first()
     return (found["at"], found["w"], found["intercept"]) if found and found["intercept"] is not None else None
 
