@@ -35,7 +35,7 @@ RUN = 30
 LONGEST_PIECE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words whose scores a task keeps. The table starts afresh when full, which changes memory and time, never a score.
-KEPT = 500_000
+KEPT = 300_000
 
 
 class Vocabulary:
@@ -211,16 +211,14 @@ def predicted(text: Column, model: tuple[list[str], np.ndarray], spark, path: st
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(vocabulary_of(where), shared.value) if languages else None
         for batch in batches:
-            out = []
             texts = [t if t and any(map(str.isalpha, t)) else None for t in batch]
             for part in slices(texts, 4_096, 8_000_000):
-                if scorer is None:
-                    out += [(UNKNOWN, 0.0)] * len(part)
-                    continue
-                s = scorer.scores(part)
-                best = s.argmax(axis=1)
-                share = 1.0 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                out += [(languages[b], float(q)) if t else (UNKNOWN, 0.0) for t, b, q in zip(part, best, share)]
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                out = [(UNKNOWN, 0.0)] * len(part)
+                if scorer is not None:
+                    s = scorer.scores(part)
+                    best = s.argmax(axis=1)
+                    share = 1.0 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
+                    out = [(languages[b], float(q)) if t else (UNKNOWN, 0.0) for t, b, q in zip(part, best, share)]
+                yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return F.pandas_udf(rows, "lang_pred string, score double")(text)

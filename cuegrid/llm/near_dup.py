@@ -34,8 +34,8 @@ from cuegrid.plans.store import as_table
 
 WORDS = 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a task keeps. The table starts afresh when full, which changes no hash.
-KEPT = 500_000
+#: Words whose hashes a task keeps until its end. The table starts afresh when full, which changes no hash.
+KEPT = 250_000
 #: Members of a bucket that are compared in one go; larger buckets are compared block by block.
 BLOCK = 2_048
 
@@ -163,6 +163,7 @@ def signed(docs: DataFrame, plan: Bands) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
                     long_lists(list(band_keys(sig, plan).view(np.uint64))), pa.array(sketches(sig), pa.binary())], schema=SIGNED)
+        _hashes.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key string, bands array<long>, sketch binary")
 
@@ -172,6 +173,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for ids, texts in texts_in_parts(batch):
                 yield pa.record_batch([pa.array(ids, pa.int64()), long_lists([shingles(t) for t in texts])], schema=SETS)
+        _hashes.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, shingles array<long>")
 

@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ import public_tokenizers
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
 #: Chunks that a task keeps. The table starts afresh when full, which changes memory and time, never an id.
-KEPT = 400_000
+KEPT = 250_000
 #: Longer chunks are segmented without being kept.
 KEPT_LENGTH = 64
 #: Texts that are cut before their chunks are looked up, and characters at which fewer will do.
@@ -109,14 +110,15 @@ def _over_texts(row, schema: str, path: str | None):
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = table(where)
         for texts in batches:
-            yield pd.DataFrame([row(*x) for part in slices(list(texts)) for x in known.encode(part)], columns=names)
+            for part in slices(list(texts)):  # ids are many: each part leaves on its own
+                yield pd.DataFrame([row(*x) for x in known.encode(part)], columns=names)
 
     return F.pandas_udf(rows, schema)
 
 
 def encoded(text: Column, path: str | None = None) -> Column:
     """struct(ids array<int>, decoded string)."""
-    return _over_texts(lambda ids, back: ([int(i) for i in ids.split(",")] if ids else [], back), "ids array<int>, decoded string", path)(text)
+    return _over_texts(lambda ids, back: (np.array(ids.split(",") if ids else [], np.int32), back), "ids array<int>, decoded string", path)(text)
 
 
 def digests(text: Column, path: str | None = None) -> Column:

@@ -28,7 +28,7 @@ from cuegrid.llm.common import sample_about
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 20
 #: Words whose hashes a task keeps. The table starts afresh when full, which changes no score.
-KEPT = 500_000
+KEPT = 300_000
 THRESHOLD = 0.7
 
 
