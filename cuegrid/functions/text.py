@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Character classes and patterns of the dialogue rules.
+# What counts as blank: ASCII white space, the separators U+001C to U+001F, and the blanks of Unicode, as the ideographic one.
+BLANK = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"[\p{L}\p{N}_\x{C0}-\x{1EF9}]"
 CJK = r"[\x{3400}-\x{9FFF}]"
 TERMINAL = r"""[.!?…,:;]\s*["”')\]}]*$"""
@@ -18,7 +20,7 @@ UNIT_END = r"""[.!?。！？][)"”’]?\s*$"""
 SOURCE_END = r"""[。！？!?]["”’)]?\s*$"""
 ELLIPSIS_TAIL = r"(?:\.{3,}|…+)\s*$"
 ELLIPSIS = r"\s*(?:\.{3,}|…+)\s*"
-OCR_MARKS = r"[\s，。！？,.!?]"
+OCR_MARKS = rf"[{BLANK}，。！？,.!?]"
 PAUSE_MARKS = ",;:!?。.，、！？…"
 SOURCE_MARKS = {
     "?": "?", "？": "?", "!": "!", "！": "!", "。": ".", ".": ".",
@@ -28,11 +30,11 @@ QUESTION_PARTICLES = ("吗", "呢", "吧", "嘛", "么")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def one_spaced(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, rf"[{BLANK}]+", " "))
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -45,7 +47,7 @@ def word_count(text: Column) -> Column:
 
 def split_count(text: Column) -> Column:
     """Number of blank-separated pieces."""
-    return count_of(text, r"\S+")
+    return count_of(text, rf"[^{BLANK}]+")
 
 
 def compact(text: Column) -> Column:
@@ -95,16 +97,17 @@ def ocr_plain(text: Column) -> Column:
 def join_spoken(left: Column, right: Column, source_left: Column) -> Column:
     """Join two display lines, dropping a sentence end the source does not have."""
     source = strip(source_left)
-    base = F.regexp_replace(left, r"\s+$", "")
-    bare = F.regexp_replace(F.regexp_replace(base, r"[.!?。！？]+\s*$", ""), r"\s+$", "")
+    base = F.regexp_replace(left, rf"[{BLANK}]+$", "")
+    bare = F.regexp_replace(base, rf"[.!?。！？]+[{BLANK}]*$|[{BLANK}]+$", "")
+    bare = F.regexp_replace(bare, rf"[{BLANK}]+$", "")
     with_comma = F.when(source.rlike(r"[,，、]\s*$") & ~bare.endswith(","), F.concat(bare, F.lit(","))).otherwise(bare)
     kept = F.when(source.rlike(r"[。！？!?]\s*$"), base).otherwise(with_comma)
-    return strip(F.concat(kept, F.lit(" "), F.regexp_replace(right, r"^\s+", "")))
+    return strip(F.concat(kept, F.lit(" "), F.regexp_replace(right, rf"^[{BLANK}]+", "")))
 
 
 def balanced_lines(text: Column, count: Column) -> Column:
     """Split the words into `count` lines, longer ones first; null if too few words."""
-    words = F.split(strip(text), r"\s+")
+    words = F.split(strip(text), rf"[{BLANK}]+")
     n = F.when(strip(text) == "", 0).otherwise(F.size(words))
     base, extra = F.floor(n / count).cast("int"), (n % count).cast("int")
     lines = F.transform(

@@ -35,6 +35,10 @@ ACTIVE, ATTENTION = ("queued", "running"), ("failed", "needs_review")
 PRO_PRICE, BASE_PRICE, PRICED_PROVIDER = (0.003625, 0.435, 0.87), (0.0028, 0.14, 0.28), "deepseek"
 
 
+#: Longest list of recent jobs.
+MOST_RECENT = 200
+
+
 def with_added_columns(old: DataFrame, current: DataFrame, defaults: dict) -> DataFrame:
     """Rows written before a column existed, brought to the current table shape."""
     rows = old.unionByName(current, allowMissingColumns=True)
@@ -222,8 +226,10 @@ def natural_order(files: DataFrame, key: str, tie: str) -> DataFrame:
 
 
 def recent(jobs: DataFrame, n: int = 50) -> DataFrame:
-    """Newest first, as a distributed top-n."""
-    return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(min(200, max(1, n)))
+    """Newest first, as a distributed top-n; a request for none or for more than 200 is refused."""
+    if not 1 <= n <= MOST_RECENT:
+        raise ValueError(f"between 1 and {MOST_RECENT} jobs can be listed, not {n}")
+    return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(n)
 
 
 def by_status(batches: DataFrame, *statuses: str) -> DataFrame:

@@ -27,7 +27,9 @@ TIMING_RULES = {
 LAYOUT_RULES = {"adaptive_subtitle_layout": "error", "source_pixels_covered": "error"}
 MAX_TEMPO, MAX_OVERFLOW_MS, MAX_SPAN_MS, MAX_GAP_MS = 1.12, 150, 14_000, 800
 ALIGNED = "punctuated_sentence"
-LISTED_IDS = 20
+#: How many ids a report lists for these rules; the others list all of theirs.
+LISTED_IDS = dict.fromkeys((
+    "empty_noise", "untranslated_text", "adjacent_repetition", "orphan_fragments", *TIMING_RULES), 20)
 
 
 def _flags(rules: dict[str, Column]) -> Column:
@@ -196,11 +198,15 @@ def findings(flagged: DataFrame) -> DataFrame:
     return flagged.select("media_id", F.explode("flags").alias("name"), "item_id", "pos")
 
 
-def first_findings(found: DataFrame, n: int = LISTED_IDS) -> DataFrame:
-    """The ids a report message shows; the limit is applied before the shuffle."""
+def first_findings(found: DataFrame, limits: dict[str, int] = LISTED_IDS) -> DataFrame:
+    """The ids a report message shows, up to the rule's limit if it has one; that applies before the shuffle."""
     w = Window.partitionBy("media_id", "name").orderBy("pos", "item_id")
-    top = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
-    return top.groupBy("media_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "item_id"))), lambda x: x["item_id"]).alias("ids"))
+    limited = found.where(F.col("name").isin(*limits))
+    most = reduce(lambda c, kv: c.when(F.col("name") == kv[0], kv[1]), limits.items(), F.when(F.lit(False), 0))
+    # the window's rank limit needs one number; rules with a smaller one are cut after it
+    top = limited.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(limits.values(), default=0)).where(F.col("_k") <= most)
+    whole = found.where(~F.col("name").isin(*limits)).select("*", F.struct("pos", "item_id").alias("_o"))
+    return top.select("media_id", "name", "item_id", F.struct(F.col("pos"), "item_id").alias("_o")).unionByName(whole.select("media_id", "name", "item_id", "_o")).groupBy("media_id", "name").agg(F.transform(F.array_sort(F.collect_list("_o")), lambda x: x["item_id"]).alias("ids"))
 
 
 def summary(checked: DataFrame) -> DataFrame:

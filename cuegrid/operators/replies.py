@@ -27,16 +27,26 @@ def unfenced(reply: Column) -> Column:
 
 
 def as_sequence(text: Column) -> Column:
-    """JSON values written one after the other, as one array.
+    """JSON values written one after the other, as one array; a text that is one value is its only element.
 
-    The text is cut into strings and other pieces, so braces inside strings
-    never count; outside them '}' is followed by '{' only between values.
+    Commas are put in between objects at the outermost level alone, so an array that lacks one inside stays unreadable.
+    The text is cut into strings, brackets and other pieces (by possessive runs, which need no stack however long a
+    string is); a running count of open brackets tells the levels.
     """
-    pieces = F.filter(
-        F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"|[{}]|[^"{}\s]+|\s+|")'), F.lit(1)), lambda p: ~p.rlike(r"^\s+$"))
-    following = F.slice(pieces, 2, 2_000_000_000)
-    spaced = F.zip_with(pieces, following, lambda p, after: F.when((p == "}") & (after == "{"), "},").otherwise(p))
-    return F.concat(F.lit("["), F.array_join(spaced, " "), F.lit("]"))
+    pieces = F.regexp_extract_all(text, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}\s]++|")'), F.lit(1))
+
+    def put(state: Column, piece: Column) -> Column:
+        opens, closes = piece.isin("{", "["), piece.isin("}", "]")
+        between = (state["depth"] == 0) & (piece == "{") & (state["last"] == "}")
+        return F.struct(
+            (state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), piece.alias("last"),
+            F.when(between, F.concat(state["cuts"], F.array(state["at"]))).otherwise(state["cuts"]).alias("cuts"), (state["at"] + 1).alias("at"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"))
+    cuts = F.aggregate(pieces, start, put, lambda s: s["cuts"])
+    spaced = F.transform(pieces, lambda p, i: F.when(F.array_contains(cuts, i), F.concat(F.lit(","), p)).otherwise(p))
+    one = F.concat(F.lit("["), text, F.lit("]"))
+    return F.when(F.try_parse_json(one).isNotNull(), one).otherwise(F.concat(F.lit("["), F.array_join(spaced, " "), F.lit("]")))
 
 
 def _at(item: Column, name: str, kind: str) -> Column:
@@ -83,7 +93,7 @@ def translation_items(replies: DataFrame) -> DataFrame:
     text = F.when(F.col("kind") == "map", own).when(_at(value, "text", "variant").isNotNull(), text_at("text")).otherwise(aliased)
     items = items.select("media_id", "batch_no", F.coalesce("pos", F.lit(0)).alias("pos"), F.when(broken, F.col("kind")).alias("broken"),
                          X.strip(raw_id).alias("raw"), X.strip(text).alias("text"))
-    items = items.withColumn("item_id", F.when(F.col("raw").rlike(r"^[+-]?\d{1,18}$"), F.col("raw").try_cast("long")))
+    items = items.withColumn("item_id", F.when(F.col("raw").rlike(r"^[+-]?\d+$"), F.col("raw").try_cast("long")))
     problem = F.coalesce("broken", F.when(F.col("raw").isNull() | F.col("text").isNull(), "no_id_or_text").when(F.col("item_id").isNull(), "bad_id"))
     return items.select("media_id", "batch_no", "pos", "item_id", "text", problem.alias("problem"))
 
@@ -107,15 +117,28 @@ def reply_status(items: DataFrame, expected: DataFrame, allow_missing: bool = Fa
 UTTERANCES = "array<struct<cue_ids:array<bigint>,full_text:string,display_lines:array<struct<id:bigint,text:string>>>>"
 
 
+def _master_list(reply: Column) -> Column:
+    text = F.regexp_replace(reply, r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    return F.coalesce(F.from_json(text, f"utterances {UTTERANCES}").getField("utterances"), F.from_json(text, UTTERANCES))
+
+
+def _list_status(replies: DataFrame, listed: Column) -> DataFrame:
+    status = F.when(listed.isNull(), "unreadable").when(F.size(listed) == 0, "empty").otherwise("ok")
+    return replies.select("media_id", "batch_no", status.alias("status"))
+
+
+def master_status(replies: DataFrame) -> DataFrame:
+    """One row a reply: ok, empty or unreadable, for those that give master_groups no row."""
+    return _list_status(replies, _master_list(F.col("reply")))
+
+
 def master_groups(replies: DataFrame) -> DataFrame:
     """Utterance rows of dialogue replies; blank display lines are refilled from the full text.
 
     Adds same_words: the display lines speak exactly the words of full_text.
-    Replies that do not parse give no row.
+    Replies that do not parse give no row; master_status tells them.
     """
-    text = F.regexp_replace(F.col("reply"), r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    listed = F.coalesce(F.from_json(text, f"utterances {UTTERANCES}").getField("utterances"), F.from_json(text, UTTERANCES))
-    r = replies.select("media_id", "batch_no", F.posexplode(listed).alias("pos", "u"))
+    r = replies.select("media_id", "batch_no", F.posexplode(_master_list(F.col("reply"))).alias("pos", "u"))
     r = r.select("media_id", "batch_no", "pos", "u.cue_ids", X.strip(F.col("u.full_text")).alias("full_text"),
                  F.transform("u.display_lines", lambda d: d["id"]).alias("line_ids"),
                  F.transform("u.display_lines", lambda d: X.strip(F.coalesce(d["text"], F.lit("")))).alias("lines"))
@@ -130,13 +153,20 @@ def master_groups(replies: DataFrame) -> DataFrame:
 DIRECTION = "struct<id:bigint,spoken_text:string,emotion:string,intensity:double,style:string,pause_before_ms:int,pause_after_ms:int>"
 
 
+def _direction_list(reply: Column) -> Column:
+    v = F.try_parse_json(F.regexp_replace(reply, r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    wrapped = F.coalesce(*[F.try_variant_get(v, f"$.{n}", f"array<{DIRECTION}>") for n in ("prosody", "items", "translations")])
+    return F.coalesce(wrapped, F.try_variant_get(v, "$", f"array<{DIRECTION}>"))
+
+
+def direction_status(replies: DataFrame) -> DataFrame:
+    """One row a reply: ok, empty or unreadable, for those that give direction_items no row."""
+    return _list_status(replies, _direction_list(F.col("reply")))
+
+
 def direction_items(replies: DataFrame) -> DataFrame:
     """Delivery directions of replies, bare or under one of three wrapper names."""
-    text = F.regexp_replace(F.col("reply"), r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    v = F.try_parse_json(text)
-    wrapped = F.coalesce(*[F.try_variant_get(v, f"$.{n}", f"array<{DIRECTION}>") for n in ("prosody", "items", "translations")])
-    listed = F.coalesce(wrapped, F.try_variant_get(v, "$", f"array<{DIRECTION}>"))
-    r = replies.select("media_id", "batch_no", F.posexplode(listed).alias("pos", "d")).where("d.id is not null")
+    r = replies.select("media_id", "batch_no", F.posexplode(_direction_list(F.col("reply"))).alias("pos", "d")).where("d.id is not null")
     return r.select("media_id", "batch_no", "pos", F.col("d.id").alias("id"), *[
         F.col(f"d.{c}").alias(f"new_{c}") for c in ("spoken_text", "emotion", "intensity", "style", "pause_before_ms", "pause_after_ms")])
 

@@ -252,11 +252,12 @@ def segments_to_cues(segments: DataFrame, seq: Sequence) -> DataFrame:
                     X.strip(F.col("text")).alias("content"))
 
 
-def sample_grid(media: DataFrame, longest: int = 3600) -> DataFrame:
-    """Detector timestamps of each medium from (media_id, duration_ms)."""
+def sample_grid(media: DataFrame, longest: int | None = None) -> DataFrame:
+    """Detector timestamps of each medium from (media_id, duration_ms); `longest` spreads that many over a longer medium."""
     seconds = F.col("duration_ms") / 1000
     fps = F.when(seconds <= 120, 4).when(seconds <= 900, 2).otherwise(1)
-    m = media.withColumn("_n", F.least(F.lit(longest), F.greatest(F.lit(1), M.rounded(seconds * fps))).cast("int"))
+    n = F.greatest(F.lit(1), M.rounded(seconds * fps))
+    m = media.withColumn("_n", (n if longest is None else F.least(F.lit(longest), n)).cast("int"))
     m = m.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = F.least(F.col("duration_ms"), F.floor((2 * F.col("sample_no") + 1) * F.col("duration_ms") / (2 * F.col("_n"))).cast("long"))
     return m.select("media_id", "sample_no", at.alias("ts_ms"))

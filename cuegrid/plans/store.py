@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Masters whose executors are the driver itself.
+ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
@@ -23,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
-    if not sc.master.startswith("local"):
+    if not ONE_MACHINE.fullmatch(sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     own = tempfile.mkdtemp(prefix="cuegrid-")
     sc.setCheckpointDir(own)

@@ -39,7 +39,7 @@ def _parsed(reports: DataFrame, schema: str) -> DataFrame:
 def aligned_words(reports: DataFrame) -> DataFrame:
     r = _parsed(reports, TRANSCRIPT).select("media_id", F.posexplode("r.word_segments").alias("pos", "w"))
     return r.select("media_id", F.col("pos").cast("long").alias("pos"), "w.word", F.bround(F.col("w.start") * 1000).cast("long").alias("start_ms"),
-                    F.bround(F.col("w.end") * 1000).cast("long").alias("end_ms"), "w.speaker")
+                    F.bround(F.col("w.end") * 1000).cast("long").alias("end_ms"), F.nullif(F.trim("w.speaker"), F.lit("")).alias("speaker"))
 
 
 def segment_cues(reports: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cuegrid.sources.reports import report_texts
 
 TIME = r"\d+:\d\d:\d\d[,.]\d+"
-BLOCK = rf"(\d+[ \t]*\n{TIME} *--> *{TIME}[^\n]*(?:\n(?!\s*\d+[ \t]*\n{TIME})[^\n]*)*)"
+#: The place before a block's head, and the head itself.
+BEFORE_HEAD = rf"(?m)(?=^[ \t]*\d+[ \t]*\n{TIME} *--> *{TIME})"
+HEAD = rf"^[ \t]*(\d+)[ \t]*\n({TIME}) *--> *({TIME})[^\n]*"
 
 
 def timecode(ms: Column) -> Column:
@@ -48,14 +50,30 @@ def write_srt(cues: DataFrame, path: str) -> None:
     ordered.select("media_id", F.regexp_replace("value", r"\n$", "").alias("value")).write.option("lineSep", "\n").partitionBy("media_id").text(path)
 
 
+def srt_blocks(texts: DataFrame) -> DataFrame:
+    """(media_id, block_no, block): texts cut before every head, so a block may have any length; block 0 has no head."""
+    body = F.regexp_replace(F.regexp_replace("body", r"\r\n?", "\n"), "^\ufeff", "")
+    cut = F.split(F.concat(F.lit("\n"), body), BEFORE_HEAD)
+    return texts.select("media_id", F.posexplode(cut).alias("block_no", "block"))
+
+
 def parse_srt(texts: DataFrame) -> DataFrame:
     """Cues of (media_id, body) texts; a text is one SubRip file or one whole part of it."""
-    body = F.regexp_replace(F.regexp_replace("body", r"\r\n?", "\n"), "^\ufeff", "")
-    b = texts.select("media_id", F.explode(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(1))).alias("b"))
-    head = rf"^(\d+)[ \t]*\n({TIME}) *--> *({TIME})[^\n]*"
-    content = F.regexp_replace(F.regexp_replace("b", head, ""), r"^\n+|\n+$", "")
-    return b.select("media_id", F.regexp_extract("b", head, 1).cast("long").alias("cue_id"), timecode_ms(F.regexp_extract("b", head, 2)).alias("start_ms"),
-                    timecode_ms(F.regexp_extract("b", head, 3)).alias("end_ms"), content.alias("content"))
+    b = srt_blocks(texts).where(F.col("block").rlike(HEAD))
+    content = F.regexp_replace(F.regexp_replace("block", HEAD, ""), r"^\n+|\n+$", "")
+    return b.select("media_id", F.regexp_extract("block", HEAD, 1).cast("long").alias("cue_id"), timecode_ms(F.regexp_extract("block", HEAD, 2)).alias("start_ms"),
+                    timecode_ms(F.regexp_extract("block", HEAD, 3)).alias("end_ms"), content.alias("content"))
+
+
+def malformed_blocks(texts: DataFrame) -> DataFrame:
+    """(media_id, block_no, problem): text before the first head, and time lines inside a block that have no number above.
+
+    Nothing of a file disappears without a row here or in parse_srt.
+    """
+    stray = (F.col("block_no") == 0) & F.regexp_replace("block", r"\s+", "").rlike(".")
+    inner = F.regexp_replace("block", HEAD, "").rlike(rf"(?m)^[ \t]*{TIME} *-->")
+    problem = F.when(stray, "no_head").when(inner, "no_number")
+    return srt_blocks(texts).select("media_id", "block_no", problem.alias("problem")).where("problem is not null")
 
 
 def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:

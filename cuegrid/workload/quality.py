@@ -47,7 +47,7 @@ def qa_findings(spark, sf_dir):
 
 
 @query("qa_first_ids", "marked", DELIVERABLE_SQL + "," + CUE_SQL + """ select media_id, name, string_agg(cue_id, ',' order by cue_id) ids from (select * from cue_bad
-    where name is not null qualify row_number() over (partition by media_id, name order by cue_id) <= 20) group by all""")
+    where name is not null qualify row_number() over (partition by media_id, name order by cue_id) <= 20 or name in ('empty_lines', 'subtitle_timing')) group by all""")
 def qa_first_ids(spark, sf_dir):
     f = Q.first_findings(Q.findings(Q.cue_flags(deliverable(spark, sf_dir), views.marked(spark, sf_dir))))
     return f.select("media_id", "name", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))

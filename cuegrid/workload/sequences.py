@@ -355,7 +355,7 @@ def adjacent_repetition(spark, sf_dir):
   select media_id, sample_no, least(d, (2 * sample_no + 1) * d // (2 * n)) ts_ms from i""")
 def sample_grid(spark, sf_dir):
     d = views.cues(spark, sf_dir).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
-    return S.sample_grid(d.withColumn("duration_ms", F.col("duration_ms") * (1 + F.col("media_id") % 25)))
+    return S.sample_grid(d.withColumn("duration_ms", F.col("duration_ms") * (1 + F.col("media_id") % 25)), longest=3600)
 
 
 @query("refinement_grid", "ocr_cues", """l as (select * from ocr_cues where coalesce(score, 1.0) < 0.88),
