@@ -65,24 +65,25 @@ def in_dominant_bands(boxes: DataFrame, bands: DataFrame, frame_height: int) ->
 
 
 def _track_step(step_ms: int, frame_width: int, frame_height: int):
-    """Put a box on the nearest open track; tracks silent for 2.2 steps are closed."""
-    reach, tall, wide = step_ms * 2.2, frame_height * 0.045, frame_width * 0.12
+    """Put a box on the open track nearest in height; tracks silent for 2.2 steps are closed.
+
+    State: one [track_id, last ts, x, y, w, h] for each open track, oldest track first.
+    """
+    silence, tall, wide = step_ms * 2.2, frame_height * 0.045, frame_width * 0.12
+
+    def offsets(box, last):
+        """Distances of the centres as shares of what the two boxes allow, and the plain one in height."""
+        (x, y, w, h), (u, v, s, t) = box, last
+        across, down = abs(x + w / 2 - u - s / 2), abs(y + h / 2 - v - t / 2)
+        return across <= max(wide, 0.45 * min(w, s)) and down <= max(tall, 0.8 * min(h, t)), down
 
     def step(state, row):
-        ts, seq, x, y, w, h = row
-        tracks = [t for t in state or [] if ts - t[1] <= reach]
-        cx, cy = x + w / 2, y + h / 2
-        best = None
-        for t in tracks:
-            _, _, tx, ty, tw, th = t
-            dy, dx = abs(cy - (ty + th / 2)), abs(cx - (tx + tw / 2))
-            if dy <= max(tall, min(h, th) * 0.8) and dx <= max(wide, min(w, tw) * 0.45) and (best is None or dy < best[0]):
-                best = (dy, t)
-        track = best[1] if best else [seq]
-        if best is None:
-            tracks.append(track)
-        track[1:] = [ts, x, y, w, h]
-        return tracks, (track[0],)
+        ts, seq, *box = row
+        live = {t[0]: t for t in state or () if ts - t[1] <= silence}
+        fits = {track: down for track, t in live.items() for able, down in [offsets(box, t[2:])] if able}
+        chosen = min(fits, key=fits.get, default=seq)  # of equal distances the oldest track's
+        live[chosen] = [chosen, ts, *box]
+        return list(live.values()), (chosen,)
     return step
 
 
@@ -153,28 +154,35 @@ def merge_regions(regions: DataFrame, step_ms: int, frame_height: int, width_ms:
                     (F.col("bottom") - F.col("y")).alias("height"), "confidence", "start_ms", "end_ms")
 
 
-def fallback_regions(cues: DataFrame, frame_width: int, frame_height: int) -> DataFrame:
-    """The usual subtitle band over the padded cue times, at low confidence."""
+def fallback_regions(cues: DataFrame, frame_width: int, frame_height: int, media: DataFrame | None = None) -> DataFrame:
+    """The usual subtitle band over the padded cue times, at low confidence.
+
+    media may give (media_id, duration_ms); spans then end with the video, and those that start after it are left out.
+    """
     # The band in shares of the frame.
     x1, x2, y1, y2 = round(frame_width * 0.08), round(frame_width * 0.92), round(frame_height * 0.76), round(frame_height * 0.90)
-    return merge_intervals(cues).select(
+    spans = merge_intervals(cues)
+    if media is not None:
+        spans = spans.join(media.select("media_id", "duration_ms"), "media_id", "left").withColumn("end_ms", F.least("end_ms", "duration_ms")).where("start_ms < end_ms")
+    return spans.select(
         "media_id", F.col("span_id").alias("region_id"), F.lit(x1).cast("long").alias("x"), F.lit(y1).cast("long").alias("y"),
         F.lit(x2 - x1).cast("long").alias("width"), F.lit(y2 - y1).cast("long").alias("height"), F.lit(0.25).alias("confidence"), "start_ms", "end_ms")
 
 
-def source_regions(boxes: DataFrame, cues: DataFrame, step_ms: int, frame_width: int, frame_height: int) -> DataFrame:
+def source_regions(boxes: DataFrame, cues: DataFrame, step_ms: int, frame_width: int, frame_height: int, media: DataFrame | None = None) -> DataFrame:
     """Regions of every medium of `cues`: merged tracks of the dominant bands, or the fallback band.
 
     method tells whether anything was detected; only the confidence tells a
-    fallback after detections without a track.
+    fallback after detections without a track. media may give (media_id,
+    duration_ms), with which every region ends at the latest.
     """
     bands = dominant_bands(band_ranks(boxes, step_ms, frame_width, frame_height))
     tracks = box_tracks(in_dominant_bands(boxes, bands, frame_height), step_ms, frame_width, frame_height)
-    envelopes = cut(track_envelopes(tracks, step_ms, frame_width, frame_height))
+    envelopes = cut(track_envelopes(tracks, step_ms, frame_width, frame_height, media))
     found = cut(merge_regions(envelopes, step_ms, frame_height))
     bare = cues.join(found.select("media_id").distinct(), "media_id", "left_anti")
     seen = boxes.select("media_id").distinct().withColumn("method", F.lit("visual_tracks_v2"))
-    both = found.unionByName(fallback_regions(bare, frame_width, frame_height))
+    both = found.unionByName(fallback_regions(bare, frame_width, frame_height, media))
     return both.join(seen, "media_id", "left").withColumn("method", F.coalesce("method", F.lit("lower_band_fallback")))
 
 

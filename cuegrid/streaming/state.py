@@ -7,6 +7,7 @@ micro-batch overwrites its own folder, so a restart counts nothing twice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +21,26 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def spill_state(spark: SparkSession) -> None:
-    """Keep streaming state on disk in RocksDB unless the session chose a store."""
-    if spark.conf.get(STORE, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+@contextmanager
+def spilled_state(spark: SparkSession) -> Iterator[None]:
+    """Keep streaming state on disk in RocksDB, unless the session chose a store, for the queries started inside."""
+    before = spark.conf.get(STORE, None)
+    if before in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
         spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
 
 
 def _run(stream: DataFrame, mode: str, write, checkpoint: str) -> None:
     """Process what the source has now, then stop."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    with spilled_state(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
 
 
 def _folder(path: str, batch_id: int) -> str:
@@ -49,7 +60,6 @@ def stream_usage(tokens: DataFrame, path: str, checkpoint: str) -> DataFrame:
     current totals, ready for the cost and per-medium rollup.
     """
     spark = tokens.sparkSession
-    spill_state(spark)
 
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(_folder(path, batch_id))
@@ -66,7 +76,6 @@ def stream_batch_progress(changes: DataFrame, batches: DataFrame, path: str, che
     change_no); the highest change_no of a job wins.
     """
     spark = changes.sparkSession
-    spill_state(spark)
     log, progress = f"{path}/changes", f"{path}/progress"
     state = ["batch_id", "position", "filename", "status", "error"]
 
@@ -138,7 +147,6 @@ def stream_sessions(samples: DataFrame, path: str, checkpoint: str, step_ms: int
     samples of a medium in time order; the state per medium is one line.
     """
     spark = samples.sparkSession
-    spill_state(spark)
     closed = samples.groupBy("media_id").transformWithStateInPandas(
         statefulProcessor=TextSessions(step_ms), outputStructType=SESSION, outputMode="Append", timeMode="None")
 

@@ -247,3 +247,20 @@ def test_ocr_session_timing(spark):
     s = spark.createDataFrame([(1, i, i * 400, t, 80) for i, t in enumerate(["p", "q", "q", "p"])], "media_id long, seq long, ts_ms long, text string, score_pct long")
     got = [(r.text, r.samples) for r in S.ocr_sessions(s, Sequence(("media_id",), ("seq",))).orderBy("session").collect()]
     assert got == [("p", 1), ("q", 2), ("p", 1)]
+
+
+def test_regions_end_with_the_video(spark):
+    boxes = spark.createDataFrame([(1, t, i, 300, 600, 400, 40, 90) for i, t in enumerate(range(0, 3000, 250))], "media_id long, ts_ms long, seq long, x int, y int, w int, h int, score_pct int")
+    cues_ = spark.createDataFrame([(1, 1, 0, 2900), (2, 1, 100, 5000), (2, 2, 7000, 8000)], "media_id long, cue_id long, start_ms long, end_ms long")
+    video = spark.createDataFrame([(1, 2800), (2, 4000)], "media_id long, duration_ms long")
+    from cuegrid.operators import regions as B
+    got = B.source_regions(boxes, cues_, 250, 1280, 720, video).collect()
+    assert {(r.media_id, r.end_ms) for r in got} == {(1, 2800), (2, 4000)}
+
+
+def test_streams_leave_the_session_as_it_was(spark):
+    from cuegrid.streaming import state
+    before = spark.conf.get(state.STORE, None)
+    with state.spilled_state(spark):
+        assert spark.conf.get(state.STORE) == state.ROCKSDB
+    assert spark.conf.get(state.STORE, None) == before
