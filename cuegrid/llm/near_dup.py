@@ -4,10 +4,10 @@
    (SuperMinHash, Ertl 2017); a slot keeps the least value. A document stops after the turn that no later value can beat.
 2. Classes. Documents with equal shingle sets are one class; only the smallest doc_id of each goes on.
 3. Bands. 32 bands of 4 slots: a pair at similarity 0.75 shares no band with probability 5e-6, at 0.8 with 5e-8.
-   Round one pairs every member of a bucket with the bucket's smallest id. After verification and grouping, further rounds look
-   only at buckets whose members are not all in one group, and compare members of different groups by sketches of their
-   signatures, one byte a slot. Of the pairs that could reach the threshold, the most similar one of each two groups goes to
-   verification, then 16, then all that are left, so a group joined by its best links never spells out the others.
+   Round one pairs every member of a bucket with the bucket's smallest id. After verification and grouping, round two looks
+   only at buckets whose members are not all in one group. Members that a sketch of the signatures (one byte a slot) allows
+   to be linked with a member of another group meet with their full sets, bucket by bucket, and one link of each two groups
+   is returned: no list of pairs is ever written, however large a bucket.
 4. Verification counts the intersection of the full shingle sets.
 5. Grouping alternates large-star and small-star steps on the links until nothing changes; no group meets in one task.
 
@@ -38,6 +38,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 KEPT = 250_000
 #: Members of a bucket that are compared in one go; larger buckets are compared block by block.
 BLOCK = 2_048
+#: Shingles of such members, likewise.
+WEIGHT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -124,9 +126,10 @@ def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> list[bytes]:
-    """One byte of every slot: equal bytes come up with a probability that exceeds the similarity by 1/256 of the rest."""
-    return [row.tobytes() for row in (mixed(sig) & np.uint64(0xFF)).astype(np.uint8)]
+def sketches(sig: np.ndarray, keys: np.ndarray) -> list[bytes]:
+    """32 bits of every band key, then one byte of every slot: equal bytes come up with little more than the similarity."""
+    low = (keys.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return [a.tobytes() + b.tobytes() for a, b in zip(low, (mixed(sig) & np.uint64(0xFF)).astype(np.uint8))]
 
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -160,9 +163,10 @@ def signed(docs: DataFrame, plan: Bands) -> DataFrame:
             for ids, texts in texts_in_parts(batch):
                 sets = [shingles(t) for t in texts]
                 sig = signatures(sets, plan.slots)
+                keys = band_keys(sig, plan)
                 yield pa.record_batch([
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
-                    long_lists(list(band_keys(sig, plan).view(np.uint64))), pa.array(sketches(sig), pa.binary())], schema=SIGNED)
+                    long_lists(list(keys.view(np.uint64))), pa.array(sketches(sig, keys), pa.binary())], schema=SIGNED)
         _hashes.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key string, bands array<long>, sketch binary")
@@ -208,86 +212,115 @@ def grouped(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def crossing(members: DataFrame, plan: Bands, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different groups, whose sketches and sizes allow the threshold.
+UNIT = ["key", "i", "j"]
+MEMBER = "key long, i int, j int, second boolean, doc_id long, component long"
 
-    members: key, size (of the bucket), doc_id, n, sketch, component. A bucket of more than BLOCK members is compared in
-    pairs of hashed blocks, each pair of blocks a unit of its own. Of each two groups in a unit the `most` pairs with the most
-    similar sketches are returned; None: all of them.
+
+def by_unit(rows: DataFrame, schema: str, handle) -> DataFrame:
+    """handle(table) for the rows of each (key, i, j), streamed: a task holds one unit and one batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            starts = unit_starts(rest)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                yield from handle(rest.slice(lo, hi - lo)).to_batches()
+            rest = rest.slice(starts[-1]) if len(starts) else rest
+        if rest is not None and rest.num_rows:
+            yield from handle(rest).to_batches()
+
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, schema)
+
+
+def unit_starts(table: pa.Table) -> np.ndarray:
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    unit = np.stack([table[c].to_numpy() for c in UNIT])
+    return np.concatenate([[0], 1 + np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0))])
+
+
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare with columns: all with all inside a block, one block with the other otherwise."""
+    if table["i"][0].as_py() == table["j"][0].as_py():
+        every = np.arange(table.num_rows)
+        return every, every
+    second = table["second"].to_numpy(zero_copy_only=False)
+    return np.flatnonzero(second), np.flatnonzero(~second)
+
+
+def in_question(members: DataFrame, plan: Bands) -> DataFrame:
+    """MEMBER rows: of each unit those that have a partner of another group there which sketch and size allow to be a link.
+
+    members: key, size and weight (members and shingles of the bucket), doc_id, n, sketch, component. A bucket of more than
+    BLOCK members or WEIGHT shingles is compared in pairs of hashed blocks, each pair of blocks a unit. A pair that shares
+    several buckets counts only in that of its first common band.
     """
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("weight") / F.lit(WEIGHT))).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     units = (members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"),
-                     "doc_id", "n", "sketch", "component"))
-    slots, percent = plan.slots, plan.percent
+                     "doc_id", "component", "n", "sketch"))
+    slots, percent, width = plan.slots, plan.percent, 4 * plan.bands
     # 4.9 standard deviations of the share of equal slots below its mean at the threshold: one pair in a million falls short
     enough = slots * percent / 100 - 4.9 * (slots * percent / 100 * (1 - percent / 100)) ** 0.5
 
-    def compare(ids, n, sketch, comp, second, diagonal) -> np.ndarray:
-        """Rows (a, b) of a unit."""
-        rows = np.arange(len(ids)) if diagonal else np.flatnonzero(second)
-        cols = rows if diagonal else np.flatnonzero(~second)
-        x_all, y_all, e_all = [], [], []
+    def handle(table: pa.Table) -> pa.Table:
+        comp, n = table["component"].to_numpy(), table["n"].to_numpy()
+        raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        bands, sketch = np.ascontiguousarray(raw[:, :width]).view(np.uint32), raw[:, width:]
+        own = np.uint32(table["key"][0].as_py() & 0xFFFFFFFF)
+        band = int(np.flatnonzero((bands == own).all(axis=0))[0])
+        rows, cols = sides(table)
+        wanted = np.zeros(table.num_rows, bool)
         for lo in range(0, len(rows), 64):
             r = rows[lo:lo + 64]
             fits = comp[r][:, None] != comp[cols][None, :]
             fits &= 100 * np.minimum(n[r][:, None], n[cols][None, :]) >= percent * np.maximum(n[r][:, None], n[cols][None, :])
+            for b in range(band):
+                fits &= bands[r, b][:, None] != bands[cols, b][None, :]
             x, y = np.nonzero(fits)
             for part in range(0, len(x), 50_000):
                 px, py = r[x[part:part + 50_000]], cols[y[part:part + 50_000]]
-                equal = (sketch[px] == sketch[py]).sum(axis=1)
-                keep = equal >= enough
-                x_all.append(px[keep])
-                y_all.append(py[keep])
-                e_all.append(equal[keep])
-        if not x_all:
-            return np.zeros((2, 0), np.int64)
-        x, y, equal = np.concatenate(x_all), np.concatenate(y_all), np.concatenate(e_all)
-        pair = np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])])
-        if most is None or not len(x):
-            return pair
-        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        order = np.lexsort((pair[1], pair[0], -equal, high, low))
-        pair, low, high = pair[:, order], low[order], high[order]
-        new = np.flatnonzero((np.diff(pair[0], prepend=-1) != 0) | (np.diff(pair[1], prepend=-1) != 0))  # a pair of one block is met twice
-        pair, low, high = pair[:, new], low[new], high[new]
-        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        place = np.arange(len(low)) - np.maximum.accumulate(np.where(first, np.arange(len(low)), 0))
-        return pair[:, place < most]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            yield from emit(rest, False)
-            rest = rest.slice(last_start(rest))
-        if rest is not None and rest.num_rows:
-            yield from emit(rest, True)
+                keep = (sketch[px] == sketch[py]).sum(axis=1) >= enough
+                wanted[px[keep]] = wanted[py[keep]] = True
+        return table.filter(pa.array(wanted)).select(["key", "i", "j", "second", "doc_id", "component"])
 
-    def starts(table: pa.Table) -> np.ndarray:
-        unit = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-        return np.concatenate([[0], 1 + np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0))]) if table.num_rows else np.zeros(0, np.int64)
+    return by_unit(units, MEMBER, handle)
 
-    def last_start(table: pa.Table) -> int:
-        s = starts(table)
-        return int(s[-1]) if len(s) else 0
 
-    def emit(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        s = starts(table)
-        ends = np.append(s[1:], table.num_rows)
-        if not last:
-            s, ends = s[:-1], ends[:-1]
-        if not len(s):
-            return
-        ids, n, comp = (table[c].to_numpy() for c in ("doc_id", "n", "component"))
-        second, i, j = (table[c].to_numpy() for c in ("second", "i", "j"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        found = np.concatenate([compare(ids[lo:hi], n[lo:hi], sketch[lo:hi], comp[lo:hi], second[lo:hi], i[lo] == j[lo]) for lo, hi in zip(s, ends)], axis=1)
-        yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+def crossing_links(members: DataFrame, sets: DataFrame, plan: Bands) -> DataFrame:
+    """One verified link (a, b) of each two groups that have one in a unit; members: MEMBER rows.
 
-    return (units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(pairs, "a long, b long")).distinct()
+    Full sets meet in the unit: each row outside its largest group is held against all others of other groups.
+    """
+    percent = plan.percent
+
+    def handle(table: pa.Table) -> pa.Table:
+        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        rows, cols = sides(table)
+        is_row, is_col = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        is_row[rows], is_col[cols] = True, True
+        values, counts = np.unique(comp, return_counts=True)
+        mark = np.zeros(int(flat.max()) + 1, np.int32)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for x in np.flatnonzero(comp != values[counts.argmax()]):
+            mark[flat[starts[x]:starts[x + 1]]] = 1
+            common = np.add.reduceat(mark[flat], starts[:-1])
+            mark[flat[starts[x]:starts[x + 1]]] = 0
+            linked = (100 * common >= percent * (sizes + sizes[x] - common)) & (comp != comp[x]) & (is_col if is_row[x] else is_row)
+            for y in np.flatnonzero(linked)[np.unique(comp[linked], return_index=True)[1]]:
+                pair = tuple(sorted((int(ids[x]), int(ids[y]))))
+                found.setdefault(tuple(sorted((int(comp[x]), int(comp[y])))), pair)
+        pairs = sorted(set(found.values()))
+        return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
+
+    filled = members.join(sets, "doc_id").where(F.size("shingles") > 0).select(*UNIT, "second", "doc_id", "component", "shingles")
+    return by_unit(filled, "a long, b long", handle).distinct()
 
 
 def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
@@ -302,7 +335,7 @@ def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
 
     banded = members.where("bands is not null").select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"), "sketch")
     # which buckets have several members: counted without the sketches
-    shared = as_table(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
+    shared = as_table(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"), "near-shared")
     buckets = as_table(banded.join(shared, "key"), "near-buckets")
     ids = buckets.select("doc_id").distinct()
     sets = as_table(full_sets(docs.join(ids, "doc_id", "left_semi")), "near-sets")
@@ -310,16 +343,13 @@ def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
     pairs = as_table(buckets.where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     links = as_table(verified(pairs, sets, plan), "near-links")
     groups = as_table(grouped(links), "near-groups")
-    for most in (1, 16, None):
-        labelled = as_table(buckets.select("key", "size", "doc_id", "n", "sketch").join(groups, "doc_id", "left")
-                            .withColumn("component", F.coalesce("component", "doc_id")), "near-labelled")
-        mixed_keys = as_table(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-mixed")
-        more = as_table(crossing(labelled.join(mixed_keys, "key"), plan, most).join(pairs, ["a", "b"], "left_anti"), "near-more")
-        if most is None and more.isEmpty():
-            break
-        pairs = as_table(pairs.unionByName(more), "near-pairs")
-        links = as_table(links.unionByName(verified(more, sets, plan)), "near-links")
-        groups = as_table(grouped(links), "near-groups")
+    labelled = as_table(buckets.select("key", "size", "weight", "doc_id", "n", "sketch").join(groups, "doc_id", "left")
+                        .withColumn("component", F.coalesce("component", "doc_id")), "near-labelled")
+    mixed_keys = as_table(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-mixed")
+    open_ = as_table(in_question(labelled.join(mixed_keys, "key"), plan), "near-open")
+    more = as_table(crossing_links(open_, sets, plan), "near-more")
+    if not more.isEmpty():
+        groups = as_table(grouped(links.unionByName(more)), "near-groups")
     found = members.select("doc_id", "n_shingles", "rep").join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
