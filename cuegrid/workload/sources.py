@@ -56,9 +56,9 @@ def read_aligned_words(spark, sf_dir):
     return J.aligned_words(_report(spark, r.select("media_id", body.alias("body")), "words"))
 
 
-@query("segments_to_cues", "cues", """select media_id, row_number() over (partition by media_id order by cue_id) cue_id, start_ms, end_ms, content from cues where cue_id % 5 <> 0""")
+@query("segments_to_cues", "cues", """select media_id, row_number() over (partition by media_id order by cue_id) cue_id, start_ms, end_ms, content from cues""")
 def segments_to_cues(spark, sf_dir):
-    c = views.cues(spark, sf_dir).where("cue_id % 5 <> 0").select(
+    c = views.cues(spark, sf_dir).select(
         "media_id", F.col("cue_id").alias("pos"), (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), F.concat(F.lit(" "), "content", F.lit("\t")).alias("text"))
     return S.segments_to_cues(c, Sequence(("media_id",), ("pos",), 16_384))
 
