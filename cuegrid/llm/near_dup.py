@@ -191,9 +191,16 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Bands) -> DataFrame:
             .where(100 * F.col("common") >= plan.percent * (F.col("both") - F.col("common"))).select("a", "b"))
 
 
+def checksum(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges, whatever their order: the count and two sums of hashes."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+
+
 def grouped(links: DataFrame) -> DataFrame:
     """doc_id, component: the smallest id reachable over the links, for every id that has one."""
     edges = as_table(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-edges")
+    seen = checksum(edges)
     while True:
         # large star: the larger neighbours of a node move to the least of all its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -205,8 +212,9 @@ def grouped(links: DataFrame) -> DataFrame:
         small = (joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         small = as_table(small, "near-small")
-        # the edges form stars when no two of a node differ and no centre has a smaller neighbour: a fixed point of both steps
-        if edges.exceptAll(small).isEmpty() and small.exceptAll(edges).isEmpty():
+        # a fixed point of both steps: every node points at the least id of its group
+        seen, before = checksum(small), seen
+        if seen == before:
             return small.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(
                 small.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
         edges = small
@@ -270,7 +278,7 @@ def in_question(members: DataFrame, plan: Bands) -> DataFrame:
         raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
         bands, sketch = np.ascontiguousarray(raw[:, :width]).view(np.uint32), raw[:, width:]
         own = np.uint32(table["key"][0].as_py() & 0xFFFFFFFF)
-        band = int(np.flatnonzero((bands == own).all(axis=0))[0])
+        band = int((bands == own).sum(axis=0).argmax())  # rows that share an id but not the text may bring another one's sketch
         rows, cols = sides(table)
         wanted = np.zeros(table.num_rows, bool)
         for lo in range(0, len(rows), 64):
@@ -333,20 +341,22 @@ def near_duplicates(docs: DataFrame, plan: Bands = Bands()) -> DataFrame:
     members = as_table(marks.join(copies, F.col("key") == F.col("copy_key"), "left")
                        .select("doc_id", "n_shingles", node.alias("rep"), F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")), "near-members")
 
-    banded = members.where("bands is not null").select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"), "sketch")
-    # which buckets have several members: counted without the sketches
+    first_ones = members.where("bands is not null")
+    banded = first_ones.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
     shared = as_table(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"), "near-shared")
-    buckets = as_table(banded.join(shared, "key"), "near-buckets")
+    buckets = as_table(banded.drop("n").join(shared, "key"), "near-buckets")  # ids only; sketches are looked up where they are needed
     ids = buckets.select("doc_id").distinct()
     sets = as_table(full_sets(docs.join(ids, "doc_id", "left_semi")), "near-sets")
 
     pairs = as_table(buckets.where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     links = as_table(verified(pairs, sets, plan), "near-links")
     groups = as_table(grouped(links), "near-groups")
-    labelled = as_table(buckets.select("key", "size", "weight", "doc_id", "n", "sketch").join(groups, "doc_id", "left")
+    labelled = as_table(buckets.select("key", "size", "weight", "doc_id").join(groups, "doc_id", "left")
                         .withColumn("component", F.coalesce("component", "doc_id")), "near-labelled")
     mixed_keys = as_table(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-mixed")
-    open_ = as_table(in_question(labelled.join(mixed_keys, "key"), plan), "near-open")
+    in_mixed = as_table(labelled.join(mixed_keys, "key"), "near-in-mixed")
+    marked = first_ones.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    open_ = as_table(in_question(in_mixed.join(marked, "doc_id"), plan), "near-open")
     more = as_table(crossing_links(open_, sets, plan), "near-more")
     if not more.isEmpty():
         groups = as_table(grouped(links.unionByName(more)), "near-groups")
