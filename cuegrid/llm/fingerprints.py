@@ -7,8 +7,8 @@ generalised Jaccard similarity, sum of min weights over sum of max weights.
 
 A sample is kept as one long: the value's order-preserving bits above, 24 bits of a hash of (term, t) below, so that each sample is
 a min() of a long, which aggregates without Python, in generated code, and map-side. A term is only worked out for a sample if it can
-come below 40 / (sum of weights), which a product of hash bits decides without a logarithm: some term does with
-probability 1 - exp(-40), and a sample without any is marked as such.
+come below 32 / (sum of weights), which a product of hash bits decides without a logarithm: some term does with
+probability 1 - exp(-32), and a sample without any is marked as such.
 
 Texts move once, hashed on doc_id; words are counted and samples taken inside that partitioning, without a further exchange.
 
@@ -27,7 +27,7 @@ from cuegrid.plans.store import as_table
 
 SAMPLES = 64
 CODE_BITS = 24
-REACH = 40.0
+REACH = 32.0
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
