@@ -35,7 +35,7 @@ RUN = 30
 LONGEST_PIECE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words whose scores a task keeps. The table starts afresh when full, which changes memory and time, never a score.
-KEPT = 300_000
+KEPT = 200_000
 
 
 class Vocabulary:
@@ -212,7 +212,7 @@ def predicted(text: Column, model: tuple[list[str], np.ndarray], spark, path: st
         scorer = Scorer(vocabulary_of(where), shared.value) if languages else None
         for batch in batches:
             texts = [t if t and any(map(str.isalpha, t)) else None for t in batch]
-            for part in slices(texts, 4_096, 8_000_000):
+            for part in slices(texts, 1_024, 2_000_000):
                 out = [(UNKNOWN, 0.0)] * len(part)
                 if scorer is not None:
                     s = scorer.scores(part)

@@ -26,7 +26,7 @@ import public_tokenizers
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
-#: Chunks that a task keeps. The table starts afresh when full, which changes memory and time, never an id.
+#: Chunks that a task keeps until its end. The table starts afresh when full, which changes memory and time, never an id.
 KEPT = 250_000
 #: Longer chunks are segmented without being kept.
 KEPT_LENGTH = 64
@@ -112,6 +112,8 @@ def _over_texts(row, schema: str, path: str | None):
         for texts in batches:
             for part in slices(list(texts)):  # ids are many: each part leaves on its own
                 yield pd.DataFrame([row(*x) for x in known.encode(part)], columns=names)
+        known.clear()  # the worker may serve another operator next
+        known.changed.clear()
 
     return F.pandas_udf(rows, schema)
 
