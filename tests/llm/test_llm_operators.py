@@ -228,6 +228,26 @@ def test_personal_data_edges(spark, docs_of):
     assert pii.train(docs.limit(0)).trees is None
 
 
+def test_forms_beyond_the_base_rules_are_found(spark, docs_of):
+    rng = random.Random(8)
+    texts = []
+    for k in range(600):
+        filler = [w for t in some_texts(2, seed=k) for w in t.split()] or ["word"]
+        item = (f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", luhn_number(rng), f"u{k}.{k}@mail{k % 7}.example.com", "2024-01-15", str(rng.randint(1, 9999)), str(rng.randint(10 ** 15, 10 ** 16 - 1)))[k % 6]
+        at = rng.randint(0, len(filler))
+        texts.append(" ".join([*filler[:at], item, *filler[at:]]))
+    model = pii.train(docs_of([(i, t, None, None) for i, t in enumerate(texts)]))
+    cards = [luhn_number(rng, n) for n in (13, 14, 15)]
+    for kind, case in [("email", "jörg.müller@example.com"), ("phone", "(555) 010-4477"), ("phone", "555-010-4477"), ("card", "3782 822463 10005"), ("card", " ".join("4111111111111111"))] + [("card", c) for c in cards]:
+        for text in (f"word {case} word", f"{case}.", f"ask ({case}), then go"):
+            base, every = pii.all_spans(text, model)
+            assert set(base) <= set(every)
+            assert any(s.kind == kind and text[s.start:s.end] == case for s in every), (text, every)
+            assert pii.redacted(text, every) == text.replace(case, f"<{kind.upper()}>"), text
+    for text in ("on 2024-01-15 or 15.01.2024", "3782 822463 10006 is none", "pages 100-200 300-400", "in 1999 2000 2001", "a @ b, x@y"):
+        assert pii.all_spans(text, model) == ([], []), text
+
+
 # ---- language and toxicity: held-out accuracy
 
 def invented(language, n, seed):
