@@ -1,17 +1,19 @@
 """A corpus, from raw documents to token ids: language, near-duplicates, personal data, source mix, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
-columns of documents. Defined results: rows without doc_id pass like others and are never taken for duplicates; null
-texts have no language and go in the first stage; further columns of the input are left out; an empty table stays empty.
+columns of documents. Defined results: duplicates are found row by row, so rows without doc_id or with a repeated one are
+judged by their own texts; null texts have no language and go in the first stage; further columns of the input are left out;
+an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import langid, mixing, near_dup, pieces, pii
-from cuegrid.llm.common import fold_of
+from cuegrid.llm.common import WORD, fold_of
+from cuegrid.plans.store import as_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least posterior of the predicted language.
@@ -27,11 +29,20 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, and of repeated rows with that id one."""
-    docs = docs.select(COLUMNS)
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("turn", turn).where("turn = 1").select(COLUMNS).unionByName(docs.where("doc_id is null"))
+    """The row with the smallest doc_id of each near-duplicate group, rows without one last.
+
+    Rows are told apart by a number of their own, written once, so equal ids link nothing. Rows without words are repeats
+    only if doc_id and text are equal.
+    """
+    rows = as_table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
+    own = rows.select("row", F.col("doc_id").alias("id"), F.when(wordless, F.sha2(F.coalesce("text", F.lit("null")), 256)).alias("blank"))
+    groups = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    group = F.when(F.col("blank").isNull(), F.struct(F.col("component_id"), F.lit(None).cast("long").alias("id"), "blank")).otherwise(
+        F.struct(F.lit(None).cast("long").alias("component_id"), F.col("id").cast("long").alias("id"), "blank"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "row"))
+    kept = groups.join(own, "row").groupBy(group.alias("g")).agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_an_empty_table_stays_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_duplicates_are_judged_row_by_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b, c, d, e = (" ".join(words[60 * k:60 * k + 60]) for k in range(5))
+    rows = [(1, a), (2, b), (2, a + " end"), (2, c), (2, c), (None, d), (None, d), (None, d + " end"), (None, b), (3, e), (None, e), (4, " "), (4, " "), (5, " "), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    kept = sorted(((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None), key=repr)
+    assert kept == sorted([(1, a), (2, b), (2, c), (3, e), (4, " "), (5, " "), (4, None)], key=repr)
+    nameless = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(nameless) == 1 and nameless[0] in (d, d + " end")
