@@ -10,7 +10,8 @@ a min() of a long, which aggregates without Python, in generated code, and map-s
 come below 32 / (sum of weights), which a product of hash bits decides without a logarithm: some term does with
 probability 1 - exp(-32), and a sample without any is marked as such.
 
-Texts move once, hashed on doc_id; words are counted and samples taken inside that partitioning, without a further exchange.
+Texts move once, hashed on doc_id and a digest of the text; words are counted and samples taken inside that partitioning, without
+a further exchange. Equal rows move as one.
 
 Defined results: a null text counts as empty. A text without words has all samples 0; two such are alike by 1. The order of
 documents is by descending doc_id, rows without doc_id last, and among equal ids by text; a document alone is its own next.
@@ -73,61 +74,73 @@ def as_text(samples: Column) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
 
 
-def chain(docs: DataFrame) -> DataFrame:
-    """k, nul, doc_id, copies, next_k, next_nul: each distinct doc_id and the next one in descending order, cyclically.
+#: A content: what stands for doc_id where equality must hold for nulls too, and a digest of the text.
+CONTENT = ["k", "nul", "digest"]
 
-    k and nul stand for doc_id where equality must hold for nulls too. A range sort of the ids alone, numbered inside each
-    partition; the offsets of the partitions come from one row each.
+
+def contents(docs: DataFrame) -> DataFrame:
+    """k, nul, digest, text: one for each row of docs."""
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(id_, F.lit(0)).alias("k"), id_.isNull().alias("nul"), F.md5(text).alias("digest"), text.alias("text"))
+
+
+def chain(rows: DataFrame) -> DataFrame:
+    """k, nul, digest, doc_id, copies, next_k, next_nul, next_digest: each distinct content and the next one, cyclically.
+
+    The order is by descending doc_id, then text. A range sort without the texts, except those of ids with several contents,
+    numbered inside each partition; the offsets of the partitions come from one row each.
     """
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    placed = as_table(ids.orderBy(F.col("doc_id").desc_nulls_last()).withColumn("m", F.monotonically_increasing_id()), "fingerprint-order")
+    counted = as_table(rows.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("copies")), "fingerprint-contents")
+    several = as_table(counted.groupBy("k", "nul").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "nul"), "fingerprint-several")
+    if several.isEmpty():
+        known = counted.withColumn("text", F.lit(None).cast("string"))
+    else:
+        known = counted.join(rows.join(several, ["k", "nul"], "left_semi").dropDuplicates(CONTENT), CONTENT, "left")
+    id_ = F.when(~F.col("nul"), F.col("k"))
+    placed = as_table(known.withColumn("doc_id", id_).orderBy(F.col("doc_id").desc_nulls_last(), "text", "digest").drop("text").withColumn("m", F.monotonically_increasing_id()), "fingerprint-order")
     part, inside = F.shiftrightunsigned("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     offsets = (placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
                .select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("offset")))
-    ranked = as_table(placed.withColumn("part", part).join(offsets, "part")
-                      .select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("nul"), "doc_id", "copies", (F.col("offset") + inside).alias("place")), "fingerprint-rank")
+    ranked = as_table(placed.withColumn("part", part).join(offsets, "part").select(*CONTENT, "doc_id", "copies", (F.col("offset") + inside).alias("place")), "fingerprint-rank")
     before = F.pmod(F.col("place") - 1, F.lit(max(ranked.count(), 1)))
-    return ranked.join(ranked.select(before.alias("place"), F.col("k").alias("next_k"), F.col("nul").alias("next_nul")), "place").drop("place")
-
-
-def together(copy: str, other: str) -> Column:
-    """Equality that stays a condition: as a join key it would make Spark deal out the texts once more."""
-    return F.col(copy) - F.col(other) == 0
+    return ranked.join(ranked.select(before.alias("place"), *[F.col(c).alias(f"next_{c}") for c in CONTENT]), "place").drop("place")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """k, nul, copy, doc_id, n_chars, text, edited, next_k, next_nul, next_copy, partitioned by (k, nul).
+    """CONTENT, doc_id, copies, n_chars, text, edited, edited_self, next_k, next_nul, next_digest, partitioned by CONTENT.
 
-    edited: the last floor(n_chars / 3) code points replaced by the first as many of the next document. Only the pieces
-    that are inserted travel, each from its document to the one before.
+    edited: the last floor(n_chars / 3) code points replaced by the first as many of the next content. Only the pieces that
+    are inserted travel, each from its content to the one before. edited_self: the same with the text itself as the next
+    one, which it is for all but the last of several copies. Copies become one row before texts move, so neither an id
+    that many rows share nor many equal rows meet in one task.
     """
-    key = ["k", "nul"]
-    id_ = F.col("doc_id").cast("long")
-    own = docs.select(F.coalesce(id_, F.lit(0)).alias("k"), id_.isNull().alias("nul"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = own.repartition(*key).withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    inner = F.col("copy") < F.col("copies")
-    chained = (placed.join(chain(docs), key)
-               .select(*key, "copy", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.floor(F.length("text") / 3).cast("int").alias("cut"),
-                       F.when(inner, F.col("k")).otherwise(F.col("next_k")).alias("next_k"), F.when(inner, F.col("nul")).otherwise(F.col("next_nul")).alias("next_nul"),
-                       F.when(inner, F.col("copy") + 1).otherwise(1).alias("next_copy")))
-    wanted = chained.select(F.col("next_k").alias("k"), F.col("next_nul").alias("nul"), "next_copy", F.col("k").alias("to_k"), F.col("nul").alias("to_nul"), F.col("copy").alias("to_copy"), "cut")
-    pieces = (placed.join(wanted, key).where(together("copy", "next_copy"))
-              .select(F.col("to_k").alias("k"), F.col("to_nul").alias("nul"), "to_copy", F.expr("left(text, cut)").alias("piece")))
-    return (chained.join(pieces, key).where(together("copy", "to_copy"))
-            .select(*key, "copy", "doc_id", "n_chars", "text", F.concat(F.expr("left(text, cast(n_chars - cut as int))"), "piece").alias("edited"), "next_k", "next_nul", "next_copy"))
+    rows = contents(docs)
+    placed = rows.dropDuplicates(CONTENT)
+    cut = F.floor(F.length("text") / 3).cast("int")
+    head = F.expr("left(text, cast(n_chars - cut as int))")
+    chained = placed.join(chain(rows), CONTENT).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", cut)
+    wanted = chained.select(*[F.col(f"next_{c}").alias(c) for c in CONTENT], *[F.col(c).alias(f"to_{c}") for c in CONTENT], "cut")
+    pieces = placed.join(wanted, CONTENT).select(*[F.col(f"to_{c}").alias(c) for c in CONTENT], F.expr("left(text, cut)").alias("piece"))
+    return (chained.join(pieces, CONTENT)
+            .select(*CONTENT, "doc_id", "copies", "n_chars", "text", F.concat(head, "piece").alias("edited"),
+                    F.when(F.col("copies") > 1, F.concat(head, F.expr("left(text, cut)"))).alias("edited_self"), *[f"next_{c}" for c in CONTENT]))
 
 
 def edits_and_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next."""
-    key = ["k", "nul", "copy"]
     texts = edited(docs)
-    both = texts.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
-    prints = fingerprints(both.select(*key, "v.kind", "v.text"), [*key, "kind"], samples=samples)
-    sides = prints.groupBy(*key).agg(F.first(F.when(F.col("kind") == 0, F.col("samples")), ignorenulls=True).alias("samples"),
-                                     F.first(F.when(F.col("kind") == 1, F.col("samples")), ignorenulls=True).alias("edited_samples")).withColumnRenamed("copy", "_copy")
-    facts = texts.select(*key, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_k", "next_nul", "next_copy")
-    done = as_table(facts.join(sides, ["k", "nul"]).where(together("copy", "_copy")).drop("_copy"), "fingerprint-samples")
-    following = done.select(F.col("k").alias("next_k"), F.col("nul").alias("next_nul"), F.col("copy").alias("next_copy"), F.col("samples").alias("next_samples"))
-    return (done.join(following, ["next_k", "next_nul", "next_copy"])
+    kinds = ("text", "edited", "edited_self")
+    all_ = texts.select(*CONTENT, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(kinds)])).alias("v"))
+    prints = fingerprints(all_.where("v.text is not null").select(*CONTENT, "v.kind", "v.text"), [*CONTENT, "kind"], samples=samples)
+    sides = prints.groupBy(*CONTENT).agg(*[F.first(F.when(F.col("kind") == i, F.col("samples")), ignorenulls=True).alias(name)
+                                           for i, name in enumerate(("samples", "edited_samples", "self_samples"))])
+    facts = texts.select(*CONTENT, "doc_id", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("edited_self", 256).alias("self_sha256"), *[f"next_{c}" for c in CONTENT])
+    done = as_table(facts.join(sides, CONTENT), "fingerprint-samples")
+    following = done.select(*[F.col(c).alias(f"next_{c}") for c in CONTENT], F.col("samples").alias("next_samples"))
+    last = (done.join(following, [f"next_{c}" for c in CONTENT])
             .select("doc_id", "n_chars", "edited_sha256", "samples", "edited_samples", likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"),
                     likeness(F.col("samples"), F.col("next_samples")).alias("near_next")))
+    others = (done.where("copies > 1")
+              .select("doc_id", "n_chars", F.col("self_sha256").alias("edited_sha256"), "samples", F.col("self_samples").alias("edited_samples"),
+                      likeness(F.col("samples"), F.col("self_samples")).alias("near_edited"), F.lit(1.0).alias("near_next"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))).alias("copy")).drop("copy"))
+    return last.unionByName(others)

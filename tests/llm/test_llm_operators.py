@@ -182,6 +182,23 @@ def test_fingerprints_edges(docs_of):
     assert fingerprints.edits_and_neighbours(docs_of(rows).limit(0)).collect() == []
 
 
+def test_fingerprints_of_many_rows_of_one_id(spark, docs_of):
+    texts = [f"t{i:03d} " + t for i, t in enumerate(some_texts(60))]
+    rows = [(None, t, None, None) for t in texts] + [(None, "same words here", None, None)] * 40 + [(7, "seven", None, None)] * 3
+    made = fingerprints.edited(docs_of(rows))
+    assert made.where("copies > 1").count() == 2 and made.count() == 62
+    got = fingerprints.edits_and_neighbours(docs_of(rows)).collect()
+    order = [t for i, t, *_ in rows if i == 7] + sorted(t for i, t, *_ in rows if i is None)
+    want = []
+    for t, following in zip(order, order[1:] + order[:1]):
+        cut = len(t) // 3
+        want.append(hashlib.sha256((t[:len(t) - cut] + following[:cut]).encode()).hexdigest())
+    assert sorted(r["edited_sha256"] for r in got) == sorted(want)
+    # no pairs of rows of one id: each content meets one predecessor
+    keyed = fingerprints.contents(docs_of(rows)).select("k", "nul", "digest").distinct()
+    assert keyed.count() == 62 and {len(r["samples"]) for r in got} == {fingerprints.SAMPLES}
+
+
 # ---- personal data
 
 def luhn_number(rng, length=16):
