@@ -74,30 +74,31 @@ def as_text(samples: Column) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
 
 
-#: A content: what stands for doc_id where equality must hold for nulls too, and a digest of the text.
-CONTENT = ["k", "nul", "digest"]
+#: A content: 128 bits over the doc_id and the text. Short, as every counted word carries it.
+CONTENT = ["d1", "d2"]
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """k, nul, digest, text: one for each row of docs."""
+    """d1, d2, k, nul, text: one for each row of docs. k and nul stand for doc_id where equality must hold for nulls too."""
     id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(id_, F.lit(0)).alias("k"), id_.isNull().alias("nul"), F.md5(text).alias("digest"), text.alias("text"))
+    k, nul = F.coalesce(id_, F.lit(0)), id_.isNull()
+    return docs.select(F.xxhash64(k, nul, text).alias("d1"), F.xxhash64(F.lit("second"), text, nul, k).alias("d2"), k.alias("k"), nul.alias("nul"), text.alias("text"))
 
 
 def chain(rows: DataFrame) -> DataFrame:
-    """k, nul, digest, doc_id, copies, next_k, next_nul, next_digest: each distinct content and the next one, cyclically.
+    """d1, d2, doc_id, copies, next_d1, next_d2: each distinct content and the next one, cyclically.
 
     The order is by descending doc_id, then text. A range sort without the texts, except those of ids with several contents,
     numbered inside each partition; the offsets of the partitions come from one row each.
     """
-    counted = as_table(rows.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("copies")), "fingerprint-contents")
+    counted = as_table(rows.groupBy(*CONTENT, "k", "nul").agg(F.count(F.lit(1)).alias("copies")), "fingerprint-contents")
     several = as_table(counted.groupBy("k", "nul").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "nul"), "fingerprint-several")
     if several.isEmpty():
         known = counted.withColumn("text", F.lit(None).cast("string"))
     else:
-        known = counted.join(rows.join(several, ["k", "nul"], "left_semi").dropDuplicates(CONTENT), CONTENT, "left")
+        known = counted.join(rows.join(several, ["k", "nul"], "left_semi").dropDuplicates(CONTENT).select(*CONTENT, "text"), CONTENT, "left")
     id_ = F.when(~F.col("nul"), F.col("k"))
-    placed = as_table(known.withColumn("doc_id", id_).orderBy(F.col("doc_id").desc_nulls_last(), "text", "digest").drop("text").withColumn("m", F.monotonically_increasing_id()), "fingerprint-order")
+    placed = as_table(known.withColumn("doc_id", id_).orderBy(F.col("doc_id").desc_nulls_last(), "text", *CONTENT).drop("text", "k", "nul").withColumn("m", F.monotonically_increasing_id()), "fingerprint-order")
     part, inside = F.shiftrightunsigned("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     offsets = (placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
                .select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("offset")))
@@ -107,7 +108,7 @@ def chain(rows: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """CONTENT, doc_id, copies, n_chars, text, edited, edited_self, next_k, next_nul, next_digest, partitioned by CONTENT.
+    """CONTENT, doc_id, copies, n_chars, text, edited, edited_self, next_d1, next_d2, partitioned by CONTENT.
 
     edited: the last floor(n_chars / 3) code points replaced by the first as many of the next content. Only the pieces that
     are inserted travel, each from its content to the one before. edited_self: the same with the text itself as the next
@@ -115,7 +116,7 @@ def edited(docs: DataFrame) -> DataFrame:
     that many rows share nor many equal rows meet in one task.
     """
     rows = contents(docs)
-    placed = rows.dropDuplicates(CONTENT)
+    placed = rows.select(*CONTENT, "text").dropDuplicates(CONTENT)
     cut = F.floor(F.length("text") / 3).cast("int")
     head = F.expr("left(text, cast(n_chars - cut as int))")
     chained = placed.join(chain(rows), CONTENT).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", cut)

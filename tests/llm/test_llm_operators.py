@@ -195,7 +195,7 @@ def test_fingerprints_of_many_rows_of_one_id(spark, docs_of):
         want.append(hashlib.sha256((t[:len(t) - cut] + following[:cut]).encode()).hexdigest())
     assert sorted(r["edited_sha256"] for r in got) == sorted(want)
     # no pairs of rows of one id: each content meets one predecessor
-    keyed = fingerprints.contents(docs_of(rows)).select("k", "nul", "digest").distinct()
+    keyed = fingerprints.contents(docs_of(rows)).select(*fingerprints.CONTENT).distinct()
     assert keyed.count() == 62 and {len(r["samples"]) for r in got} == {fingerprints.SAMPLES}
 
 
