@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe_counts, fingerprints, langid, licenses, maxscore, mixing, near_dup, pieces, pii, toxicity
+from cuegrid.llm import bpe_counts, fingerprints, id_files, langid, licenses, maxscore, mixing, near_dup, pieces, pii, toxicity
 from cuegrid.llm.common import fold_of, read
+from cuegrid.plans.store import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -95,3 +96,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", pieces.digests(F.col("text")).alias("e")).select("doc_id", "e.*")
+
+
+@query
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "id-files")
+    id_files.write_ids(read(spark, sf_dir, "documents"), folder)
+    return id_files.read_ids(spark, folder)
