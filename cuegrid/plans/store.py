@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder; nothing is there yet."""
+    return f"{shared_dir(spark)}/cuegrid-tables/{name}-{uuid.uuid4().hex}"
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as parquet in the shared folder and read it back.
 
@@ -47,7 +52,7 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     pushdown reach the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuegrid-tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
