@@ -33,7 +33,7 @@ from cuegrid.plans.scan import Run, Sequence, ranked_by, running
 from cuegrid.plans.store import as_table
 
 #: Most rows (turns below the head) of a container that does not burst.
-CONTAINER = 20_000
+CONTAINER = 1_000
 LIMBS = 4
 KEY = ["depth", "k1", "k2"]
 RUN_OF_IDS = 4_096
