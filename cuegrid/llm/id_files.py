@@ -1,7 +1,7 @@
 """Token ids in files: static range asymmetric numeral systems (rANS, Duda 2009) over independent interleaved blocks.
 
 1. Order: documents are range-partitioned and sorted by doc_id, so that a task writes a run of the stream of all ids.
-2. Tokens: each distinct word is encoded by the library once per task; ids are cut into blocks of `BLOCK` ids.
+2. Tokens: each distinct word is encoded by the library once per Python worker; ids are cut into blocks of `BLOCK` ids.
 3. Table: the counts of all ids give one table of frequencies with a sum of 2^20, shared by all blocks.
 4. Blocks: the ids of a block are dealt over `LANES` interleaved states. A block needs nothing but the table. Every `STEPS`
    steps it has a checkpoint (the states and the place in the words), so that its segments are decoded independently,
@@ -10,7 +10,7 @@
 A folder holds `table` (id, frequency) and `blocks`, both written by Spark, which replaces the output of lost tasks. A row of blocks: part
 and block (its place in the stream), n_ids, first_doc (number of its first document inside the part), doc_ids and lengths (the documents with
 ids in the block and how many), data. data, little-endian: 4 bytes "IDS1"; u32 n_ids; u16 lanes; u16 segments; u32 steps a segment; u32 crc32 of
-the table; for each segment u32 words, u32 crc32 of its words, u32 crc32 of its ids as u32, u64 state a lane; then the u32 words.
+the table; for each segment u32 words, u32 crc32 of its words, u32 crc32 of its ids as u32, u64 state a lane; then the words, 3 bytes each.
 
 Defined results: a null text counts as empty, an empty document has the end id alone. Rows without doc_id come last; rows with equal doc_id
 come by a hash of their text, then in the order in which they are read. A document may span blocks, never parts. Further columns are
@@ -19,6 +19,7 @@ ignored; an empty table gives empty files and results. A damaged block, or a for
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from cuegrid.llm.bpe_counts import byte_symbols
 from cuegrid.llm.pieces import slices
 from cuegrid.plans.store import as_table
 
@@ -38,58 +40,86 @@ LANES, STEPS, SEGMENTS = 128, 256, 4
 #: Ids of a block; the last block of a part may be shorter.
 BLOCK = LANES * STEPS * SEGMENTS
 SCALE = 20
-#: States stay in [LOW, LOW * 2^32).
-LOW = 1 << 31
+#: States stay in [LOW, LOW * 2^24), below 2^53, so that all arithmetic on them is exact in doubles; words have 24 bits.
+LOW = 1 << 28
+BASE = float(1 << 24)
 #: Blocks that are coded side by side.
 ABREAST = 8
 MAGIC = b"IDS1"
 HEAD = "<4sIHHII"
 SEGMENT = "<III"
 END_ID = 2
-#: Words whose ids a task keeps. The table starts afresh when full, which changes memory and time, never an id.
-KEPT = 300_000
+#: Words whose ids a Python worker keeps. The table starts afresh when full, which changes memory and time, never an id.
+KEPT = 600_000
 KEPT_LENGTH = 64
 
 #: White space that str.split knows and the rule of the words here does not.
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Marks after a letter or digit that normalisation leaves one, at the end of a word, are tokens of their own, so the word may be cut before them.
-TAIL = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
+#: Texts that lower-casing by characters and as a whole changes alike, and that normalisation leaves as they are.
+LATIN = re.compile("[\x00-;=-\x7f\u00c0-\u012f\u0131-\u017e]*")
+#: A word of plain letters, then marks, which are split from the letters.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,]*")
 
 RAW = "part int, block int, n_ids int, first_doc long, doc_ids array<long>, lengths array<int>, ids binary"
 BLOCKS = RAW.replace("ids binary", "data binary")
 
 
 class WordIds(dict):
-    """word -> its ids as bytes, for one vocabulary file that splits texts at white space."""
+    """word -> its ids as bytes, for one vocabulary file that splits texts at white space.
+
+    Words of plain letters skip the library's normalisation, which would not change them; all others pass it, as it changes nothing beyond a word.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.model = Tokenizer.from_file(path)
+        self.model, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for part in ("normalizer", "pre_tokenizer") for k, v in spec[part].items() if k in ("normalizers", "pretokenizers") for x in v]
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or "|[\\p{L}]+|" not in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]:
+            raise ValueError(f"{path}: its words are not told apart by white space, or are changed in other ways")
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Split(Regex("[.,]+"), "isolated")
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        self.length = np.array([len(t.removesuffix("</w>")) for t in names])
+        self.stand_in = {b: c for c, b in byte_symbols().items()}
+
+    def _encoded(self, model, words: list[str], lengths: list[int] | None = None) -> list[bytes]:
+        """The ids of each word; lengths, in bytes, of words that nothing changes tell the words' ends, else the library does."""
+        out, size = [], self.kind.itemsize
+        for k in range(0, len(words), 20_000):
+            some = words[k:k + 20_000]
+            if lengths is None:
+                made = model.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(made.ids, self.kind)
+                ends = np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
+            else:
+                ids = np.array(model.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+                ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(lengths[k:k + 20_000])) + 1
+            data, ends = ids.tobytes(), (ends * size).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not any(s in w for s in self.special)]
-        for k in range(0, len(plain), 20_000):
-            some = plain[k:k + 20_000]
-            made = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, self.kind).tobytes()
-            size = self.kind.itemsize
-            ends = np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))) * size
-            at = 0
-            for w, end in zip(some, ends.tolist()):
-                self[w] = ids[at:end]
-                at = end
-        for w in set(words).difference(plain):
+    def learn(self, words: list[str]) -> list[str]:
+        """Adds words; gives back those that are too long to be kept."""
+        letters = list(filter(LETTERS.fullmatch, words))
+        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_in) for w in letters]
+        self.update(zip(letters, self._encoded(self.bare, mapped, list(map(len, mapped)))))
+        rest = set(words).difference(letters)
+        special = {w for w in rest if any(s in w for s in self.special)}
+        plain = [w for w in rest if w not in special]
+        self.update(zip(plain, self._encoded(self.model, plain)))
+        for w in special:
             self[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        return [w for w in words if len(w) > KEPT_LENGTH]
 
     def words_of(self, text: str) -> list[str]:
-        if text.isascii() and "<" not in text:
-            text = text.lower()  # as the library does; kept apart from special strings, which it finds before
-        text = TAIL.sub(r" \1", text)
+        if LATIN.fullmatch(text):  # no special string either
+            return text.lower().split() if not ODD_BLANK.search(text) else WORD.findall(text.lower())
         return WORD.findall(text) if ODD_BLANK.search(text) else text.split()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -98,13 +128,23 @@ class WordIds(dict):
         wanted = set().union(*cut)
         if len(self) + len(wanted) > KEPT:
             self.clear()
-        self.learn(list(wanted - self.keys()))
+        long = self.learn(list(wanted - self.keys()))
         for words in cut:
             yield b"".join(map(self.__getitem__, words))
-        for w in [w for w in wanted if len(w) > KEPT_LENGTH]:
+        for w in long:
             del self[w]
 
 
+_words: dict[str, WordIds] = {}
+
+
+def words_for(path: str) -> WordIds:
+    """The table of a vocabulary file, kept by the Python worker."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 def raw_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The ids of all documents, in ascending doc_id order, as blocks without compression."""
     where = path or public_tokenizers.path("word_bpe_49k.json")
@@ -113,7 +153,7 @@ def raw_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
             .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("part")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(where)
+        words = words_for(where)
         size, end = words.kind.itemsize, np.array([end_id], words.kind).tobytes()
         full = BLOCK * size
         part, block, seen = 0, 0, 0
@@ -130,7 +170,7 @@ def raw_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
                 part = batch.column(2)[0].as_py()
             id_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
-            for some in slices(texts):
+            for some in slices(texts, 1_024, 4_000_000):
                 for own in words.encode(some):
                     ids = own + end
                     seen += 1
@@ -178,9 +218,9 @@ class Coder:
 
     def __init__(self, f: np.ndarray):
         self.crc = zlib.crc32(f.astype("<u4").tobytes())
-        self.f = f.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64) if len(f) else self.f
-        self.symbol = np.repeat(np.arange(len(f), dtype=np.uint32), f)
+        self.f = f.astype(np.float64)
+        self.start = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.float64) if len(f) else self.f
+        self.symbol = np.repeat(np.arange(len(f), dtype=np.int32), f)
         self.filler = int(f.argmax()) if len(f) else 0
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
@@ -198,31 +238,39 @@ class Coder:
 
     def _encode(self, blocks: list[np.ndarray], steps: int) -> Iterator[bytes]:
         n, width = len(blocks), len(blocks) * LANES
-        ids = np.full((n, steps * LANES), self.filler, np.int64)
+        ids = np.full((n, steps * LANES), self.filler, np.int32)
         for i, own in enumerate(blocks):
             ids[i, :len(own)] = own
-        lanes = np.ascontiguousarray(ids.reshape(n, steps, LANES).transpose(1, 0, 2)).reshape(steps, width)
+        lanes = ids.reshape(n, steps, LANES).transpose(1, 0, 2).reshape(steps, width)
+        freq, start = np.take(self.f, lanes), np.take(self.start, lanes)
         words, sent = np.empty((steps, width), np.uint32), np.empty((steps, width), bool)
-        x = np.full(width, LOW, np.uint64)
+        x, upper, q = np.full(width, float(LOW)), np.empty(width), np.empty(width)
         states = {}
-        up, shift, scale = np.uint64(63 - SCALE), np.uint64(32), np.uint64(SCALE)
+        whole, room = float(1 << SCALE), (LOW >> SCALE) * BASE
+        most = freq * room
         for t in range(steps - 1, -1, -1):
-            f = self.f[lanes[t]]
-            full = x >= (f << up)
-            words[t], sent[t] = x, full  # the lower 32 bits
-            np.right_shift(x, shift, out=x, where=full)
-            q = x // f
-            x = (q << scale) + (x - q * f) + self.start[lanes[t]]
+            f = freq[t]
+            np.greater_equal(x, most[t], out=sent[t])
+            np.multiply(x, 1.0 / BASE, out=upper)
+            np.floor(upper, out=upper)
+            np.subtract(x, np.multiply(upper, BASE, out=q), out=words[t], casting="unsafe")
+            np.copyto(x, upper, where=sent[t])
+            np.divide(x, f, out=q)
+            np.floor(q, out=q)
+            # x = q * whole + (x - q * f) + start
+            x -= np.multiply(q, f, out=upper)
+            x += np.multiply(q, whole, out=q)
+            x += start[t]
             if t % STEPS == 0:
-                states[t // STEPS] = x.reshape(n, LANES).copy()
+                states[t // STEPS] = x.reshape(n, LANES).astype("<u8")
         words, sent = words.reshape(steps, n, LANES), sent.reshape(steps, n, LANES)
         for i, own in enumerate(blocks):
             head, body = [struct.pack(HEAD, MAGIC, len(own), LANES, len(states), STEPS, self.crc)], []
             for s in range(len(states)):
                 part = slice(s * STEPS, (s + 1) * STEPS)
-                w = words[part, i][sent[part, i]].astype("<u4").tobytes()
+                w = words[part, i][sent[part, i]].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
                 mine = own[s * STEPS * LANES:(s + 1) * STEPS * LANES].astype("<u4")
-                head += [struct.pack(SEGMENT, len(w) // 4, zlib.crc32(w), zlib.crc32(mine)), states[s][i].astype("<u8").tobytes()]
+                head += [struct.pack(SEGMENT, len(w) // 3, zlib.crc32(w), zlib.crc32(mine)), states[s][i].tobytes()]
                 body.append(w)
             yield b"".join(head + body)
 
@@ -251,11 +299,11 @@ class Coder:
                 at += struct.calcsize(SEGMENT) + 8 * lanes
             out = []
             for k, (length, crc, ids_crc, states) in enumerate(heads):
-                words = np.frombuffer(data, "<u4", length, at)
+                words = np.frombuffer(data, np.uint8, 3 * length, at)
                 if zlib.crc32(words) != crc:
                     raise ValueError(f"{name}: segment {k} is damaged")
                 out.append((min(n - k * lanes * steps, lanes * steps), ids_crc, states, words))
-                at += 4 * length
+                at += 3 * length
             return out
         except struct.error as e:
             raise ValueError(f"{name}: the block is cut short") from e
@@ -266,30 +314,30 @@ class Coder:
         order = sorted(range(n), key=lambda k: -steps[k])  # those that end early come last, so that the others stay a prefix
         parts = [flat[k][0] for k in order]
         ends = np.array([steps[k] for k in order])
-        words = np.concatenate([*[p[3] for p in parts], np.zeros(1, "<u4")]).astype(np.uint64)
-        place = np.cumsum([0, *[len(p[3]) for p in parts[:-1]]])
-        x = np.concatenate([p[2] for p in parts]).astype(np.uint64)
-        out = np.empty((max(steps), n * LANES), np.uint32)
-        low, shift, scale, mask = np.uint64(LOW), np.uint64(32), np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
+        low, middle, high = np.concatenate([p[3] for p in parts]).reshape(-1, 3).T.astype(np.float64)
+        words = low + 256.0 * middle + 65536.0 * high
+        place = np.cumsum([0, *[len(p[3]) // 3 for p in parts[:-1]]])
+        x = np.concatenate([p[2] for p in parts]).astype(np.float64)
+        out = np.empty((max(steps), n * LANES), np.int32)
+        whole, low = float(1 << SCALE), float(LOW)
         for t in range(max(steps)):
             live = int(np.searchsorted(-ends, -t, "left")) * LANES
             y = x[:live]
-            slot = y & mask
-            sym = self.symbol[slot]
-            out[t, :live] = sym
-            y = self.f[sym] * (y >> scale) + slot - self.start[sym]
-            more = (y < low).reshape(-1, LANES)
-            turn = more.cumsum(axis=1)
-            where = (place[:live // LANES, None] + turn - 1)[more]
-            flat_more = more.reshape(-1)
-            y[flat_more] = (y[flat_more] << shift) | words[where]
-            place[:live // LANES] += turn[:, -1]
-            x[:live] = y
+            upper = np.floor(y * (1.0 / whole))
+            y -= upper * whole
+            sym = np.take(self.symbol, y.astype(np.int32), out=out[t, :live], mode="clip")
+            y -= self.start[sym]
+            y += self.f[sym] * upper
+            short = np.flatnonzero(y < low)
+            read = np.bincount(short // LANES, minlength=live // LANES)
+            where = np.arange(len(short)) + np.repeat(place[:live // LANES] - np.cumsum(read) + read, read)
+            y[short] = y[short] * BASE + words[where]
+            place[:live // LANES] += read
         made: list[np.ndarray] = [out[:0, 0]] * n
         for i, k in enumerate(order):
             (length, crc, _, _), name = flat[k]
-            ids = np.ascontiguousarray(out[:steps[k], i * LANES:(i + 1) * LANES]).reshape(-1)[:length]
-            if zlib.crc32(ids.astype("<u4")) != crc:
+            ids = out[:steps[k], i * LANES:(i + 1) * LANES].reshape(-1)[:length].astype("<u4")
+            if zlib.crc32(ids) != crc:
                 raise ValueError(f"{name}: the decoded ids fail their checksum")
             made[k] = ids
         return made
