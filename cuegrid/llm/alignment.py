@@ -20,6 +20,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,10 +36,13 @@ from cuegrid.llm.pieces import MARK, slices
 from cuegrid.plans.store import as_table
 
 #: A block ends with the document that brings it to so many characters, or to so many distinct chunks.
-BLOCK_CHARS = 16_000_000
-BLOCK_CHUNKS = 400_000
+BLOCK_CHARS = 8_000_000
+BLOCK_CHUNKS = 200_000
 #: Chunks that are encoded in one go.
 TOGETHER = 10_000
+#: A blank beside other white space; other kinds of white space are searched for.
+LOOSE_PAIRS = ["  ", *[p for c in "\t\n\r\x0b\x0c" for p in (c + " ", " " + c)]]
+ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
@@ -113,7 +117,9 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model_b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
-        self.names = [str(i) for i in range(max(len(names), len(pieces)))]
+        ids = range(max(len(names), len(pieces)))
+        #: An id as text, and what follows it inside and at the end of its side of a group.
+        self.names = {mark: np.array([f"{i}{mark}" for i in ids], object) for mark in ",|;"}
         self.clear()
 
     def clear(self) -> None:
@@ -125,7 +131,7 @@ class Aligner:
     def align(self, text: str) -> Aligned | None:
         """None if the tokens do not spell blank + text."""
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        a = np.array(self.model_a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        a = np.array(self.model_a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
         b = np.array(self.model_b.encode(text), np.int64)
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
@@ -162,15 +168,16 @@ class Aligner:
         n_links = count(of_link)
         facts = np.stack([count(chunk_a), count(chunk_b), count(chunk_g), n_links, count(chunk_a[found.shared.rows])], axis=1)
         keys = found.a[found.links.rows] << 32 | found.b[found.links.indices]
-        names_a, names_b = [self.names[i] for i in found.a], [self.names[i] for i in found.b]
-        stop_a = (np.searchsorted(found.end_a, found.groups) + 1).tolist()
-        stop_b = (np.searchsorted(found.end_b, found.groups) + 1).tolist()
-        groups, i, j = [], 0, 0
-        for p, q in zip(stop_a, stop_b):
-            groups.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
-            i, j = p, q
-        stops = np.cumsum(facts[:, 2]).tolist()
-        self._add(chunks, [";".join(groups[s:e]) for s, e in zip([0, *stops], stops)], facts, [keys])
+        # the ids of A and then those of B, group by group, each with the mark that follows it
+        own_a, own_b = np.searchsorted(found.groups, found.end_a), np.searchsorted(found.groups, found.end_b)
+        before_b = np.searchsorted(own_b, own_a)
+        after_a = np.searchsorted(own_a, own_b, "right")
+        marked = np.empty(len(own_a) + len(own_b), object)
+        last_a, last_b = np.append(own_a[1:] != own_a[:-1], True), np.append(own_b[1:] != own_b[:-1], True)
+        marked[np.arange(len(own_a)) + before_b] = np.where(last_a, self.names["|"][found.a], self.names[","][found.a])
+        marked[np.arange(len(own_b)) + after_a] = np.where(last_b, self.names[";"][found.b], self.names[","][found.b])
+        flat, stops = marked.tolist(), np.cumsum(facts[:, 0] + facts[:, 1]).tolist()
+        self._add(chunks, ["".join(flat[s:e]) for s, e in zip([0, *stops], stops)], facts, [keys])
 
     def _add(self, chunks: list[str], texts: list[str | None], facts: np.ndarray, keys: list[np.ndarray]) -> None:
         self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks))))
@@ -180,7 +187,8 @@ class Aligner:
 
 
 def chunks_of(text: str) -> list[str]:
-    return CUT.split(text) if LOOSE_BLANK.search(text) else text.split(" ")
+    loose = text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, LOOSE_PAIRS)) or (ODD_BLANK.search(text) and LOOSE_BLANK.search(text))
+    return CUT.split(text) if loose else text.split(" ")
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -261,7 +269,7 @@ def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
                     text = list(map(own.texts.__getitem__, at))
                     good = bool(text) and None not in text
                     by_doc.append(np.array(at if good else [], np.int32))
-                    digests.append(hashlib.sha256(";".join(text).encode()).hexdigest() if good else "")
+                    digests.append(hashlib.sha256("".join(text)[:-1].encode()).hexdigest() if good else "")
                     chars += len(t) if t else 0
                 ids += id_of[done:done + len(some)]
                 done += len(some)
@@ -270,6 +278,7 @@ def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
                     block, chars, ids, by_doc, digests = block + 1, 0, [], [], []
         if ids:
             yield row()
+        own.clear()
 
     return rows.mapInArrow(cut, BLOCK)
 
