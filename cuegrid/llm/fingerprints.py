@@ -29,39 +29,65 @@ from cuegrid.plans.store import as_table
 SAMPLES = 64
 CODE_BITS = 24
 REACH = 32.0
+#: Samples that one aggregation works out; more would make its generated code too long for the JVM to compile.
+PART = 8
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def sample(term: Column, log_weight: Column, reach: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, reach: Column, k: Column) -> Column:
     """The packed value of a term for sample k, or null if it cannot be the least one."""
     low32, unit = F.lit(0xFFFFFFFF), 1.0 / (1 << 32)
-    h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    h1, h2 = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
     # the product of two uniforms in (0, 1] has -ln distributed as Gamma(2, 1)
     upper = lambda h: (F.shiftrightunsigned(h, 32) + 1).cast("double") * unit
     lower = lambda h: (h.bitwiseAND(low32) + 1).cast("double") * unit
     in_r, in_c = upper(h1) * lower(h1), upper(h2) * lower(h2)
-    b = uniform(term, F.lit(-1 - k))  # a hash of its own: the least values have c near 0, which fixes the bits of h2
+    b = uniform(term, -1 - k)  # a hash of its own: the least values have c near 0, which fixes the bits of h2
     r, c = F.log(in_r) * -1.0, F.log(in_c) * -1.0
     t = F.floor(log_weight / r + b)
     # ln value, moved to positive numbers below 2^9 and kept with 30 bits after the point
     level = F.least(F.greatest(F.log(c) - r * (t - b + 1.0), F.lit(-255.0)), F.lit(255.0)) + 256.0
-    code = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    code = F.xxhash64(term, t, k).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
     packed = F.shiftleft(F.floor(level * float(1 << 30)).cast("long"), CODE_BITS).bitwiseOR(code)
     # c >= 1 - in_c, and exp(r (t - b + 1)) <= weight * exp(r) = weight / in_r
     return F.when((1.0 - in_c) * in_r <= reach, packed)
 
 
+def sampled(texts: DataFrame, key: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
+    """key and, for each text column, an array<int> of that name: one row for each key. Rows that are partitioned by some of the key columns do not move.
+
+    A term whose count is the same in all columns is worked out once for all of them. Samples are worked out PART at a time.
+    """
+    code = F.lit((1 << CODE_BITS) - 1)
+    split = texts.select(*key, *[F.split(F.coalesce(c, F.lit("")), BLANKS).alias(f"_s{i}") for i, c in enumerate(columns)])
+    sizes = [f"_all{i}" for i in range(len(columns))]
+    marked = lambda i: F.transform(f"_s{i}", lambda w: F.struct(F.lit(i).alias("kind"), w.alias("w")))
+    every = F.concat(*map(marked, range(len(columns))))
+    words = split.select(*key, *[F.size(f"_s{i}").cast("double").alias(a) for i, a in enumerate(sizes)], F.explode(every).alias("_v"))
+    counts = [f"_n{i}" for i in range(len(columns))]
+    counted = (words.groupBy(*key, *sizes, F.when(F.col("_v.w") != "", F.xxhash64("_v.w")).alias("_term"))
+               .agg(*[F.count(F.when(F.col("_v.kind") == i, 1)).cast("double").alias(n) for i, n in enumerate(counts)]))
+    # classes: 0 stands for all columns, i + 1 for column i
+    shared = F.array(F.struct(F.lit(0).alias("kind"), F.col(counts[0]).alias("n"), F.least(*sizes, F.lit(float("inf"))).alias("all")))
+    each = F.filter(F.array(*[F.struct(F.lit(i + 1).alias("kind"), F.col(n).alias("n"), F.col(a).alias("all")) for i, (n, a) in enumerate(zip(counts, sizes))]), lambda x: x["n"] > 0)
+    equal = F.lit(True)
+    for n in counts[1:]:
+        equal &= F.col(n) == F.col(counts[0])
+    classes = counted.select(*key, "_term", F.explode(F.when(equal, shared).otherwise(each)).alias("_c"))
+    parts = classes.select(*key, "_term", F.col("_c.kind").alias("_kind"), F.log("_c.n").alias("_log"), (F.lit(REACH) * F.col("_c.n") / F.col("_c.all")).alias("_reach"),
+                           F.explode(F.array(*[F.lit(p) for p in range(-(-samples // PART))])).alias("_part"))
+    taken = [F.when(F.col("_term").isNotNull(), sample(F.col("_term"), F.col("_log"), F.col("_reach"), F.col("_part") * PART + j)) for j in range(PART)]
+    least = parts.groupBy(*key, "_kind", "_part").agg(*[F.min(v).alias(f"_{j}") for j, v in enumerate(taken)])
+    of = lambda i, j: F.min(F.when(F.col("_kind").isin(0, i + 1), F.col(f"_{j}")))
+    packed = lambda v: F.coalesce(v.bitwiseAND(code).cast("int"), F.lit(0))
+    by_part = least.groupBy(*key, "_part").agg(*[F.array(*[packed(of(i, j)) for j in range(PART)]).alias(f"_a{i}") for i in range(len(columns))])
+    whole = by_part.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_part", *[f"_a{i}" for i in range(len(columns))]))).alias("_parts"))
+    return whole.select(*key, *[F.slice(F.flatten(f"_parts._a{i}"), 1, samples).alias(c) for i, c in enumerate(columns)])
+
+
 def fingerprints(texts: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """key, samples array<int>: one row for each key. Rows that are partitioned by some of the key columns do not move."""
-    code = (1 << CODE_BITS) - 1
-    words = (texts.withColumn("_words", F.split(F.coalesce(text, F.lit("")), BLANKS))
-             .select(*key, F.size("_words").cast("double").alias("_all"), F.explode("_words").alias("_w")))
-    counted = (words.groupBy(*key, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term"))
-               .agg(F.count(F.lit(1)).cast("double").alias("_n"), F.max("_all").alias("_all"))
-               .select(*key, "_term", F.log("_n").alias("_log"), (F.lit(REACH) * F.col("_n") / F.col("_all")).alias("_reach")))
-    taken = [F.min(F.when(F.col("_term").isNotNull(), sample(F.col("_term"), F.col("_log"), F.col("_reach"), k))).alias(f"_{k}") for k in range(samples)]
-    least = counted.groupBy(*key).agg(*taken)
-    return least.select(*key, F.array(*[F.coalesce(F.col(f"_{k}").bitwiseAND(F.lit(code)).cast("int"), F.lit(0)) for k in range(samples)]).alias("samples"))
+    """key, samples array<int>: one row for each key."""
+    return sampled(texts.select(*key, F.col(text).alias("samples")), key, ["samples"], samples)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,13 +156,12 @@ def edited(docs: DataFrame) -> DataFrame:
 def edits_and_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next."""
     texts = edited(docs)
-    kinds = ("text", "edited", "edited_self")
-    all_ = texts.select(*CONTENT, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(kinds)])).alias("v"))
-    prints = fingerprints(all_.where("v.text is not null").select(*CONTENT, "v.kind", "v.text"), [*CONTENT, "kind"], samples=samples)
-    sides = prints.groupBy(*CONTENT).agg(*[F.first(F.when(F.col("kind") == i, F.col("samples")), ignorenulls=True).alias(name)
-                                           for i, name in enumerate(("samples", "edited_samples", "self_samples"))])
+    both = texts.select(*CONTENT, F.col("text").alias("samples"), F.col("edited").alias("edited_samples"))
+    sides = sampled(both, CONTENT, ["samples", "edited_samples"], samples)
     facts = texts.select(*CONTENT, "doc_id", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("edited_self", 256).alias("self_sha256"), *[f"next_{c}" for c in CONTENT])
-    done = as_table(facts.join(sides, CONTENT), "fingerprint-samples")
+    # only contents with copies are also edited with themselves
+    repeats = fingerprints(texts.where("copies > 1").select(*CONTENT, "edited_self"), CONTENT, "edited_self", samples).withColumnRenamed("samples", "self_samples")
+    done = as_table(facts.join(sides, CONTENT).join(repeats, CONTENT, "left"), "fingerprint-samples")
     following = done.select(*[F.col(c).alias(f"next_{c}") for c in CONTENT], F.col("samples").alias("next_samples"))
     last = (done.join(following, [f"next_{c}" for c in CONTENT])
             .select("doc_id", "n_chars", "edited_sha256", "samples", "edited_samples", likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"),
