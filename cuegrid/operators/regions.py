@@ -132,12 +132,12 @@ def _merge_step(step_ms: int, frame_height: int):
     def step(state, row):
         region, start, end, y, height = row
         if state is not None:
-            group, reached, top, bottom = state
+            [[group, reached, top, bottom]] = state
             if start - reached > step_ms * 1.2 or abs((y + height / 2) - (top + bottom) / 2) > frame_height * 0.045:
                 state = None
         if state is None:
             group, top, bottom = region, y, y + height
-        return [group, end, min(top, y), max(bottom, y + height)], (group,)
+        return [[group, end, min(top, y), max(bottom, y + height)]], (group,)
     return step
 
 

@@ -26,15 +26,18 @@ def unfenced(reply: Column) -> Column:
     return F.when(clean.rlike(FENCE), F.regexp_replace(clean, FENCE, "$1")).otherwise(clean)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also where lambdas of the body use it: nothing else is shared inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def as_sequence(text: Column) -> Column:
     """JSON values written one after the other, as one array; a text that is one value is its only element.
 
     Commas are put in between objects at the outermost level alone, so an array that lacks one inside stays unreadable.
     The text is cut into strings, brackets and other pieces (by possessive runs, which need no stack however long a
-    string is); a running count of open brackets tells the levels.
+    string is); one fold counts the open brackets and keeps the places between objects, between which the pieces are joined again.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}\s]++|")'), F.lit(1))
-
     def put(state: Column, piece: Column) -> Column:
         opens, closes = piece.isin("{", "["), piece.isin("}", "]")
         between = (state["depth"] == 0) & (piece == "{") & (state["last"] == "}")
@@ -42,11 +45,16 @@ def as_sequence(text: Column) -> Column:
             (state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), piece.alias("last"),
             F.when(between, F.concat(state["cuts"], F.array(state["at"]))).otherwise(state["cuts"]).alias("cuts"), (state["at"] + 1).alias("at"))
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"))
-    cuts = F.aggregate(pieces, start, put, lambda s: s["cuts"])
-    spaced = F.transform(pieces, lambda p, i: F.when(F.array_contains(cuts, i), F.concat(F.lit(","), p)).otherwise(p))
+    def joined(found: Column) -> Column:
+        pieces, cuts = found["pieces"], found["cuts"]
+        runs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: F.array_join(F.slice(pieces, F.get(cuts, k) + 1, F.get(cuts, k + 1) - F.get(cuts, k)), " "))
+        return F.array_join(runs, ",")
+
+    pieces = F.regexp_extract_all(text, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}\s]++|")'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("at"))
+    with_cuts = bound(pieces, lambda p: F.struct(p.alias("pieces"), F.aggregate(p, start, put, lambda s: F.concat(s["cuts"], F.array(s["at"]))).alias("cuts")))
     one = F.concat(F.lit("["), text, F.lit("]"))
-    return F.when(F.try_parse_json(one).isNotNull(), one).otherwise(F.concat(F.lit("["), F.array_join(spaced, " "), F.lit("]")))
+    return F.when(F.try_parse_json(one).isNotNull(), one).otherwise(F.concat(F.lit("["), bound(with_cuts, joined), F.lit("]")))
 
 
 def _at(item: Column, name: str, kind: str) -> Column:

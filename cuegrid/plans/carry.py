@@ -5,14 +5,21 @@ window expresses them. The rows are hashed on (keys, chunk), sorted and
 streamed through a small step function in Arrow batches: memory
 per task is one batch plus the state, whatever the length of a sequence.
 
-Chunks of one key run in parallel. A chunk first assumes nothing is open at its
-start; the state each chunk ends with is then tried as entry of the following
-one, and every (chunk, entry) -> end found is kept. Groups opened at different
-rows soon close at the same one, so this settles after a round; in the worst
-case a chunk is replayed once for each different group that can reach into it.
-The true entries are then read off the table of ends by doubling jumps, so the
-number of rounds never grows with the number of chunks. Keys that fit in one
-chunk skip all of this.
+A state is a list of open groups, each a list whose first item is the group's
+label; steps hand labels on and never look at them. That makes chunks
+independent of what came before them but for the shape of the open groups:
+
+1. A chunk first assumes nothing is open at its start. The end of a chunk, with its labels
+   replaced by slot numbers ("~0", "~1", ...), is tried as entry of the following chunk, and every
+   (chunk, entry) -> (end, label of each end slot) found is kept. An open group that lasts over many chunks
+   has the same shape at a chunk's end whoever opened it, so this settles after a round or two; only where
+   different entries of a chunk lead to different shapes at its end, again and again, are there more.
+2. The true entries are read off the table of ends by doubling jumps.
+3. The label of an entry slot is that of a slot at the end of the chunk before: an id, or a slot of that chunk's own
+   entry. Pointer doubling over (chunk, slot) finds the ids.
+4. The chunks are replayed once from their true entries, and slot numbers in the output are looked up.
+
+Keys that fit in one chunk skip all but the replay.
 """
 
 from __future__ import annotations
@@ -33,6 +40,13 @@ State = list | None
 Step = Callable[[State, tuple], tuple[State, tuple]]
 
 
+def _shape(state: State) -> tuple[State, list]:
+    """(the state with slot numbers for labels, the labels)."""
+    if not state:
+        return None, []
+    return [[f"~{k}", *group[1:]] for k, group in enumerate(state)], [group[0] for group in state]
+
+
 def _replay(batches: Iterator[pa.RecordBatch], seq: Sequence, fields: list[str], step: Step):
     """Yield (batch, outputs, [(chunk key + entry, end state)]) while walking sorted rows."""
     here, state = None, None
@@ -65,23 +79,24 @@ def _entering(df: DataFrame, entries: DataFrame | None, seq: Sequence) -> DataFr
 
 
 def _ends(df: DataFrame, entries: DataFrame | None, seq: Sequence, fields: list[str], step: Step) -> DataFrame:
-    """(keys, chunk, _entry, _end) of every chunk, for each entry it is given."""
+    """(keys, chunk, _entry, _end, _labels) of every chunk, for each entry it is given."""
     names = seq.chunk_keys
-    added = [T.StructField("_entry", T.StringType()), T.StructField("_end", T.StringType())]
+    added = [T.StructField(n, T.StringType()) for n in ("_entry", "_end")] + [T.StructField("_labels", T.ArrayType(T.StringType()))]
     schema = T.StructType([df.schema[n] for n in names] + added)
-    types = [to_arrow_type(df.schema[n].dataType) for n in names] + [pa.string(), pa.string()]
+    types = [to_arrow_type(df.schema[n].dataType) for n in names] + [pa.string(), pa.string(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, ends in _replay(batches, seq, fields, step):
             if ends:
-                columns = list(zip(*[(*key, json.dumps(state)) for key, state in ends]))
+                shaped = [(key, *_shape(state)) for key, state in ends]
+                columns = list(zip(*[(*key, json.dumps(shape) if shape else "", [str(x) for x in labels]) for key, shape, labels in shaped]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
     return _entering(df, entries, seq).mapInArrow(run, schema)
 
 
-def _entry_states(df: DataFrame, seq: Sequence, fields: list[str], step: Step) -> DataFrame | None:
-    """(keys, chunk, _entry) for every chunk that follows another one of its key."""
+def _entry_states(df: DataFrame, seq: Sequence, fields: list[str], step: Step) -> tuple[DataFrame, DataFrame] | None:
+    """((keys, chunk, _entry), (keys, chunk, _slot, _id)) for every chunk that something open reaches."""
     keys, at = list(seq.keys), seq.chunk_keys
     spread = df.groupBy(*keys).agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi")).where("_lo < _hi")
     if spread.isEmpty():
@@ -92,16 +107,28 @@ def _entry_states(df: DataFrame, seq: Sequence, fields: list[str], step: Step) -
     onward = follow.where("_next is not null").select(*at, "_next")
     known = fresh = cut(_ends(long, None, seq, fields, step))
     while True:
-        handed = fresh.join(onward, at).select(*keys, F.col("_next").alias(CHUNK), F.col("_end").alias("_entry")).distinct()
+        handed = fresh.join(onward, at).where("_end <> ''").select(*keys, F.col("_next").alias(CHUNK), F.col("_end").alias("_entry")).distinct()
         new = cut(handed.join(known, [*at, "_entry"], "left_anti"))
         if new.isEmpty():
             break
         fresh = cut(_ends(long.join(new, at, "left_semi"), new, seq, fields, step))
         known = cut(known.unionByName(fresh))
-    entered = known.where("_entry <> ''").select(*at, "_entry")
-    if entered.groupBy(*at).count().where("count > 1").isEmpty():
-        return entered
-    return _followed(known.join(onward, at), follow.where("_head").select(*at), seq)
+    entered = cut(_followed(known.join(onward, at), follow.where("_head").select(*at), seq))
+    return entered.where("_entry <> ''"), _ids(known.join(entered, [*at, "_entry"]).join(onward, at), seq)
+
+
+def _ids(path: DataFrame, seq: Sequence) -> DataFrame:
+    """(keys, chunk, _slot, _id): the label of each entry slot; path: (keys, chunk, _entry, _labels, _next) as really walked."""
+    keys = list(seq.keys)
+    slots = path.select(*keys, F.col(CHUNK).alias("_from"), F.col("_next").alias(CHUNK), F.posexplode("_labels").alias("_slot", "_label"))
+    own = F.col("_label").startswith("~")
+    known = cut(slots.select(*keys, CHUNK, "_slot", F.when(~own, F.col("_label").cast("long")).alias("_id"),
+                             F.when(own, F.col("_from")).alias("_to"), F.when(own, F.substring("_label", 2, 10).cast("int")).alias("_to_slot")))
+    while not known.where("_to is not null").isEmpty():
+        second = known.select(*keys, F.col(CHUNK).alias("_to"), F.col("_slot").alias("_to_slot"), F.col("_id").alias("_far_id"), F.col("_to").alias("_far"), F.col("_to_slot").alias("_far_slot"))
+        known = cut(known.join(second, [*keys, "_to", "_to_slot"], "left").select(
+            *keys, CHUNK, "_slot", F.coalesce("_id", "_far_id").alias("_id"), F.col("_far").alias("_to"), F.col("_far_slot").alias("_to_slot")))
+    return known.select(*keys, CHUNK, "_slot", "_id")
 
 
 def _followed(moves: DataFrame, heads: DataFrame, seq: Sequence) -> DataFrame:
@@ -112,7 +139,7 @@ def _followed(moves: DataFrame, heads: DataFrame, seq: Sequence) -> DataFrame:
     while True:
         more = cut(met.join(jump, at).select(*keys, F.col("_to").alias(CHUNK), F.col("_to_entry").alias("_entry")))
         if more.isEmpty():
-            return met.where("_entry <> ''")
+            return met
         met = cut(met.unionByName(more))
         second = jump.select(*keys, F.col(CHUNK).alias("_to"), F.col("_entry").alias("_to_entry"), F.col("_to").alias("_far"), F.col("_to_entry").alias("_far_entry"))
         jump = cut(jump.join(second, [*keys, "_to", "_to_entry"]).select(*at, F.col("_far").alias("_to"), F.col("_far_entry").alias("_to_entry")))
@@ -127,20 +154,27 @@ def carry_fold(
 ) -> DataFrame:
     """Append the columns `out` that step(state, row) returns for each row.
 
-    row is the tuple of `fields`; the state must survive a JSON round trip and
-    is None at the start of a key. df should hold only columns needed later.
+    row is the tuple of `fields`. A state is a list of groups [label, ...] that survives a JSON round trip, or None, as at
+    the start of a key; the first output is a label, and labels are whole numbers. df should hold only columns needed later.
     """
     base = seq.with_chunk(df)
     narrow = base.select(*dict.fromkeys([*seq.chunk_keys, *seq.order, *fields]))
-    entries = _entry_states(narrow, seq, fields, step)
-    kept = [c for c in df.columns]
-    schema = T.StructType([df.schema[c] for c in kept] + list(out))
-    types = [to_arrow_type(f.dataType) for f in out]
+    found = _entry_states(narrow, seq, fields, step)
+    kept = list(df.columns) if found is None else list(dict.fromkeys([*df.columns, CHUNK]))
+    schema = T.StructType([base.schema[c] for c in kept] + list(out) + [T.StructField("_slot", T.IntegerType())])
+    types = [*[to_arrow_type(f.dataType) for f in out], pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, outs, _ in _replay(batches, seq, fields, step):
             if batch is not None and outs:
-                added = [pa.array(c, t) for c, t in zip(zip(*outs), types)]
+                told = [(None, *o[1:], int(o[0][1:])) if isinstance(o[0], str) else (*o, None) for o in outs]
+                added = [pa.array(c, t) for c, t in zip(zip(*told), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + added, names=schema.names)
 
-    return _entering(base, entries, seq).mapInArrow(run, schema)
+    if found is None:
+        return _entering(base, None, seq).mapInArrow(run, schema).drop("_slot")
+    entries, ids = found
+    replayed = _entering(base, entries, seq).mapInArrow(run, schema)
+    label = out[0].name
+    return (replayed.join(ids, [*seq.chunk_keys, "_slot"], "left").withColumn(label, F.coalesce(label, "_id"))
+            .select(*df.columns, *[f.name for f in out]))

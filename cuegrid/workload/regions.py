@@ -37,7 +37,22 @@ def tracked(spark, sf_dir):
     return R.box_tracks(R.in_dominant_bands(b, bands, HEIGHT), STEP, WIDTH, HEIGHT)
 
 
-@query("box_tracks")
+# The tracks so far, row by row: a list of open tracks for each medium, oldest first.
+TRACKS_SQL = BANDS_SQL + """,
+  o as (select b.media_id, b.ts_ms ts, b.seq, b.x, b.y, b.w, b.h, b.score_pct, row_number() over (partition by b.media_id order by b.ts_ms, b.seq) i from b join kept using (media_id, band)),
+  walk as (
+    select media_id, i, seq track_id, [{'id': seq, 'ts': ts, 'x': x, 'y': y, 'w': w, 'h': h}] tracks from o where i = 1
+    union all
+    select media_id, i, coalesce(hit.id, seq), case when hit.id is null then list_append(live, {'id': seq, 'ts': ts, 'x': x, 'y': y, 'w': w, 'h': h})
+      else list_transform(live, lambda t: case when t.id = hit.id then {'id': t.id, 'ts': ts, 'x': x, 'y': y, 'w': w, 'h': h} else t end) end
+    from (select *, list_filter(fits, lambda t: abs(y + h / 2 - t.y - t.h / 2) = nearest)[1] hit
+      from (select *, list_min(list_transform(fits, lambda t: abs(y + h / 2 - t.y - t.h / 2))) nearest
+        from (select *, list_filter(live, lambda t: abs(x + w / 2 - t.x - t.w / 2) <= greatest(1280 * 0.12::double, 0.45::double * least(w, t.w))
+              and abs(y + h / 2 - t.y - t.h / 2) <= greatest(720 * 0.045::double, 0.8::double * least(h, t.h))) fits
+          from (select o.*, list_filter(k.tracks, lambda t: o.ts - t.ts <= 550) live from walk k join o on o.media_id = k.media_id and o.i = k.i + 1)))))"""
+
+
+@query("box_tracks", "boxes", TRACKS_SQL + " select media_id, seq, track_id from walk join o using (media_id, i)", recursive=True)
 def box_tracks(spark, sf_dir):
     return tracked(spark, sf_dir).select("media_id", "seq", "track_id")
 
@@ -70,17 +85,44 @@ def merge_regions(spark, sf_dir):
     return R.merge_regions(r, 1500, HEIGHT).withColumnRenamed("confidence", "confidence_pct")
 
 
-@query("fallback_region", "cues", """p as (select media_id, cue_id, greatest(0, start_ms - 120) s, end_ms + 180 e from cues),
-  r as (select *, max(e) over (partition by media_id order by cue_id rows between unbounded preceding and 1 preceding) reach from p),
-  n as (select *, sum(case when reach is null or s - reach > 350 then 1 else 0 end) over (partition by media_id order by cue_id) span_id from r)
-  select media_id, cast(span_id as bigint) region_id, 102 x, 547 y, 1076 width, 101 height, min(s) start_ms, max(e) end_ms from n group by media_id, span_id""")
+DURATION_SQL = "6000 + media_id * 977 % 90000"
+FALLBACK_SQL = f"""p_ as (select media_id, cue_id, greatest(0, start_ms - 120) s, end_ms + 180 e from cues),
+  r_ as (select *, max(e) over (partition by media_id order by cue_id rows between unbounded preceding and 1 preceding) reach from p_),
+  n_ as (select *, sum(case when reach is null or s - reach > 350 then 1 else 0 end) over (partition by media_id order by cue_id) span_id from r_),
+  fallback as (select media_id, cast(span_id as bigint) region_id, 102 x, 547 y, 1076 width, 101 height, min(s) start_ms, least(max(e), {DURATION_SQL}) end_ms
+    from n_ group by media_id, span_id having min(s) < {DURATION_SQL})"""
+
+
+@query("fallback_region", "cues", FALLBACK_SQL + " select * from fallback")
 def fallback_region(spark, sf_dir):
-    return R.fallback_regions(views.cues(spark, sf_dir), WIDTH, HEIGHT).drop("confidence")
+    cues = views.cues(spark, sf_dir)
+    return R.fallback_regions(cues, WIDTH, HEIGHT, views.with_durations(cues)).drop("confidence")
 
 
-@query("source_regions")
+@query("source_regions", "boxes cues", TRACKS_SQL + f""",
+  e as (select media_id, track_id, round(quantile_cont(x::double, 0.05), 6) x1, round(quantile_cont(y::double, 0.05), 6) y1, round(quantile_cont((x + w)::double, 0.95), 6) x2,
+    round(quantile_cont((y + h)::double, 0.95), 6) y2, sum(score_pct) score, count(*) n, count(distinct ts) samples, min(ts) t1, max(ts) t2
+    from walk join o using (media_id, i) group by all having count(distinct ts) >= 2),
+  p as (select *, greatest(12, (x2 - x1) * 0.08::double) px, greatest(8, (y2 - y1) * 0.30::double) py from e),
+  q as (select *, greatest(0, cast(round_even(round(x1 - px, 6), 0) as bigint)) l, greatest(0, cast(round_even(round(y1 - py, 6), 0) as bigint)) tp,
+    least(1280, cast(round_even(round(x2 + px, 6), 0) as bigint)) r, least(720, cast(round_even(round(y2 + py, 6), 0) as bigint)) bt from p),
+  env as (select media_id, track_id region_id, l x, tp y, r - l width, bt - tp height,
+    cast(round_even(round(least(0.99::double, 0.55::double * (score / 100 / n) + 0.45::double * least(1.0::double, samples / 4)) * 1000, 6), 0) as bigint) confidence_e3,
+    greatest(0, t1 - 162) start_ms, least(t2 + 162, {DURATION_SQL}) end_ms from q),
+  eo as (select *, row_number() over (partition by media_id order by start_ms, region_id) j from env),
+  joins as (select media_id, j, region_id grp, end_ms reached, y top, y + height bottom from eo where j = 1
+    union all select media_id, j, case when brk then region_id else grp end, end_ms, case when brk then y else least(top, y) end, case when brk then y + height else greatest(bottom, y + height) end
+    from (select eo.*, k.grp, k.top, k.bottom, start_ms - k.reached > 1.2::double * 250 or abs((eo.y + eo.height / 2) - (k.top + k.bottom) / 2) > 720 * 0.045::double brk
+      from joins k join eo on eo.media_id = k.media_id and eo.j = k.j + 1)),
+  found as (select media_id, k.grp region_id, min(x) x, min(y) y, max(x + width) - min(x) width, max(y + height) - min(y) height, min(confidence_e3) confidence_e3,
+    min(start_ms) start_ms, max_by(end_ms, j) end_ms from joins k join eo using (media_id, j) group by all),
+  {FALLBACK_SQL},
+  every as (select * from found union all select media_id, region_id, x, y, width, height, 250, start_ms, end_ms from fallback where media_id not in (select media_id from found))
+  select *, case when media_id in (select media_id from boxes) then 'visual_tracks_v2' else 'lower_band_fallback' end method from every""", recursive=True)
 def source_regions(spark, sf_dir):
-    r = R.source_regions(views.boxes(spark, sf_dir), views.cues(spark, sf_dir), STEP, WIDTH, HEIGHT)
+    boxes, cues = views.boxes(spark, sf_dir), views.cues(spark, sf_dir)
+    media = views.with_durations(boxes.select("media_id").unionByName(cues.select("media_id")))
+    r = R.source_regions(boxes, cues, STEP, WIDTH, HEIGHT, media)
     return r.select("media_id", "region_id", "x", "y", "width", "height", F.round(F.col("confidence") * 1000).cast("long").alias("confidence_e3"), "start_ms", "end_ms", "method")
 
 

@@ -121,6 +121,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_durations(df: DataFrame) -> DataFrame:
+    """(media_id, duration_ms) of the media of df; some end before their last row."""
+    return df.select("media_id").distinct().withColumn("duration_ms", 6_000 + F.col("media_id") * 977 % 90_000)
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One region per five cues; some cues fall between regions."""
     c = cues(spark, sf_dir).withColumn("region_id", F.floor(F.col("cue_id") / 5).cast("long"))

@@ -69,10 +69,10 @@ def sum_step():
     """Groups of values that add up to at most 20: depends on the whole open group."""
     def step(state, row):
         order, value = row
-        if state is not None and state[1] + value > 20:
+        if state is not None and state[0][1] + value > 20:
             state = None
-        head, total = state if state is not None else (order, 0)
-        return [head, total + value], (head, total + value)
+        head, total = state[0] if state is not None else (order, 0)
+        return [[head, total + value]], (head, total + value)
     return step
 
 
@@ -100,6 +100,33 @@ def test_carry_fold_without_any_break_hands_state_through_every_chunk(spark):
     assert {r.head for r in got} == {0} and len(got) == 60
 
 
+@pytest.mark.parametrize("chunks", [4, 64])
+def test_an_open_group_takes_the_same_rounds_over_any_number_of_chunks(spark, chunks, monkeypatch):
+    """The label of the open group is found by doubling, not handed from chunk to chunk."""
+    data = [(k, o, 0) for k in (1, 2) for o in range(3, 10 * chunks)]
+    out = T.StructType([T.StructField("head", T.LongType()), T.StructField("total", T.LongType())])
+    rounds, ends = [], carry._ends
+    monkeypatch.setattr(carry, "_ends", lambda *a: rounds.append(1) or ends(*a))
+    got = carry.carry_fold(spark.createDataFrame(data, "k long, o long, v long"), Sequence(("k",), ("o",), 10), ["o", "v"], sum_step(), out).collect()
+    assert {(r.k, r.head) for r in got} == {(1, 3), (2, 3)} and len(got) == len(data) and len(rounds) == 2
+
+
+def test_long_tracks_keep_their_first_box_over_many_chunks(spark, monkeypatch):
+    """Two tracks through all chunks, one that begins and ends midway, and one that crosses a silent chunk's border."""
+    from cuegrid.operators import regions as R
+    boxes = [(7, t * 250, 10 * t + k, 300, y, 400, 40, 90) for t in range(320) for k, y in enumerate((560, 640)) if not (k and 100 <= t < 104)]
+    boxes += [(7, t * 250, 10 * t + 5, 300, 100, 300, 40, 90) for t in range(40, 90)]
+    df = spark.createDataFrame(boxes, "media_id long, ts_ms long, seq long, x long, y long, w long, h long, score_pct long")
+    rounds, ends = [], carry._ends
+    monkeypatch.setattr(carry, "_ends", lambda *a: rounds.append(1) or ends(*a))
+    got = {(r.seq, r.track_id) for r in R.box_tracks(df, 250, 1280, 720, 1_250).collect()}
+    step, state, want = R._track_step(250, 1280, 720), None, set()
+    for _, ts, seq, *box, _ in sorted(boxes):
+        state, (track,) = step(state, (ts, seq, *box))
+        want.add((seq, track))
+    assert got == want and {t for _, t in want} == {0, 1, 405, 1041} and len(rounds) <= 3
+
+
 @pytest.mark.parametrize("width", [1, 9, 100_000])
 def test_paced_matches_loop(spark, width):
     from cuegrid.plans.scan import paced
