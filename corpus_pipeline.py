@@ -16,15 +16,13 @@ from cuegrid.llm.common import WORD, fold_of
 from cuegrid.plans.store import as_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least posterior of the predicted language.
-SURE = 0.5
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that some learned language explains; a missing lang is filled with it."""
+    """Texts that some learned language explains, letter by letter, as well as its own texts lead to expect; a missing lang is filled with it."""
     model = langid.train(docs.where(fold_of() != 1))
     judged = docs.select(*COLUMNS, langid.predicted(F.col("text"), model, spark).alias("p"))
-    return (judged.where((F.col("p.lang_pred") != langid.UNKNOWN) & (F.col("p.score") >= SURE))
+    return (judged.where((F.col("p.lang_pred") != langid.UNKNOWN) & (F.col("p.fit") >= 0))
             .withColumn("lang", F.coalesce("lang", "p.lang_pred")).select(COLUMNS))
 
 
@@ -76,6 +74,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = as_table(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
