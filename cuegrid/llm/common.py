@@ -31,20 +31,22 @@ def uniform(*seeds: Column) -> Column:
 
 
 def sample_about(df: DataFrame, group: str, most: int, salt: str, groups: int = 1_000) -> DataFrame:
-    """About `most` rows of each group (all rows of smaller groups), chosen by a hash of doc_id, so reruns agree.
+    """About `most` rows of each group (all rows of smaller groups), chosen by a hash of doc_id and of the row's number in reading order.
 
+    Rows are drawn one by one, however many share an id, so the size of a sample is binomial. Reruns over the same files agree.
     A groupBy count and a threshold per group: no group is sorted or meets in one task. Up to `groups` groups the
     thresholds are part of the filter, so that texts outside the sample never move; with more they are joined.
     """
-    u = uniform(F.col("doc_id"), F.lit(salt))
+    u = uniform(F.col("doc_id"), F.monotonically_increasing_id(), F.lit(salt))
     counts = df.groupBy(group).count()
     few = counts.limit(groups + 1).collect()
     if len(few) <= groups:
         shares = [x for g, n in few if g is not None for x in (F.lit(g), F.lit(most / n))]
         for_null = F.lit(next((most / n for g, n in few if g is None), 0.0))
         return df.where(u < (F.coalesce(F.create_map(*shares)[F.col(group)], for_null) if shares else for_null))
+    df = df.withColumn("_u", u)
     share = counts.select(F.col(group).alias("_group"), (F.lit(float(most)) / F.col("count")).alias("_share"))
-    return df.join(share, F.col(group).eqNullSafe(F.col("_group"))).where(u < F.col("_share")).drop("_group", "_share")
+    return df.join(share, F.col(group).eqNullSafe(F.col("_group"))).where("_u < _share").drop("_group", "_share", "_u")
 
 
 def pieces_for(rows: int, per_task: int, least: int = 1) -> int:

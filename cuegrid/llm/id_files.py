@@ -44,13 +44,13 @@ SCALE = 20
 LOW = 1 << 28
 BASE = float(1 << 24)
 #: Blocks that are coded side by side.
-ABREAST = 8
+ABREAST = 4
 MAGIC = b"IDS1"
 HEAD = "<4sIHHII"
 SEGMENT = "<III"
 END_ID = 2
 #: Words whose ids a Python worker keeps. The table starts afresh when full, which changes memory and time, never an id.
-KEPT = 600_000
+KEPT = 300_000
 KEPT_LENGTH = 64
 
 #: White space that str.split knows and the rule of the words here does not.
@@ -170,7 +170,7 @@ def raw_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
                 part = batch.column(2)[0].as_py()
             id_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
-            for some in slices(texts, 1_024, 4_000_000):
+            for some in slices(texts, 512, 2_000_000):
                 for own in words.encode(some):
                     ids = own + end
                     seen += 1
@@ -247,10 +247,9 @@ class Coder:
         x, upper, q = np.full(width, float(LOW)), np.empty(width), np.empty(width)
         states = {}
         whole, room = float(1 << SCALE), (LOW >> SCALE) * BASE
-        most = freq * room
         for t in range(steps - 1, -1, -1):
             f = freq[t]
-            np.greater_equal(x, most[t], out=sent[t])
+            np.greater_equal(x, np.multiply(f, room, out=q), out=sent[t])
             np.multiply(x, 1.0 / BASE, out=upper)
             np.floor(upper, out=upper)
             np.subtract(x, np.multiply(upper, BASE, out=q), out=words[t], casting="unsafe")

@@ -5,8 +5,11 @@ cut it into pieces, of the product of the pieces' probabilities; the forward alg
 text's score is the product over its words (runs of letters, lower-cased, with the vocabulary's word mark in front), and
 the prediction is the language with the largest score; with equal priors its posterior is the reported score.
 
-Training: expectation-maximisation over about `per_language` labelled texts a language (a documented bound, drawn by a
-hash of doc_id), one task a language. The model is a table of pieces by languages, which is what the tasks are sent.
+Sums are rescaled every 16 letters, so words of any length are scored whole.
+
+Training: expectation-maximisation over about `per_language` labelled texts of each of the `most_languages` most frequent labels (documented bounds;
+rows are drawn by a hash), one task a language; words of more than 30 letters teach nothing. The model is a table of pieces by languages, which is
+what the tasks are sent: 8 bytes a piece and language. With each language goes the least log-probability a letter that its own texts lead to expect.
 
 Defined results: null texts and texts without a letter give "und" and score 0; rows without a label or with a null text
 teach nothing; without any labelled row every text is "und". Of tied languages the first in code-point order wins.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,9 +34,9 @@ from cuegrid.llm.pieces import MARK, slices
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters of a word that are scored in one go; a longer run is scored part by part, which keeps products above the least double.
-RUN = 30
 LONGEST_PIECE = 16
+#: Longest words that training reads, and longest that are scored side by side; longer ones are scored one by one.
+TAUGHT, ABREAST = 30, 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words whose scores a task keeps. The table starts afresh when full, which changes memory and time, never a score.
 KEPT = 200_000
@@ -99,24 +103,59 @@ class Vocabulary:
                     yield i, j + 1, at, found[at]
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[str], models: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions in words, code points) for words of equal length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        for part in np.array_split(at, len(at) // 20_000 + 1):
+        for part in np.array_split(at, len(at) * int(length) * models // 2_400_000 + 1):
             joined = "".join(words[i] for i in part)
-            yield part, np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(part), int(length))
+            yield part, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(part), int(length))
 
 
 def forward(vocabulary: Vocabulary, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities of words, by model: p is pieces x models."""
+    """Log-probabilities of words of equal length, by model: p is pieces x models."""
     n, length = codes.shape
-    alpha = np.zeros((length + 1, n, p.shape[1]))
+    alpha, logs = np.zeros((length + 1, n, p.shape[1])), np.zeros((n, p.shape[1]))
     alpha[0] = 1.0
     for i, j, at, piece in vocabulary.arcs(codes):
+        if i and i % LONGEST_PIECE == 0 and j == i + 1:  # what ends at i is complete: from here on, measure against it
+            logs += np.log(alpha[i])
+            alpha[i + 1:i + LONGEST_PIECE] /= alpha[i]
+            alpha[i] = 1.0
         alpha[j, at] += alpha[i, at] * p[piece]
-    return alpha[length]
+    return logs + np.log(alpha[length])
+
+
+def forward_one(vocabulary: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
+    """The same for one word of any length: pieces are found for all its positions at once, sums are kept for the last few."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length, starts, pieces, widths = len(codes), [], [], []
+    h = np.zeros(length, np.uint64)
+    for width in range(1, min(LONGEST_PIECE, length) + 1):
+        h = (h[:length - width + 1] + codes[width - 1:] + np.uint64(1)) * BASE
+        found = vocabulary.find(h)
+        at = np.arange(length) if width == 1 else np.flatnonzero(found >= 0)
+        starts.append(at)
+        pieces.append(np.where(found[at] < 0, vocabulary.size - 1, found[at]))
+        widths.append(np.full(len(at), width))
+    start = np.concatenate(starts)
+    order = np.argsort(start, kind="stable")
+    piece, width = np.concatenate(pieces)[order], np.concatenate(widths)[order].tolist()
+    stops = np.searchsorted(start[order], np.arange(1, length + 1)).tolist()
+    size = LONGEST_PIECE + 1
+    ring, logs, k = np.zeros((size, p.shape[1])), np.zeros(p.shape[1]), 0
+    ring[0] = 1.0
+    for i, stop in enumerate(stops):
+        here = ring[i % size]
+        if i and i % LONGEST_PIECE == 0:
+            logs += np.log(here)
+            ring /= here.copy()
+        for q in p[piece[k:stop]]:
+            ring[(i + width[k]) % size] += here * q
+            k += 1
+        ring[i % size] = 0.0
+    return logs + np.log(ring[length % size])
 
 
 def fit(vocabulary: Vocabulary, counts: Counter, rounds: int = 3, floor: float = 0.02) -> np.ndarray:
@@ -143,10 +182,7 @@ def fit(vocabulary: Vocabulary, counts: Counter, rounds: int = 3, floor: float =
 
 
 def words_of(text: str) -> list[str]:
-    runs = LETTERS.findall(text.lower())
-    if len(text) > RUN and any(len(w) > RUN for w in runs):
-        return [MARK * (k == 0) + w[k:k + RUN] for w in runs for k in range(0, len(w), RUN)]
-    return [MARK + w for w in runs]
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -158,19 +194,40 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def train(labelled: DataFrame, per_language: int = 1_500, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """(languages, pieces x languages probabilities) from doc_id, text, lang."""
+class Model(NamedTuple):
+    languages: list[str]
+    #: pieces x languages
+    p: np.ndarray
+    #: Least log-probability a letter, by language: as far below the lowest hundredth of its training texts as that is below their median.
+    floors: np.ndarray
+
+
+def train(labelled: DataFrame, per_language: int = 1_500, path: str | None = None, most_languages: int = 256) -> Model:
+    """A model from doc_id, text, lang; of equally frequent labels the first in code-point order are learned."""
     where = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def one_language(rows: pd.DataFrame) -> pd.DataFrame:
         vocabulary = vocabulary_of(where)
-        counts = Counter(w for t in rows["text"] for w in words_of(t))
-        p = fit(vocabulary, counts).tolist() if counts else []
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "p": [p]})
-
-    sample = sample_about(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), "lang", per_language, "langid")
-    models = {r["lang"]: r["p"] for r in sample.groupBy("lang").applyInPandas(one_language, "lang string, p array<double>").collect() if r["p"]}
-    return sorted(models), np.array([models[k] for k in sorted(models)]).T
+        texts = [[w for w in words_of(t) if len(w) <= TAUGHT + 1] for t in rows["text"]]
+        counts = Counter(w for t in texts for w in t)
+        if not counts:
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "p": [[]], "floor": [0.0]})
+        p = fit(vocabulary, counts)
+        words = list(counts)
+        logs = np.empty(len(words))
+        for part, codes in by_length(words):
+            logs[part] = forward(vocabulary, codes, p[:, None])[:, 0]
+        known = dict(zip(words, logs.tolist()))
+        levels = [sum(map(known.__getitem__, t)) / sum(len(w) - 1 for w in t) for t in texts if t]
+        low, middle = np.quantile(levels, [0.01, 0.5])
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "p": [p.tolist()], "floor": [2 * low - middle]})
+
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    sample = sample_about(rows.join(F.broadcast(common.select("lang")), "lang", "left_semi"), "lang", per_language, "langid")
+    found = {r["lang"]: r for r in sample.groupBy("lang").applyInPandas(one_language, "lang string, p array<double>, floor double").collect() if r["p"]}
+    names = sorted(found)
+    return Model(names, np.array([found[k]["p"] for k in names]).T, np.array([found[k]["floor"] for k in names]))
 
 
 class Scorer:
@@ -187,38 +244,50 @@ class Scorer:
             self.rows = self.rows[:0]
         new = [w for w in words if w not in self.at]
         if new:
+            new.sort(key=lambda w: len(w) > ABREAST)
+            short = sum(len(w) <= ABREAST for w in new)
             own = np.empty((len(new), self.p.shape[1]))
-            for part, codes in by_length(new):
-                own[part] = np.log(forward(self.vocabulary, codes, self.p))
+            for part, codes in by_length(new[:short], self.p.shape[1]):
+                own[part] = forward(self.vocabulary, codes, self.p)
+            for k in range(short, len(new)):
+                own[k] = forward_one(self.vocabulary, new[k], self.p)
             self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.rows = np.concatenate([self.rows, own])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probabilities by text and model, letters of each text)."""
         cut = [words_of(t) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        sums = np.zeros((len(texts), self.p.shape[1]))
+        wanted = set().union(*cut)
+        self.learn(wanted)
+        sums, letters = np.zeros((len(texts), self.p.shape[1])), np.zeros(len(texts))
         for i, words in enumerate(cut):
             if words:
                 sums[i] = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        return sums
+                letters[i] = sum(map(len, words)) - len(words)
+        for w in wanted:
+            if len(w) > ABREAST:
+                del self.at[w]
+        return sums, letters
 
 
-def predicted(text: Column, model: tuple[list[str], np.ndarray], spark, path: str | None = None) -> Column:
-    """struct(lang_pred, score) of a text column."""
-    where, languages = path or public_tokenizers.path("piece_bpe_32k.model"), model[0]
-    shared = spark.sparkContext.broadcast(model[1])
+def predicted(text: Column, model: Model, spark, path: str | None = None) -> Column:
+    """struct(lang_pred, score, fit) of a text column; fit: the log-probability a letter, less the least that the language leads to expect."""
+    where, languages, floors = path or public_tokenizers.path("piece_bpe_32k.model"), model.languages, model.floors
+    shared = spark.sparkContext.broadcast(model.p)
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(vocabulary_of(where), shared.value) if languages else None
         for batch in batches:
             texts = [t if t and any(map(str.isalpha, t)) else None for t in batch]
             for part in slices(texts, 1_024, 2_000_000):
-                out = [(UNKNOWN, 0.0)] * len(part)
+                out = [(UNKNOWN, 0.0, 0.0)] * len(part)
                 if scorer is not None:
-                    s = scorer.scores(part)
+                    s, letters = scorer.scores(part)
                     best = s.argmax(axis=1)
                     share = 1.0 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                    out = [(languages[b], float(q)) if t else (UNKNOWN, 0.0) for t, b, q in zip(part, best, share)]
-                yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                    fit_ = s[np.arange(len(part)), best] / np.maximum(letters, 1) - floors[best]
+                    out = [(languages[b], float(q), float(f)) if t else (UNKNOWN, 0.0, 0.0) for t, b, q, f in zip(part, best, share, fit_)]
+                yield pd.DataFrame(out, columns=["lang_pred", "score", "fit"])
 
-    return F.pandas_udf(rows, "lang_pred string, score double")(text)
+    # else the optimiser would evaluate it once for each filter and projection that reads its fields
+    return F.pandas_udf(rows, "lang_pred string, score double, fit double").asNondeterministic()(text)

@@ -44,7 +44,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold_of() != 1))
     return (docs.select("doc_id", (fold_of() == 1).alias("held_out"), langid.predicted(F.col("text"), model, spark).alias("p"))
-            .select("doc_id", "held_out", "p.*"))
+            .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
 @query

@@ -4,7 +4,7 @@ Features are the distinct words, word pairs and pairs with one word skipped of a
 into 2^20 coordinates. FTRL-proximal keeps a learning rate for each coordinate and an L1 term that leaves most weights
 at exactly zero, so what tasks are sent is a short list of (coordinate, weight): at most 2^20, in practice a few hundred.
 
-Training reads about `per_class` labelled texts of each class (a documented bound, drawn by a hash of doc_id) in one task,
+Training reads about `per_class` labelled texts of each class (a documented bound, drawn by a hash) in one task; labels that repeat count once,
 three quarters for the weights and one quarter to calibrate the scores; scoring is a pass over all texts.
 
 Defined results: null and empty texts have no features and get the score of the intercept alone; unlabelled rows, null
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, epochs: in
         at = np.flatnonzero(w[:-1])
         return pd.DataFrame({"at": [at.tolist()], "w": [(slope * w[at]).tolist()], "intercept": [float(slope * w[-1] + shift)]})
 
-    known = labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    known = labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).distinct()
     drawn = sample_about(known, "toxic", per_class, "toxicity")
     sample = (docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
               .withColumn("turn", F.xxhash64("doc_id", F.lit("order"))).withColumn("model", F.lit(1)))

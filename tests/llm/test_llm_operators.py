@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrid.llm import bpe_counts, fingerprints, langid, licenses, maxscore, mixing, near_dup, pieces, pii, toxicity
+from cuegrid.llm.common import sample_about
 
 EDGES = ["", " ", "  ", "\n\t ", "a", " a", "a ", "a  b", "x▁y", "▁", "é😀 x​", "\x00a\x85 b", "<s> <|endoftext|><|endoftext|> </s>",
          "it's I'LL we've  don't", "long" * 3000, "ab " * 2000, " " * 500 + "z" + " " * 40, "1234567890" * 30, "a b　c   d", "Ａｂ ﬁ"]
@@ -279,7 +280,7 @@ def test_language_on_held_out_texts(spark, docs_of):
     docs = docs_of(rows)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = langid.train(docs.where(~held), per_language=20)
-    assert model[0] == ["xx", "yy", "zz"]
+    assert model.languages == ["xx", "yy", "zz"]
     got = docs.select("doc_id", "lang", langid.predicted(F.col("text"), model, spark).alias("p")).select("doc_id", "lang", "p.*").collect()
     for r in got:
         if r["doc_id"] in (1000, 1001, 1002):
@@ -287,7 +288,7 @@ def test_language_on_held_out_texts(spark, docs_of):
         else:
             assert 0 <= r["score"] <= 1 and r["lang_pred"] == (r["lang"] or {1003: "zz", None: "yy"}[r["doc_id"]])
     empty = langid.train(docs.limit(0))
-    assert {tuple(r[0]) for r in docs.select(langid.predicted(F.col("text"), empty, spark)).collect()} == {("und", 0.0)}
+    assert {tuple(r[0]) for r in docs.select(langid.predicted(F.col("text"), empty, spark)).collect()} == {("und", 0.0, 0.0)}
 
 
 def test_forward_sums_all_segmentations():
@@ -307,7 +308,32 @@ def test_forward_sums_all_segmentations():
         return total
     for at, codes in langid.by_length(words):
         for i, got in zip(at, langid.forward(vocabulary, codes, p)):
-            assert np.allclose(got, every(words[i]))
+            assert np.allclose(np.exp(got), every(words[i]))
+
+
+def test_long_words_are_scored_whole():
+    vocabulary = langid.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+    p = np.random.default_rng(1).random((vocabulary.size, 2)) * 1e-4
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choice(["the", "ing", "日", "é", "x"]) for _ in range(k)) for k in (1, 5, 9, 20, 60, 300)]
+    for at, codes in langid.by_length(words):
+        for i, got in zip(at, langid.forward(vocabulary, codes, p)):
+            assert np.isfinite(got).all() and np.allclose(got, langid.forward_one(vocabulary, words[i], p))
+    one = langid.forward_one(vocabulary, "▁" + "the" * 100_000, p)
+    assert np.isfinite(one).all() and (one < -1_000).all()
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark, docs_of):
+    docs = docs_of([(i, invented("xx", 5, i), f"l{i % 7}", None) for i in range(70)] + [(100 + i, invented("yy", 5, i), "yy", None) for i in range(20)])
+    assert langid.train(docs, most_languages=3).languages == ["l0", "l1", "yy"]
+
+
+def test_samples_take_rows_not_ids(spark):
+    df = spark.range(0, 40_000, 1, 4).selectExpr("cast(null as long) as doc_id", "'one text' as text", "id % 2 as g")
+    drawn = dict(sample_about(df, "g", 1_000, "salt").groupBy("g").count().collect())
+    assert all(800 < drawn[g] < 1_200 for g in (0, 1))
+    many = sample_about(df, "g", 1_000, "salt", groups=1)
+    assert 1_600 < many.count() < 2_400 and many.columns == df.columns
 
 
 def test_toxicity_on_held_out_texts(spark, docs_of):
