@@ -21,6 +21,8 @@ DAY_MS = 86_400_000
 
 
 def both_known_and_differ(a: Column, b: Column) -> Column:
+    """An empty label is as unknown as a missing one."""
+    a, b = F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))
     return a.isNotNull() & b.isNotNull() & (a != b)
 
 
@@ -55,7 +57,7 @@ def smooth_speaker_flips(words: DataFrame, seq: Sequence = WORDS) -> DataFrame:
     """
     w = neighbours(words, seq, prev={"_before": F.col("speaker")}, next={"_after": F.col("speaker")})
     flip = (
-        F.col("_before").isNotNull() & (F.col("_before") == F.col("_after"))
+        F.col("_before").isNotNull() & (F.col("_before") != "") & (F.col("_before") == F.col("_after"))
         & ~F.col("speaker").eqNullSafe(F.col("_before")) & (F.col("end_ms") - F.col("start_ms") < 350)
     )
     w = w.withColumn("_flip", F.coalesce(flip, F.lit(False)))

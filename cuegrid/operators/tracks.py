@@ -51,7 +51,7 @@ def asr_rescue(ocr: DataFrame, asr: DataFrame) -> DataFrame:
 
 def reliable_media(labelled: DataFrame, label: str) -> DataFrame:
     """Media with at least two known labels, found by min and max alone."""
-    t = labelled.where(F.col(label).isNotNull()).groupBy("media_id").agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
+    t = labelled.where(F.col(label) != "").groupBy("media_id").agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
     return t.where("_lo <> _hi").select("media_id")
 
 
@@ -237,5 +237,5 @@ def best_attempt(metrics: DataFrame) -> DataFrame:
 def majority_speaker(rows: DataFrame, *group: str) -> DataFrame:
     """Most frequent known label of a group, the smallest on ties; null if none is known."""
     n = rows.groupBy(*group, "speaker").agg(F.count("*").alias("n"))
-    best = F.min(F.when(F.col("speaker").isNotNull(), F.struct((-F.col("n")).alias("n"), "speaker")))
+    best = F.min(F.when(F.col("speaker") != "", F.struct((-F.col("n")).alias("n"), "speaker")))
     return n.groupBy(*group).agg(best.getField("speaker").alias("majority"))

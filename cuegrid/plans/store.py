@@ -63,3 +63,21 @@ def source_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
+def _on_files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, on any Hadoop file system; nothing for a missing folder."""
+    p, fs = _on_files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own, on any Hadoop file system."""
+    p, fs = _on_files(spark, path)
+    fs.delete(p, True)

@@ -1,21 +1,22 @@
 """Streaming versions of the usage ledger, batch progress and text sessions.
 
-Streams end up in parquet folders, one sub-folder per micro-batch. A repeated
-micro-batch overwrites its own folder, so a restart counts nothing twice.
+Current state lives in bucketed tables (`BucketTable`): a micro-batch reads and rewrites the buckets it touches only, so its cost
+does not grow with history. A repeated micro-batch starts from the state before it and overwrites its own folders, so a
+restart counts nothing twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuegrid.operators.catalog import batch_progress, usage_by_model
+from cuegrid.plans.scan import Sequence, islands
+from cuegrid.plans.store import children, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -47,111 +48,168 @@ def _folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id:09d}"
 
 
-def _latest(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest version of each key; batch is the micro-batch that wrote it."""
-    values = [c for c in table.columns if c not in (*keys, "batch")]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+@dataclass(frozen=True)
+class BucketTable:
+    """The newest row of each key, in buckets by a hash of `by`.
 
+    path/rows/batch=B/bucket=K holds bucket K as micro-batch B left it; path/index/batch=B tells for each bucket the micro-batch that wrote it
+    last. Writing the index makes a version current, so readers see all of a micro-batch or nothing. Versions that neither of the last
+    two indexes names are removed after each update.
+    """
 
-def stream_usage(tokens: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Running totals per medium and model; only changed totals are written.
+    spark: SparkSession
+    path: str
+    by: tuple[str, ...]
+    buckets: int = 64
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
+
+    def index(self, before: int | None = None) -> dict[int, int]:
+        """bucket -> micro-batch, at most one entry for each bucket."""
+        known = [b for b in _batches(self.spark, f"{self.path}/index") if before is None or b < before]
+        return {r["bucket"]: r["written"] for r in self.spark.read.parquet(_folder(f"{self.path}/index", max(known))).collect()} if known else {}
+
+    def rows(self, index: dict[int, int]) -> DataFrame | None:
+        """The rows of the buckets of an index; null if there are none."""
+        paths = [f"{_folder(f'{self.path}/rows', b)}/bucket={k}" for k, b in sorted(index.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def update(self, batch_id: int, changes: DataFrame, newest: Column, keys: tuple[str, ...]) -> DataFrame:
+        """Merge changes in; of a key's rows the one with the greatest `newest` stays. Returns the touched buckets' rows."""
+        spark, before = self.spark, self.index(before=batch_id)
+        fresh = changes.withColumn("bucket", self.bucket())
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        old = self.rows({k: before[k] for k in touched if k in before})
+        every = fresh if old is None else fresh.unionByName(old.withColumn("bucket", self.bucket()))
+        values = F.struct(*[c for c in every.columns if c not in ("bucket", *keys)])
+        merged = every.groupBy("bucket", *keys).agg(F.max_by(values, newest).alias("v")).select("bucket", *keys, "v.*")
+        target = _folder(f"{self.path}/rows", batch_id)
+        if touched:
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        now = before | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, written long").coalesce(1).write.mode("overwrite").parquet(_folder(f"{self.path}/index", batch_id))
+        self._clear(batch_id, set(now.values()) | set(before.values()))
+        return self.rows(dict.fromkeys(touched, batch_id)) if touched else changes.limit(0)
+
+    def _clear(self, batch_id: int, used: set[int]) -> None:
+        """Earlier indexes but the last, and versions no index names. A version is one folder of all buckets of a micro-batch."""
+        for b in _batches(self.spark, f"{self.path}/rows"):
+            if b < batch_id and b not in used:
+                remove(self.spark, _folder(f"{self.path}/rows", b))
+        for b in sorted(b for b in _batches(self.spark, f"{self.path}/index") if b < batch_id)[:-1]:
+            remove(self.spark, _folder(f"{self.path}/index", b))
+
+    def current(self) -> DataFrame | None:
+        return self.rows(self.index())
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return [int(name.removeprefix("batch=")) for name in children(spark, path) if name.startswith("batch=")]
+
+
+def stream_usage(tokens: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Running totals per medium and model; only buckets with changed totals are rewritten.
 
     tokens is a stream of operators.catalog.usage_tokens rows. Returns the
     current totals, ready for the cost and per-medium rollup.
     """
-    spark = tokens.sparkSession
+    keys = ("media_id", "provider", "model")
+    table = BucketTable(tokens.sparkSession, path, ("media_id",), buckets)
 
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(_folder(path, batch_id))
+        table.update(batch_id, changed, F.col("requests"), keys)  # totals only grow
 
     totals = usage_by_model(tokens)
     _run(totals, "update", write, checkpoint)
-    return _latest(spark.read.option("basePath", path).parquet(path), ["media_id", "provider", "model"])
+    found = table.current()
+    return found if found is not None else tokens.sparkSession.createDataFrame([], totals.schema)
 
 
-def stream_batch_progress(changes: DataFrame, batches: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def stream_batch_progress(changes: DataFrame, batches: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> DataFrame:
     """Progress of every batch, recomputed for the batches a micro-batch touches.
 
     changes: a stream of (job_id, batch_id, position, filename, status, error,
-    change_no); the highest change_no of a job wins.
+    change_no); the highest change_no of a job wins. Both jobs and progress lie in buckets of batches.
     """
     spark = changes.sparkSession
-    log, progress = f"{path}/changes", f"{path}/progress"
-    state = ["batch_id", "position", "filename", "status", "error"]
+    jobs = BucketTable(spark, f"{path}/jobs", ("batch_id",), buckets)
+    progress = BucketTable(spark, f"{path}/progress", ("batch_id",), buckets)
+    schema: list = []
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        newest = rows.groupBy("job_id").agg(F.max(F.struct("change_no", *state)).alias("v")).select("job_id", "v.*")
-        newest.write.mode("overwrite").parquet(_folder(log, batch_id))
-        # Later folders can only exist after a replay; they must not leak in.
-        seen = spark.read.option("basePath", log).parquet(log).where(F.col("batch") <= batch_id)
-        touched = spark.read.parquet(_folder(log, batch_id)).select("batch_id").distinct()
-        jobs = seen.join(touched, "batch_id", "left_semi").groupBy("job_id").agg(F.max(F.struct("change_no", *state)).alias("v")).select("job_id", "v.*")
-        batch_progress(jobs, batches).write.mode("overwrite").parquet(_folder(progress, batch_id))
+        rows = rows.select("job_id", "batch_id", "position", "filename", "status", "error", "change_no")
+        near = jobs.update(batch_id, rows, F.struct("change_no", "status"), ("job_id", "batch_id"))
+        touched = near.join(rows.select("batch_id").distinct(), "batch_id", "left_semi")
+        made = batch_progress(touched.drop("bucket", "change_no"), batches).withColumn("at", F.lit(batch_id))
+        schema[:] = [made.drop("at").schema]
+        progress.update(batch_id, made, F.col("at"), ("batch_id",))
 
     _run(changes, "append", write, checkpoint)
-    return _latest(spark.read.option("basePath", progress).parquet(progress), ["batch_id"])
-
-
-SESSION = T.StructType([
-    T.StructField("media_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("start_ms", T.LongType()),
-    T.StructField("end_ms", T.LongType()), T.StructField("score_sum", T.LongType()), T.StructField("samples", T.LongType()),
-])
-OPEN = T.StructType([
-    T.StructField("text", T.StringType()), T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType()),
-    T.StructField("score_sum", T.LongType()), T.StructField("samples", T.LongType()),
-])
-
-
-class TextSessions(StatefulProcessor):
-    """Holds the open line of a medium; the next sample extends or closes it."""
-
-    def __init__(self, step_ms: int):
-        self.step_ms = step_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", OPEN)
-
-    def _closed(self, media: int, line: list) -> tuple:
-        text, first, last, score, samples = line
-        pad = self.step_ms * 3 / 4
-        return media, text, int(max(0, first - pad)), int(last + pad), score, samples
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.open.get() if self.open.exists() else None
-        line = list(held) if held is not None else None
-        out = []
-        samples = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
-        # Bridged as in the batch operator: 9/4 steps between the padded spans.
-        longest = self.step_ms * 15 / 4
-        for ts, text, score in zip(samples["ts_ms"].tolist(), samples["text"].tolist(), samples["score_pct"].tolist()):
-            if line is not None and ts < line[2]:
-                continue  # late: its place in the sequence is already decided
-            if line is not None and text == line[0] and ts - line[2] <= longest:
-                line[2:] = [ts, line[3] + score, line[4] + 1]
-                continue
-            if line is not None:
-                out.append(self._closed(key[0], line))
-            line = [text, ts, ts, score, 1]
-        if line is not None:
-            self.open.update(tuple(line))
-        yield pd.DataFrame(out, columns=SESSION.names)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_sessions(samples: DataFrame, path: str, checkpoint: str, step_ms: int = 400) -> DataFrame:
-    """Closed text sessions of a sample stream; a medium's last line stays open.
-
-    samples: a stream of (media_id, seq, ts_ms, text, score_pct) that brings the
-    samples of a medium in time order; the state per medium is one line.
+    found = progress.current()
+    return found.drop("at") if found is not None else spark.createDataFrame([], schema[0] if schema else "batch_id long")
+
+
+LINES = "media_id long, text string, start_ms long, end_ms long, score_sum long, samples long"
+
+
+def stream_sessions(samples: DataFrame, path: str, checkpoint: str, step_ms: int = 400, delay_ms: int = 0, ends: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sessions, late) of a stream of (media_id, seq, ts_ms, text, score_pct).
+
+    The state is one open line for each medium. A micro-batch joins its samples to the open lines as the batch operator does, by scans over
+    chunks of a medium, so a hot medium is spread and no group is gathered. A line is closed by the next one of its medium, or when the latest sample
+    of all media is `delay_ms` past the time at which a sample could still extend it; with `ends` what is open when the source is drained is closed as well.
+    late: (media_id, ts_ms, text, score_pct) of samples that came after their place in the sequence was decided, for repair in batch.
     """
     spark = samples.sparkSession
-    closed = samples.groupBy("media_id").transformWithStateInPandas(
-        statefulProcessor=TextSessions(step_ms), outputStructType=SESSION, outputMode="Append", timeMode="None")
+    longest, pad = step_ms * 15 / 4, step_ms * 3 / 4  # bridged as in the batch operator: 9/4 steps between the padded spans
+    folders = {name: f"{path}/{name}" for name in ("closed", "late", "open", "clock")}
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(_folder(path, batch_id))
+    def kept(name: str, batch_id: int, schema: str) -> DataFrame:
+        """What the micro-batch before left open."""
+        known = [b for b in _batches(spark, folders[name]) if b < batch_id]
+        return spark.read.schema(schema).parquet(_folder(folders[name], max(known))) if known else spark.createDataFrame([], schema)
+
+    def put(name: str, batch_id: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(_folder(folders[name], batch_id))
 
-    _run(closed, "append", write, checkpoint)
-    return spark.read.option("basePath", path).parquet(path).drop("batch")
+    def padded(lines: DataFrame) -> DataFrame:
+        start, end = F.greatest(F.lit(0), F.floor(F.col("start_ms") - pad)), F.floor(F.col("end_ms") + pad)
+        return lines.select("media_id", "text", start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), "score_sum", "samples")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.select(F.col("media_id").cast("long").alias("media_id"), "seq", F.col("ts_ms").cast("long").alias("ts_ms"), "text", F.col("score_pct").cast("long").alias("score_pct")).persist()
+        open_ = kept("open", batch_id, LINES)
+        placed = rows.join(open_.select("media_id", F.col("end_ms").alias("reached")), "media_id", "left")
+        early = F.col("ts_ms") < F.col("reached")
+        put("late", batch_id, placed.where(early).select("media_id", "ts_ms", "text", "score_pct"))
+        parts = placed.where(~F.coalesce(early, F.lit(False))).select(
+            "media_id", F.col("ts_ms").alias("start_ms"), "seq", F.col("ts_ms").alias("end_ms"), "text", F.col("score_pct").alias("score_sum"), F.lit(1).cast("long").alias("samples"))
+        held = open_.select("media_id", "start_ms", F.lit(-1).cast("long").alias("seq"), "end_ms", "text", "score_sum", "samples")
+        runs = islands(parts.unionByName(held), Sequence(("media_id",), ("start_ms", "seq"), 3_600_000), {"text": F.col("text"), "start": F.col("start_ms"), "end": F.col("end_ms")},
+                       lambda p, c: ~p("text").eqNullSafe(c("text")) | (c("start") - p("end") > longest))
+        lines = runs.groupBy("media_id", "island").agg(
+            F.first("text").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("score_sum").alias("score_sum"), F.sum("samples").alias("samples"))
+        last = lines.groupBy("media_id").agg(F.max("island").alias("last"))
+        now = rows.agg(F.max("ts_ms").alias("now")).unionByName(kept("clock", batch_id, "now long")).agg(F.max("now").alias("now"))
+        waits = (F.col("island") == F.col("last")) & (F.col("end_ms") + longest + delay_ms >= F.col("now"))
+        judged = lines.join(last, "media_id").crossJoin(F.broadcast(now)).withColumn("waits", F.coalesce(waits, F.lit(True))).persist()  # now is one row
+        put("closed", batch_id, padded(judged.where("not waits")))
+        put("clock", batch_id, now)
+        put("open", batch_id, judged.where("waits").select("media_id", "text", "start_ms", "end_ms", "score_sum", "samples"))
+        for name in ("open", "clock"):
+            for b in sorted(b for b in _batches(spark, folders[name]) if b < batch_id)[:-1]:
+                remove(spark, _folder(folders[name], b))
+        judged.unpersist()
+        rows.unpersist()
+
+    _run(samples, "append", write, checkpoint)
+
+    def all_of(name: str, schema: str) -> DataFrame:
+        found = [_folder(folders[name], b) for b in _batches(spark, folders[name])]
+        return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+    done = all_of("closed", LINES)
+    if ends:
+        done = done.unionByName(padded(kept("open", 1 << 62, LINES)))
+    return done, all_of("late", "media_id long, ts_ms long, text string, score_pct long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuegrid.operators import tracks as T
-from cuegrid.plans.overlap import overlap_pairs, shared_ms
+from cuegrid.plans.overlap import overlap_totals
 from cuegrid.workload import views
 from cuegrid.workload.registry import query
 from cuegrid.workload.scalars import strip_sql
@@ -41,7 +41,7 @@ def recover_speakers(spark, sf_dir):
 
 
 @query("speaker_reliability", "marked", """one as (select media_id, cue_id, case when media_id % 3 = 0 and speaker = 'user' then null else speaker end speaker from marked)
-  select media_id, cue_id, case when media_id in (select media_id from one group by media_id having count(distinct speaker) >= 2)
+  select media_id, cue_id, case when media_id in (select media_id from one group by media_id having count(distinct nullif(speaker, '')) >= 2)
     then speaker end shown_speaker from one""")
 def speaker_reliability(spark, sf_dir):
     c = views.marked(spark, sf_dir)
@@ -73,15 +73,15 @@ def active_cues(spark, sf_dir):
 
 
 @query("overlapping_tracks", "intervals", """longer as (select * replace (start_ms + 300 * (end_ms - start_ms) as end_ms) from intervals)
-  select a.media_id, a.seq a_seq, b.seq b_seq, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) shared_ms
-  from longer a join longer b on a.media_id = b.media_id and greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms)
-  where a.track = 'click' and b.track = 'view'""")
+  select a.media_id, a.seq, count(b.seq) others, coalesce(sum(case when b.seq is not null then least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) end), 0)::bigint shared_ms
+  from longer a left join longer b on a.media_id = b.media_id and greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms) and a.track <> b.track group by all""")
 def overlapping_tracks(spark, sf_dir):
+    """How many events of other types each event overlaps, and for how long in total."""
     i = views.intervals(spark, sf_dir).withColumn("end_ms", F.col("start_ms") + 300 * (F.col("end_ms") - F.col("start_ms")))
-    a = i.where("track = 'click'").select("media_id", F.col("seq").alias("a_seq"), "start_ms", "end_ms")
-    b = i.where("track = 'view'").select("media_id", F.col("seq").alias("b_seq"), F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
-    p = overlap_pairs(a, b, "media_id", "start_ms", "end_ms", "b_start", "b_end")
-    return p.select("media_id", "a_seq", "b_seq", shared_ms("start_ms", "end_ms", "b_start", "b_end").alias("shared_ms"))
+    every = overlap_totals(i, i, ("media_id",), ("seq",))
+    own = overlap_totals(i, i, ("media_id", "track"), ("seq",))
+    both = every.join(own.select("media_id", "seq", F.col("others").alias("same"), F.col("shared_ms").alias("same_ms")), ["media_id", "seq"])
+    return both.select("media_id", "seq", (F.col("others") - F.col("same")).alias("others"), (F.col("shared_ms") - F.col("same_ms")).alias("shared_ms"))
 
 
 @query("translation_context", "cues", """r as (select media_id, cue_id, row_number() over (partition by media_id order by cue_id) rank from cues),
@@ -94,13 +94,17 @@ def translation_context(spark, sf_dir):
 
 
 def _recognised(spark, sf_dir):
+    """Whole texts, and generated lines of one or two characters between them."""
     s = views.ocr_samples(spark, sf_dir)
-    pct = 70 + F.col("score_pct") % 31
-    return s.select("media_id", F.col("seq").alias("cue_id"), F.substring("text", 1, (F.col("seq") % 4 + 1).cast("int")).alias("text"),
-                    (pct / 100).alias("score"), (1 + F.col("seq") % 3).alias("samples"))
+    n = F.col("seq")
+    short = s.where(n % 3 == 0).select("media_id", (n + 10_000_000_000).alias("seq"), F.substring(F.lit("ab"), 1, (n % 2 + 1).cast("int")).alias("text"), ((F.col("score_pct") + n) % 100).alias("score_pct"))
+    both = s.select("media_id", "seq", "text", "score_pct").unionByName(short)
+    return both.select("media_id", n.alias("cue_id"), "text", ((70 + F.col("score_pct") % 31) / 100).alias("score"), (1 + n % 3).alias("samples"))
 
 
-OCR_SQL = """recognised as (select media_id, seq cue_id, substr(text, 1, seq % 4 + 1) as text, (70 + score_pct % 31) / 100 score, 1 + seq % 3 samples from ocr_samples),
+OCR_SQL = """seen as (select media_id, seq, text, score_pct from ocr_samples
+    union all select media_id, seq + 10000000000, substr('ab', 1, cast(seq % 2 + 1 as int)), (score_pct + seq) % 100 from ocr_samples where seq % 3 = 0),
+  recognised as (select media_id, seq cue_id, text, (70 + score_pct % 31) / 100 score, 1 + seq % 3 samples from seen),
   stable as (select * from recognised where samples >= 2 or score >= 0.94::double and length(text) <= 2),
   kept as (select * from stable where media_id in (select media_id from stable group by media_id having count(*) >= 40)),
   cand as (select media_id, cue_id, unnest(range(3)) sample_no from recognised),
@@ -185,14 +189,16 @@ def transcript_metrics(spark, sf_dir):
     return m.select("media_id", "speech_ms", "units", "words", F.floor(1_000_000_000 * F.col("coverage")).cast("long").alias("coverage_ppb"))
 
 
-@query("sparse_transcripts", "cues", """w as (select media_id, cue_id, case when media_id % 4 = 0 and cue_id > 2 then '' else substr(content, 1, 1) end word, start_ms, start_ms + 60 e from cues),
-  m as (select media_id, max(start_ms) duration_ms, sum(case when word <> '' then 60 else 0 end) ms, sum(length(word)) units from w group by media_id)
+@query("sparse_transcripts", "cues", """w as (select media_id, content word, start_ms, start_ms + 60 e from cues
+    union all select -1 - media_id, case when cue_id > 2 then '' else 'x' end, start_ms, start_ms + 60 from cues),
+  m as (select media_id, max(start_ms) duration_ms, sum(case when trim(word) <> '' then 60 else 0 end) ms, sum(length(replace(word, ' ', ''))) units from w group by media_id)
   select media_id from m where duration_ms >= 30000 and ms < greatest(750, duration_ms * 0.015::double) and units < 4""")
 def sparse_transcripts(spark, sf_dir):
+    """The transcripts of all media, and one nearly silent generated medium for each."""
     c = views.cues(spark, sf_dir)
-    words = c.select("media_id", F.when((F.col("media_id") % 4 == 0) & (F.col("cue_id") > 2), "").otherwise(F.substring("content", 1, 1)).alias("word"),
-                     "start_ms", (F.col("start_ms") + 60).alias("end_ms"))
-    d = c.groupBy("media_id").agg(F.max("start_ms").alias("duration_ms"))
+    silent = c.select((-1 - F.col("media_id")).alias("media_id"), F.when(F.col("cue_id") > 2, "").otherwise("x").alias("content"), "start_ms")
+    words = c.select("media_id", "content", "start_ms").unionByName(silent).select("media_id", F.col("content").alias("word"), "start_ms", (F.col("start_ms") + 60).alias("end_ms"))
+    d = words.groupBy("media_id").agg(F.max("start_ms").alias("duration_ms"))
     return T.sparse_transcripts(T.transcript_metrics(words, d)).select("media_id")
 
 

@@ -15,8 +15,8 @@ from cuegrid.workload.scalars import WORDS_SQL, ignorable_sql, strip_sql
 
 def deliverable(spark, sf_dir):
     """Translated lines with all kinds of defects; pos is their list order."""
-    i, m = F.col("cue_id"), F.col("media_id")
-    c = views.marked(spark, sf_dir).where((m % 10 != 7) | (i % 50 != 9))
+    i = F.col("cue_id")
+    c = views.marked(spark, sf_dir)
     c = c.withColumn("content", F.when(i % 37 == 0, F.concat("content", "source")).when(i % 26 == 3, "Thôi đi.").when(i % 26 == 4, " thôi ĐI. ").otherwise(F.col("content")))
     c = c.withColumn("end_ms", F.when(i % 41 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
     return numbered(c, views.CUES, "pos")
@@ -24,12 +24,16 @@ def deliverable(spark, sf_dir):
 
 DELIVERABLE_SQL = """lines as (select media_id, cue_id, start_ms, case when cue_id % 41 = 0 then start_ms else end_ms end end_ms,
     case when cue_id % 37 = 0 then content || source when cue_id % 26 = 3 then 'Thôi đi.' when cue_id % 26 = 4 then ' thôi ĐI. ' else content end as content,
-    row_number() over (partition by media_id order by cue_id) pos from marked where media_id % 10 <> 7 or cue_id % 50 <> 9),
-  expected as (select media_id, cue_id item_id, row_number() over (partition by media_id order by cue_id) rank from marked)"""
+    row_number() over (partition by media_id order by cue_id) pos from marked),
+  wanted as (select media_id, cue_id item_id from marked union all select media_id, cue_id + 1 from marked where media_id % 10 = 7 and cue_id % 100 = 18),
+  expected as (select media_id, item_id, row_number() over (partition by media_id order by item_id) rank from wanted)"""
 
 
 def expected_ids(spark, sf_dir):
-    return numbered(views.cues(spark, sf_dir).select("media_id", F.col("cue_id").alias("item_id")), Sequence(("media_id",), ("item_id",)), "rank")
+    """The lines of the deliverable, and generated ones that it lacks."""
+    lines = views.marked(spark, sf_dir).select("media_id", F.col("cue_id").alias("item_id"))
+    lost = lines.where("media_id % 10 = 7 and item_id % 100 = 18").withColumn("item_id", F.col("item_id") + 1)
+    return numbered(lines.unionByName(lost), Sequence(("media_id",), ("item_id",)), "rank")
 
 
 CUE_SQL = f"""judged as (select l.media_id, l.cue_id, l.pos, {strip_sql('l.content')} bare, l.content, l.start_ms, l.end_ms,

@@ -15,12 +15,17 @@ from cuegrid.workload import views
 from cuegrid.workload.registry import query
 
 C3 = ("media_id", "cue_id")
-STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+# Blanks as the library knows them: ASCII white space, the separators U+001C to U+001F, and those of Unicode.
+BLANK_SQL = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORDS_SQL = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_\x{{C0}}-\x{{1EF9}}]+'))"
 
 
 def strip_sql(x: str) -> str:
-    return STRIP.format(x)
+    return f"regexp_replace({x}, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')"
+
+
+def one_spaced_sql(x: str) -> str:
+    return strip_sql(f"regexp_replace({x}, '{BLANK_SQL}+', ' ', 'g')")
 
 
 def predict_sql(x: str) -> str:
@@ -190,9 +195,9 @@ def balanced_lines(spark, sf_dir):
 
 @query("join_spoken", "marked", rf"""p as (select media_id, cue_id, content l, lead(content) over w r, {strip_sql('source')} s
     from marked window w as (partition by media_id order by cue_id)),
-  q as (select *, regexp_replace(l, '\s+$', '') b,
-    regexp_replace(regexp_replace(regexp_replace(l, '\s+$', ''), '[.!?。！？]+\s*$', ''), '\s+$', '') bare from p where r is not null)
-  select media_id, cue_id, {strip_sql(r"case when regexp_matches(s, '[。！？!?]\s*$') then b when regexp_matches(s, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(r, '^\s+', '')")} spoken from q""")
+  q as (select *, regexp_replace(l, '{BLANK_SQL}+$', '') b,
+    regexp_replace(regexp_replace(regexp_replace(l, '{BLANK_SQL}+$', ''), '[.!?。！？]+\s*$', ''), '{BLANK_SQL}+$', '') bare from p where r is not null)
+  select media_id, cue_id, {strip_sql(rf"case when regexp_matches(s, '[。！？!?]\s*$') then b when regexp_matches(s, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(r, '^{BLANK_SQL}+', '')")} spoken from q""")
 def join_spoken(spark, sf_dir):
     c = neighbours(views.marked(spark, sf_dir), views.CUES, next={"right": F.col("content")}).where("right is not null")
     return c.select(*C3, X.join_spoken(F.col("content"), F.col("right"), F.col("source")).alias("spoken"))
@@ -202,7 +207,7 @@ P = ",;:!?。.，、！？…"
 
 
 @query("pause_clauses", "marked", rf"""flat as (select media_id, cue_id,
-    regexp_replace({strip_sql(r"regexp_replace(content || ' a,b; ' || content, '\s+', ' ', 'g')")}, '\.{{3,}}', '…', 'g') t from marked),
+    regexp_replace({one_spaced_sql("content || ' a,b; ' || content")}, '\.{{3,}}', '…', 'g') t from marked),
   raw as (select media_id, cue_id, list_filter(list_transform(regexp_extract_all(t, '[^{P}]+([{P}]\s*)*'),
     lambda c: regexp_replace(trim(c), '([{P}])\s+', '\1', 'g')), lambda c: regexp_matches(c, '[^{P}]')) cs from flat),
   one as (select media_id, cue_id, unnest(cs) clause, generate_subscripts(cs, 1) - 1 clause_no from raw)
@@ -216,7 +221,7 @@ def pause_clauses(spark, sf_dir):
     return c.withColumn("pause_ms", X.clause_pause_ms(F.col("clause")))
 
 
-@query("ocr_normalize", "marked", r"select media_id, cue_id, regexp_replace(content || source, '[\s，。！？,.!?]', '', 'g') plain from marked")
+@query("ocr_normalize", "marked", f"select media_id, cue_id, regexp_replace(content || source, '{BLANK_SQL}|[，。！？,.!?]', '', 'g') plain from marked")
 def ocr_normalize(spark, sf_dir):
     return views.marked(spark, sf_dir).select(*C3, X.ocr_plain(F.concat("content", "source")).alias("plain"))
 

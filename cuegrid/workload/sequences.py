@@ -13,7 +13,7 @@ from cuegrid.operators import sequence as S
 from cuegrid.plans.store import cut
 from cuegrid.workload import views
 from cuegrid.workload.registry import query
-from cuegrid.workload.scalars import pause_sql, predict_sql, strip_sql
+from cuegrid.workload.scalars import BLANK_SQL, one_spaced_sql, pause_sql, predict_sql, strip_sql
 
 
 def ids(column: str = "cue_ids") -> Column:
@@ -79,7 +79,7 @@ def bounded_sql(gap: int, span: str, chars: int) -> str:
       from walk w join o on o.media_id = w.media_id and o.i = w.i + 1))"""
 
 
-ONE_SPACED = "string_agg(" + strip_sql(r"regexp_replace(o.content, '\s+', ' ', 'g')") + ", ' ' order by o.i)"
+ONE_SPACED = "string_agg(" + one_spaced_sql("o.content") + ", ' ' order by o.i)"
 
 
 @query("dialogue_units", "marked", rf"""base as (select *, regexp_matches({strip_sql('content')}, '[.!?。！？][)"”’]?\s*$') done, false tail from marked),
@@ -111,9 +111,9 @@ def scene_ids(spark, sf_dir):
     return S.scene_ids(views.cues(spark, sf_dir)).select("media_id", "cue_id", "scene_id")
 
 
-PHRASE_SQL = rf"""n as (select *, lag(end_ms) over w p_end, lag(speaker) over w p_speaker,
+PHRASE_SQL = rf"""n as (select *, lag(end_ms) over w p_end, lag(nullif(speaker, '')) over w p_speaker,
     lag(regexp_matches({strip_sql('content')}, '[.!?…]["”’)]?\s*$')) over w p_done from marked window w as (partition by media_id order by cue_id)),
-  phrased as (select *, sum(case when p_end is null or p_done or (p_speaker <> speaker) is true or start_ms - p_end > 800 then 1 else 0 end)
+  phrased as (select *, sum(case when p_end is null or p_done or (p_speaker <> nullif(speaker, '')) is true or start_ms - p_end > 800 then 1 else 0 end)
     over (partition by media_id order by cue_id) phrase from n),
   utterances as (select media_id, phrase, min(cue_id) utterance_id, min_by(start_ms, cue_id) start_ms, max_by(end_ms, cue_id) end_ms,
     arg_min_null(speaker, cue_id) speaker, string_agg({strip_sql('content')}, ' ' order by cue_id) as content,
@@ -126,7 +126,7 @@ def sentence_utterances(spark, sf_dir):
     return u.select("media_id", "utterance_id", "start_ms", "end_ms", "speaker", "content", ids())
 
 
-HARD_SQL = """hard as (select *, coalesce(lag(speaker) over w <> speaker, false) or coalesce(start_ms - lag(end_ms) over w >= 2800, false) hard_break
+HARD_SQL = """hard as (select *, coalesce(lag(nullif(speaker, '')) over w <> nullif(speaker, ''), false) or coalesce(start_ms - lag(end_ms) over w >= 2800, false) hard_break
     from marked window w as (partition by media_id order by cue_id))"""
 
 
@@ -139,11 +139,11 @@ def hard_breaks(spark, sf_dir):
     regexp_matches({strip_sql('source')}, '[。！？!?]["”’)]?\s*$') ended, {strip_sql('source')} src from hard),
   walk as (select media_id, i, cue_id grp, start_ms opened, end_ms reached, speaker voice, ended, src, content said from o where i = 1
     union all select media_id, i, case when brk then cue_id else grp end, case when brk then start_ms else opened end, end_ms, speaker, ended, src,
-      case when brk then content else {strip_sql(r"case when regexp_matches(p_src, '[。！？!?]\s*$') then b when regexp_matches(p_src, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(content, '^\s+', '')")} end
+      case when brk then content else {strip_sql(rf"case when regexp_matches(p_src, '[。！？!?]\s*$') then b when regexp_matches(p_src, '[,，、]\s*$') and not ends_with(bare, ',') then bare || ',' else bare end || ' ' || regexp_replace(content, '^{BLANK_SQL}+', '')")} end
     from (select o.media_id, o.i, o.cue_id, o.start_ms, o.end_ms, o.speaker, o.ended, o.src, o.content, w.grp, w.opened, w.src p_src,
-        regexp_replace(w.said, '\s+$', '') b,
-        regexp_replace(regexp_replace(regexp_replace(w.said, '\s+$', ''), '[.!?。！？]+\s*$', ''), '\s+$', '') bare,
-        o.hard_break or coalesce(w.voice <> o.speaker, false) or w.ended or o.start_ms - w.reached > 950
+        regexp_replace(w.said, '{BLANK_SQL}+$', '') b,
+        regexp_replace(regexp_replace(regexp_replace(w.said, '{BLANK_SQL}+$', ''), '[.!?。！？]+\s*$', ''), '{BLANK_SQL}+$', '') bare,
+        o.hard_break or coalesce(nullif(w.voice, '') <> nullif(o.speaker, ''), false) or w.ended or o.start_ms - w.reached > 950
         or o.end_ms - w.opened > 14000 or length(w.said) + length(o.content) > 220 brk
       from walk w join o on o.media_id = w.media_id and o.i = w.i + 1))
   select w.media_id, w.grp utterance_id, min_by(o.start_ms, o.i) start_ms, max_by(o.end_ms, o.i) end_ms, max_by(w.said, o.i) full_text,

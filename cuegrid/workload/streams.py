@@ -28,7 +28,7 @@ def stream_usage(spark, sf_dir):
     u = views.usage_events(spark, sf_dir).select("media_id", F.lit("deepseek").alias("provider"), "model", "prompt_tokens",
                                                  F.col("hit_tokens").alias("prompt_cache_hit_tokens"), "completion_tokens")
     events = _stream(spark, [u.where(F.col("prompt_tokens") % 3 == k) for k in range(3)])
-    t = St.stream_usage(C.usage_tokens(events), fresh(spark, "usage"), fresh(spark, "usage-cp"))
+    t = St.stream_usage(C.usage_tokens(events), fresh(spark, "usage"), fresh(spark, "usage-cp"), buckets=8)
     return t.select("media_id", "model", "requests", "prompt", "completion", "hit", "miss")
 
 
@@ -39,16 +39,16 @@ def stream_batch_progress(spark, sf_dir):
     second = j.where("job_id % 2 = 0").withColumn("status", F.lit("running")).withColumn("change_no", F.lit(2))
     final = j.withColumn("change_no", F.lit(3))
     changes = _stream(spark, [first, second, final])
-    return St.stream_batch_progress(changes, views.batches(spark, sf_dir), fresh(spark, "progress"), fresh(spark, "progress-cp"))
+    return St.stream_batch_progress(changes, views.batches(spark, sf_dir), fresh(spark, "progress"), fresh(spark, "progress-cp"), buckets=8)
 
 
 @query("stream_ocr_sessions", "ocr_samples", """n as (select *, coalesce(lag(text) over w = text and (ts_ms - 300) - (lag(ts_ms) over w + 300) <= 900, false) same
     from ocr_samples window w as (partition by media_id order by seq)),
   s as (select *, sum(case when same then 0 else 1 end) over (partition by media_id order by seq) session from n),
   g as (select media_id, session, min(text) as text, greatest(0, min(ts_ms) - 300) start_ms, max(ts_ms) + 300 end_ms, sum(score_pct)::bigint score_sum, count(*) samples from s group by all)
-  select media_id, text, start_ms, end_ms, score_sum, samples from g qualify session < max(session) over (partition by media_id)""")
+  select media_id, text, start_ms, end_ms, score_sum, samples from g""")
 def stream_ocr_sessions(spark, sf_dir):
     s = views.ocr_samples(spark, sf_dir)
     third = s.agg(F.max("ts_ms")).first()[0] // 3 + 1
     samples = _stream(spark, [s.where(F.floor(F.col("ts_ms") / third) == k) for k in range(3)])
-    return St.stream_sessions(samples, fresh(spark, "sessions"), fresh(spark, "sessions-cp"))
+    return St.stream_sessions(samples, fresh(spark, "sessions"), fresh(spark, "sessions-cp"))[0]

@@ -70,18 +70,19 @@ SOURCE_TAILS = ("吗", "？", "。", "，", "！", "…", "", "...", "呢")
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues with varied endings, fragments and blanks, and a source line for each."""
+    """Cues with varied endings, fragments and blanks between them, and a source line for each.
+
+    Every cue is there as a whole, with an even number; odd numbers are generated lines.
+    """
     c = cues(spark, sf_dir)
-    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("cue_id") % by + 1).cast("int"))
-    line = (
-        F.when(F.col("cue_id") % 15 == 0, F.substring("content", 1, 2)).when(F.col("cue_id") % 16 == 0, "")
-        .when(F.col("cue_id") % 18 == 0, " -- ").otherwise(F.concat("content", pick(LINE_TAILS, 10)))
-    )
-    return c.select(
-        "media_id", "cue_id", "start_ms", "end_ms",
-        F.when(F.col("cue_id") % 21 == 4, F.lit(None).cast("string")).otherwise(F.col("speaker")).alias("speaker"),
-        line.alias("content"), F.concat(F.lit("原话"), pick(SOURCE_TAILS, 9)).alias("source"),
-    )
+    n = F.col("cue_id")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (n % by + 1).cast("int"))
+    short = F.when(n % 15 == 0, F.substring("content", 1, 2)).when(n % 16 == 0, "").when(n % 18 == 0, " -- ").when(n % 25 == 4, "\u3000\u00a0")
+    shown = F.when(n % 21 != 4, F.when(n % 29 == 7, "").otherwise(F.col("speaker")))
+    source = F.concat(F.lit("原话"), pick(SOURCE_TAILS, 9))
+    own = c.select("media_id", (2 * n).alias("cue_id"), "start_ms", "end_ms", shown.alias("speaker"), F.concat("content", pick(LINE_TAILS, 10)).alias("content"), source.alias("source"))
+    more = c.select("media_id", (2 * n + 1).alias("cue_id"), F.col("end_ms").alias("start_ms"), (F.col("end_ms") + 20).alias("end_ms"), shown.alias("speaker"), short.alias("content"), source.alias("source"))
+    return own.unionByName(more.where("content is not null"))
 
 
 def asr_track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +231,12 @@ DUCK: dict[str, tuple[tuple[str, ...], str]] = {
     cast(sum(dur_ms + gap_ms) over (partition by conv_id order by cue_id) - dur_ms as bigint) start_ms,
     cast(sum(dur_ms + gap_ms) over (partition by conv_id order by cue_id) as bigint) end_ms from gaps)"""),
     "marked": (("cues",), """
-  marked as (select media_id, cue_id, start_ms, end_ms, case when cue_id % 21 = 4 then null else speaker end speaker,
-    case when cue_id % 15 = 0 then substr(content, 1, 2) when cue_id % 16 = 0 then '' when cue_id % 18 = 0 then ' -- '
-      else content || ['', '.', '?', '!', ',', ';', '…', '...', '."', ' '][cue_id % 10 + 1] end as content,
-    '原话' || ['吗', '？', '。', '，', '！', '…', '', '...', '呢'][cue_id % 9 + 1] source from cues)"""),
+  lined as (select *, case when cue_id % 21 = 4 then null when cue_id % 29 = 7 then '' else speaker end shown,
+    '原话' || ['吗', '？', '。', '，', '！', '…', '', '...', '呢'][cue_id % 9 + 1] source,
+    case when cue_id % 15 = 0 then substr(content, 1, 2) when cue_id % 16 = 0 then '' when cue_id % 18 = 0 then ' -- ' when cue_id % 25 = 4 then chr(12288) || chr(160) end short from cues),
+  marked as (select media_id, 2 * cue_id cue_id, start_ms, end_ms, shown speaker,
+      content || ['', '.', '?', '!', ',', ';', '…', '...', '."', ' '][cue_id % 10 + 1] as content, source from lined
+    union all select media_id, 2 * cue_id + 1, end_ms, end_ms + 20, shown, short, source from lined where short is not null)"""),
     "asr_track": (("cues",), """
   asr_track as (select media_id, cue_id asr_id, start_ms + (cue_id * 37) % 7 * 220 - 500 asr_start,
     end_ms + (cue_id * 53) % 5 * 260 - 450 asr_end, case when cue_id % 9 = 0 then '  ' else 'heard ' || content end asr_text,

@@ -198,3 +198,19 @@ def test_shared_dir_follows_the_session_and_never_invents_one_on_a_cluster(spark
     with pytest.raises(ValueError):
         shared_dir(Named("spark://host:7077"))
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_speech_joins_in_the_fold_equal_the_column_function(spark):
+    """Blank parts, parts of marks alone and Unicode blanks, joined one after another."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cuegrid.functions import text as X
+    from cuegrid.operators import folds
+    rng = random.Random(7)
+    pick = lambda: "".join(rng.choice(["a", "bc", " ", ".", "...", "?", ",", "\u3000", "\u00a0", "", "。", "!"]) for _ in range(rng.randint(0, 5)))
+    rows = [(k, pick(), pick(), rng.choice(["话。", "话，", "话", "", " 话！ ", "a,", None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, l string, r string, s string")
+    for row in df.select("l", "r", "s", X.join_spoken(F.col("l"), F.col("r"), F.coalesce("s", F.lit(""))).alias("t")).collect():
+        assert folds._spoken_join(row["l"], row["r"], row["s"] or "") == row["t"]
