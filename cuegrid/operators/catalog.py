@@ -87,6 +87,12 @@ def violations(requests: DataFrame) -> Column:
     return F.filter(F.array(*checks), lambda v: v.isNotNull())
 
 
+def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid requests, quarantined ones with the names of the fields that break a rule)."""
+    judged = requests.withColumn("violations", violations(requests))
+    return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
 def retryable(jobs: DataFrame, max_retries: int = 3) -> DataFrame:
     budget = max(0, max_retries)
     return jobs.where((F.col("status") == "failed") & (F.coalesce("retry_count", F.lit(0)) < budget))
@@ -98,7 +104,7 @@ def recover_interrupted(jobs: DataFrame) -> DataFrame:
         *[c for c in jobs.columns if c not in ("status", "error", "progress_message")],
         F.when(was_running, "queued").otherwise(F.col("status")).alias("status"),
         F.when(~was_running, F.col("error")).alias("error"),
-        F.when(was_running, "Server restarted; job queued again").otherwise(F.col("progress_message")).alias("progress_message"),
+        F.when(was_running, "queued anew: its run was cut short").otherwise(F.col("progress_message")).alias("progress_message"),
     )
 
 
@@ -107,11 +113,11 @@ def mark_for_retry(jobs: DataFrame, max_retries: int = 3) -> DataFrame:
     budget = max(0, max_retries)
     count = F.coalesce("retry_count", F.lit(0))
     again = (F.col("status") == "failed") & (count < budget)
-    message = F.concat(F.lit("Retrying "), (count + 1).cast("string"), F.lit(f"/{budget} after transient failure"))
+    message = F.concat(F.lit("queued anew: retry "), (count + 1).cast("string"), F.lit(f" of {budget}"))
     return jobs.withColumns({
         "status": F.when(again, "queued").otherwise(F.col("status")),
         "retry_count": F.when(again, count + 1).otherwise(count),
-        "progress_message": F.when(again, message).when(F.col("status") == "failed", "Job failed").otherwise(F.col("progress_message")),
+        "progress_message": F.when(again, message).when(F.col("status") == "failed", "no retry left").otherwise(F.col("progress_message")),
     })
 
 
@@ -181,10 +187,10 @@ def batch_progress(episodes: DataFrame, batches: DataFrame) -> DataFrame:
         F.when(F.col("active") > 0, "running").when(F.col("failed") > 0, "failed")
         .when(F.col("completed") < F.col("episodes"), "running").otherwise("ready")
     )
-    done = F.concat(F.lit("Completed "), F.col("completed").cast("string"), F.lit("/"), F.col("episodes").cast("string"))
+    done = F.concat(F.col("completed").cast("string"), F.lit(" of "), F.col("episodes").cast("string"), F.lit(" done"))
     message = (
-        F.when(F.col("active") > 0, F.concat(done, F.lit("; "), F.col("failed").cast("string"), F.lit(" need attention; continuing episode processing")))
-        .when(F.col("failed") > 0, F.concat(F.lit("Episode "), F.col("first.position").cast("string"), F.lit(" failed")))
+        F.when(F.col("active") > 0, F.concat(done, F.lit(", "), F.col("failed").cast("string"), F.lit(" to look at, others under way")))
+        .when(F.col("failed") > 0, F.concat(F.lit("stopped at position "), F.col("first.position").cast("string")))
         .otherwise(done)
     )
     error = F.when(F.col("failed") > 0, F.concat("first.filename", F.lit(": "), "first.reason"))

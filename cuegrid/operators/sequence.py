@@ -265,6 +265,14 @@ def sample_grid(media: DataFrame, longest: int | None = None) -> DataFrame:
     return m.select("media_id", "sample_no", at.alias("ts_ms"))
 
 
+def ocr_grid(media: DataFrame, samples_per_second: float = 2.5) -> DataFrame:
+    """Text-recognition timestamps of each medium from (media_id, duration_ms): the middles of equal steps, none after the end."""
+    step = 1000 / samples_per_second
+    n = F.greatest(F.lit(1), M.rounded(F.col("duration_ms") / step)).cast("int")
+    m = media.withColumn("sample_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    return m.select("media_id", "sample_no", F.least(F.col("duration_ms"), F.floor((F.col("sample_no") + 0.5) * step).cast("long")).alias("ts_ms"))
+
+
 def refinement_grid(cues: DataFrame, per_pass: int = 7) -> DataFrame:
     """Re-scan timestamps of a weak cue: three shifted passes over its span."""
     # Share of the span by which a pass starts before the middle.

@@ -6,8 +6,9 @@ the latter into the former. A report belongs to one medium and one tool run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIPELINE_VERSION = "2.0"
 
@@ -32,6 +33,19 @@ def report_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.select(media.alias("media_id"), F.regexp_replace("value", "^\ufeff", "").alias("body"))
 
 
+#: Where a report of each kind has its rows; "$" is the report itself.
+LISTS = {"words": "$.word_segments", "segments": "$.segments", "ocr": "$.items", "regions": "$.regions", "timing": "$", "utterances": "$.utterances", "lines": "$.display_lines"}
+
+
+def report_status(reports: DataFrame, kind: str) -> DataFrame:
+    """(media_id, status), one row for each report: ok, empty, no_list or unreadable. All but ok give a reader no row."""
+    whole = F.try_parse_json("body")
+    listed = whole if LISTS[kind] == "$" else F.try_variant_get(whole, LISTS[kind], "variant")
+    rows = F.try_variant_get(listed, "$", "array<variant>")
+    status = F.when(whole.isNull(), "unreadable").when(listed.isNull() | ~F.schema_of_variant(listed).startswith("ARRAY"), "no_list").when(F.size(rows) == 0, "empty").otherwise("ok")
+    return reports.select("media_id", status.alias("status"))
+
+
 def _parsed(reports: DataFrame, schema: str) -> DataFrame:
     return reports.select("media_id", F.from_json("body", schema).alias("r"))
 
@@ -60,12 +74,42 @@ def regions(reports: DataFrame) -> DataFrame:
     return r.select("media_id", "method", F.col("video.width").alias("video_width"), F.col("video.height").alias("video_height"), "region_id", "g.*")
 
 
-def region_reports(rows: DataFrame, video: DataFrame) -> DataFrame:
-    """(media_id, body); rows are regions of one medium, at most a few thousand by the sampling cap."""
-    listed = rows.groupBy("media_id").agg(F.array_sort(F.collect_list(
-        F.struct("region_id", F.struct("x", "y", "width", "height", "confidence", "start", "end").alias("g")))).alias("g"))
-    body = F.to_json(F.struct("method", F.struct("width", "height").alias("video"), F.transform("g", lambda g: g["g"]).alias("regions")))
-    return video.withColumnRenamed("video_width", "width").withColumnRenamed("video_height", "height").join(listed, "media_id").select("media_id", body.alias("body"))
+def _parts(rows: DataFrame, order: str, item: Column, name: str, per_part: int) -> DataFrame:
+    """(media_id, part_no, name): rows in lists of at most per_part consecutive order values, so a report of any length has parts of bounded size."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i"))))
+    return (rows.groupBy("media_id", F.floor(F.col(order) / per_part).cast("long").alias("part_no")).agg(listed.alias("l"))
+            .select("media_id", "part_no", F.transform("l", lambda x: x["i"]).alias(name)))
+
+
+def region_reports(rows: DataFrame, video: DataFrame, per_part: int = 4_096) -> DataFrame:
+    """(media_id, part_no, body); a medium of video without regions gets one part with an empty list.
+
+    video: media_id, method, video_width, video_height, and of samples, sample_fps, detections and active_cues what is known.
+    """
+    listed = _parts(rows, "region_id", F.struct("x", "y", "width", "height", "confidence", "start", "end"), "regions", per_part)
+    v = video.join(listed, "media_id", "left").withColumn("regions", F.coalesce("regions", F.array().cast(f"array<{REGION}>")))
+    known = [c for c in ("samples", "sample_fps", "detections", "active_cues") if c in video.columns]
+    size = F.struct(F.col("video_width").alias("width"), F.col("video_height").alias("height")).alias("video")
+    return v.select("media_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.to_json(F.struct("method", size, *known, "regions")).alias("body"))
+
+
+def timing_reports(rows: DataFrame, per_part: int = 4_096) -> DataFrame:
+    """(media_id, part_no, body) of timing rows; columns that a row lacks are left out."""
+    fields = [f.name for f in T._parse_datatype_string(TIMING).elementType if f.name in rows.columns]
+    return _parts(rows, "id", F.struct(*fields), "l", per_part).select("media_id", "part_no", F.to_json("l").alias("body"))
+
+
+def master_reports(utterances: DataFrame, lines: DataFrame, warnings: DataFrame, per_part: int = 4_096) -> DataFrame:
+    """(media_id, part_no, body) of (media_id, utterance_id, cue_ids, full_text, start_ms, end_ms, speaker), (media_id, cue_id, line) and (media_id, warning).
+
+    A part holds the utterances and lines whose ids fall into it; the warning stands in every part.
+    """
+    said = F.struct(F.col("utterance_id").alias("id"), "cue_ids", "full_text", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "speaker")
+    u = _parts(utterances, "utterance_id", said, "utterances", per_part)
+    d = _parts(lines, "cue_id", F.struct(F.col("cue_id").alias("id"), F.col("line").alias("text")), "display_lines", per_part)
+    both = u.join(d, ["media_id", "part_no"], "full").join(warnings.select("media_id", "warning"), "media_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    return both.select("media_id", "part_no", F.to_json(F.struct("warning", none("utterances"), none("display_lines"))).alias("body"))
 
 
 def tts_timing(reports: DataFrame) -> DataFrame:

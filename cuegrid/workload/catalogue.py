@@ -54,7 +54,7 @@ def job_defaults(spark, sf_dir):
                     F.col("dub").cast("int").alias("dub"))
 
 
-@query("validate_job_requests", "jobs", REQUESTS_SQL + """ select job_id, array_to_string(list_filter([
+VIOLATIONS_SQL = """ select job_id, array_to_string(list_filter([
     case when not regexp_matches(trim(url), '^(?i:https?)://[^/?#]+') then 'url' end,
     case when provider not in ('openai', 'gemini', 'deepseek') then 'provider' end,
     case when translation_refine_provider not in ('auto', 'openai', 'gemini', 'deepseek') then 'translation_refine_provider' end,
@@ -63,12 +63,23 @@ def job_defaults(spark, sf_dir):
     case when length(source_language_code) not between 2 and 12 then 'source_language_code' end,
     case when original_audio_volume not between 0 and 1 then 'original_audio_volume' end,
     case when speaker_gender_profile not in ('auto', 'female', 'male', 'neutral') then 'speaker_gender_profile' end],
-    lambda v: v is not null), ',') violations from requests""")
+    lambda v: v is not null), ',') violations from requests"""
+
+
+@query("validate_job_requests", "jobs", REQUESTS_SQL + VIOLATIONS_SQL)
 def validate_job_requests(spark, sf_dir):
     r = requests(spark, sf_dir)
     return r.select("job_id", F.array_join(C.violations(r), ",").alias("violations"))
 
 
+@query("split_requests", "jobs", REQUESTS_SQL + f""", judged as ({VIOLATIONS_SQL})
+  select job_id, case when violations = '' then 'valid' else 'quarantined' end part, violations from judged""")
+def split_requests(spark, sf_dir):
+    valid, held = C.split_requests(requests(spark, sf_dir))
+    return valid.select("job_id", F.lit("valid").alias("part"), F.lit("").alias("violations")).unionByName(
+        held.select("job_id", F.lit("quarantined").alias("part"), F.array_join("violations", ",").alias("violations")))
+
+
 @query("retryable_jobs", "jobs", "select job_id, retry_count from jobs where status = 'failed' and retry_count < 3")
 def retryable_jobs(spark, sf_dir):
     # Failed jobs all have keys divisible by five, hence the shifted count.
@@ -82,14 +93,14 @@ def _snapshot(spark, sf_dir):
 
 @query("recover_interrupted", "jobs", """select job_id, case when status = 'running' then 'queued' else status end status,
   case when status <> 'running' then 'e' || job_id end error,
-  case when status = 'running' then 'Server restarted; job queued again' else 'old' end progress_message from jobs""")
+  case when status = 'running' then 'queued anew: its run was cut short' else 'old' end progress_message from jobs""")
 def recover_interrupted(spark, sf_dir):
     return C.recover_interrupted(_snapshot(spark, sf_dir)).select("job_id", "status", "error", "progress_message")
 
 
 @query("mark_for_retry", "jobs", """s as (select job_id, status, job_id // 5 % 6 n from jobs)
   select job_id, case when status = 'failed' and n < 3 then 'queued' else status end status, case when status = 'failed' and n < 3 then n + 1 else n end retry_count,
-  case when status = 'failed' and n < 3 then 'Retrying ' || (n + 1) || '/3 after transient failure' when status = 'failed' then 'Job failed' else 'old' end progress_message from s""")
+  case when status = 'failed' and n < 3 then 'queued anew: retry ' || (n + 1) || ' of 3' when status = 'failed' then 'no retry left' else 'old' end progress_message from s""")
 def mark_for_retry(spark, sf_dir):
     return C.mark_for_retry(_snapshot(spark, sf_dir)).select("job_id", "status", "retry_count", "progress_message")
 
@@ -221,8 +232,8 @@ PROGRESS_SQL = """e as (select *, case when job_id % 3 = 0 then 'provider error'
     count(*) filter (status in ('failed', 'needs_review')) failed, min(position) filter (status in ('failed', 'needs_review')) first_pos from e group by batch_id),
   x as (select n.*, e.filename || ': ' || coalesce(e.error, e.status) why from n left join e on e.batch_id = n.batch_id and e.position = n.first_pos)
   select batch_id, case when active > 0 then 'running' when failed > 0 then 'failed' when completed < episodes then 'running' else 'ready' end new_status,
-    case when active > 0 then 'Completed ' || completed || '/' || episodes || '; ' || failed || ' need attention; continuing episode processing'
-      when failed > 0 then 'Episode ' || first_pos || ' failed' else 'Completed ' || completed || '/' || episodes end message,
+    case when active > 0 then completed || ' of ' || episodes || ' done, ' || failed || ' to look at, others under way'
+      when failed > 0 then 'stopped at position ' || first_pos else completed || ' of ' || episodes || ' done' end message,
     case when failed > 0 then why end error from x join batches b using (batch_id) where b.batch_status not in ('uploading', 'done')"""
 
 

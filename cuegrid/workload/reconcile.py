@@ -298,6 +298,28 @@ def parse_prosody(spark, sf_dir):
     return d.select("media_id", "batch_no", "id", F.col("new_spoken_text").alias("spoken"), F.col("new_pause_after_ms").alias("pause"))
 
 
+# The replies of parse_master and parse_prosody, and two broken ones for each medium.
+def _with_broken(replies):
+    broken = F.array(*[F.struct(F.lit(1_000 + i).alias("batch_no"), F.lit(b).alias("reply")) for i, b in enumerate(("not json", "[]"))])
+    return replies.unionByName(replies.select("media_id").distinct().select("media_id", F.explode(broken).alias("b")).select("media_id", F.col("b.batch_no").cast("long").alias("batch_no"), "b.reply"))
+
+
+@query("reply_list_status", "cues", """r as (select media_id, (row_number() over (partition by media_id order by cue_id) - 1) // 30 batch_no from cues),
+  k as (select unnest(['master', 'direction']) kind), m as (select distinct media_id from cues)
+  select distinct kind, media_id, batch_no, 'ok' as status from r, k
+  union all select kind, media_id, 1000, 'unreadable' from m, k union all select kind, media_id, 1001, 'empty' from m, k""")
+def reply_list_status(spark, sf_dir):
+    """Which replies of either kind give no row, and why."""
+    c = S.translation_batches(views.cues(spark, sf_dir)).withColumn("batch_no", F.col("batch_no").cast("long"))
+    u = F.collect_list(F.struct(F.array("cue_id").alias("cue_ids"), F.col("content").alias("full_text")))
+    d = F.collect_list(F.struct(F.col("cue_id").alias("id"), F.col("content").alias("spoken_text")))
+    b = c.groupBy("media_id", "batch_no").agg(u.alias("u"), d.alias("d"))
+    masters = b.select("media_id", "batch_no", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("u").alias("utterances"))), F.lit("\n```")).alias("reply"))
+    directions = b.select("media_id", "batch_no", F.to_json(F.struct(F.col("d").alias("items"))).alias("reply"))
+    return (P.master_status(_with_broken(masters)).select(F.lit("master").alias("kind"), "media_id", "batch_no", "status")
+            .unionByName(P.direction_status(_with_broken(directions)).select(F.lit("direction").alias("kind"), "media_id", "batch_no", "status")))
+
+
 def echo_provider(request: str) -> str:
     """Deterministic stand-in: answers every item, but only once told to retry for odd batches."""
     import json

@@ -350,12 +350,19 @@ def adjacent_repetition(spark, sf_dir):
 
 
 @query("sample_grid", "cues", """d as (select media_id, max(end_ms) * (1 + media_id % 25) d from cues group by media_id),
-  n as (select media_id, d, cast(least(3600, greatest(1, round_even(d / 1000 * case when d <= 120000 then 4 when d <= 900000 then 2 else 1 end, 0))) as bigint) n from d),
+  n as (select media_id, d, cast(greatest(1, round_even(d / 1000 * case when d <= 120000 then 4 when d <= 900000 then 2 else 1 end, 0)) as bigint) n from d),
   i as (select *, unnest(range(n)) sample_no from n)
   select media_id, sample_no, least(d, (2 * sample_no + 1) * d // (2 * n)) ts_ms from i""")
 def sample_grid(spark, sf_dir):
     d = views.cues(spark, sf_dir).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
-    return S.sample_grid(d.withColumn("duration_ms", F.col("duration_ms") * (1 + F.col("media_id") % 25)), longest=3600)
+    return S.sample_grid(d.withColumn("duration_ms", F.col("duration_ms") * (1 + F.col("media_id") % 25)))
+
+
+@query("ocr_grid", "cues", """d as (select media_id, max(end_ms) d from cues group by media_id),
+  i as (select *, unnest(range(cast(greatest(1, round_even(d / 400, 0)) as bigint))) sample_no from d)
+  select media_id, sample_no, least(d, (2 * sample_no + 1) * 200) ts_ms from i""")
+def ocr_grid(spark, sf_dir):
+    return S.ocr_grid(views.cues(spark, sf_dir).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms")))
 
 
 @query("refinement_grid", "ocr_cues", """l as (select * from ocr_cues where coalesce(score, 1.0) < 0.88),

@@ -111,3 +111,69 @@ def read_dialogue_master(spark, sf_dir):
 @query("read_display_lines", "cues", """select media_id * 1000 + cue_id // 4096 media_id, cue_id, content line from cues""")
 def read_display_lines(spark, sf_dir):
     return J.master_lines(_masters(spark, sf_dir)).drop("pos")
+
+
+# Each kind of report once as it is, and three broken ones for each medium: no JSON, an empty list, and no list at all.
+STATUS_SQL = """k as (select unnest(['words', 'ocr', 'regions', 'timing', 'utterances']) kind),
+  good as (select distinct 'words' kind, media_id * 1000 + pos // 4096 media_id from words union all select distinct 'ocr', media_id * 1000 + cue_id // 4096 from ocr_cues
+    union all select distinct 'regions', media_id from regions union all select distinct 'timing', media_id * 1000 + cue_id // 4096 from cues
+    union all select distinct 'utterances', media_id * 1000 + cue_id // 4096 from cues)
+  select kind, media_id, 'ok' as status from good
+  union all select kind, -3 * media_id - i, ['unreadable', 'empty', 'no_list'][cast(i as int)] from k, (select distinct media_id from cues), (select unnest([1, 2, 3]) i)"""
+
+
+@query("report_status", "cues words ocr_cues regions", STATUS_SQL)
+def report_status(spark, sf_dir):
+    words = _per_report(views.words(spark, sf_dir), F.struct("word"), "pos").select("media_id", F.to_json(F.struct(F.col("items").alias("word_segments"))).alias("body"))
+    ocr = _per_report(views.ocr_cues(spark, sf_dir), F.struct("score"), "cue_id").select("media_id", F.to_json(F.struct("items")).alias("body"))
+    cues = _per_report(views.cues(spark, sf_dir), F.struct(F.col("cue_id").alias("id")), "cue_id")
+    regions = views.regions(spark, sf_dir).groupBy("media_id").agg(F.count("*").alias("n")).select("media_id", F.to_json(F.struct(F.sequence(F.lit(1), F.col("n")).alias("regions"))).alias("body"))
+    good = {"words": words, "ocr": ocr, "regions": regions, "timing": cues.select("media_id", F.to_json("items").alias("body")),
+            "utterances": cues.select("media_id", F.to_json(F.struct(F.col("items").alias("utterances"))).alias("body"))}
+    media = views.cues(spark, sf_dir).select("media_id").distinct()
+    out = None
+    for kind, texts in good.items():
+        name = J.LISTS[kind].removeprefix("$.")
+        empty, other = ("[]", "{}") if name == "$" else (f'{{"{name}": []}}', f'{{"{name}": 5}}')
+        bodies = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("body")) for i, b in enumerate(('{"cut', empty, other), 1)])
+        broken = media.select("media_id", F.explode(bodies).alias("b")).select((-3 * F.col("media_id") - F.col("b.i")).alias("media_id"), "b.body")
+        told = J.report_status(texts.unionByName(broken), kind).select(F.lit(kind).alias("kind"), "media_id", "status")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("malformed_blocks", "marked", """g as (select media_id, cue_id // 16384 part, count(*) n from marked group by all), p as (select *, max(part) over (partition by media_id) last from g)
+  select media_id, 0 block_no, 'no_head' problem from p where part = 0 and media_id % 3 = 0
+  union all select media_id, n, 'no_number' from p where part = last and media_id % 3 = 1""")
+def malformed_blocks(spark, sf_dir):
+    """SubRip parts of all media; some begin with stray words, some end with a time line that has no number."""
+    t = srt.srt_texts(views.marked(spark, sf_dir))
+    last = t.groupBy("media_id").agg(F.max("part_no").alias("last"))
+    m = F.col("media_id")
+    body = F.concat(F.when((F.col("part_no") == 0) & (m % 3 == 0), "stray words\n\n").otherwise(""), "srt_text",
+                    F.when((F.col("part_no") == F.col("last")) & (m % 3 == 1), "00:00:01,000 --> 00:00:02,000\nunnumbered\n").otherwise(""))
+    return srt.malformed_blocks(t.join(last, "media_id").select("media_id", body.alias("body")))
+
+
+@query("write_tts_timing", "cues", """select media_id, cue_id // 50 part_no, cue_id id, start_ms scheduled_start_ms, end_ms - start_ms fitted_ms, cue_id || ',' || cue_id + 1 cue_ids from cues""")
+def write_tts_timing(spark, sf_dir):
+    rows = views.cues(spark, sf_dir).select("media_id", F.col("cue_id").alias("id"), F.col("start_ms").alias("scheduled_start_ms"), (F.col("end_ms") - F.col("start_ms")).alias("fitted_ms"),
+                                            F.array(F.col("cue_id"), F.col("cue_id") + 1).alias("cue_ids"), F.lit("x").alias("extra"))
+    made = J.timing_reports(rows, 50)
+    back = J.tts_timing(made.select(F.struct("media_id", "part_no").alias("media_id"), "body"))
+    return back.select("media_id.media_id", "media_id.part_no", "id", "scheduled_start_ms", "fitted_ms", F.array_join(F.transform("cue_ids", lambda i: i.cast("string")), ",").alias("cue_ids"))
+
+
+@query("write_dialogue_master", "cues", """select media_id, cue_id // 40 part_no, cue_id item_id, content as text, case when media_id % 3 = 0 then 'offline' end warning, speaker from cues
+  union all select media_id, cue_id // 40, cue_id, content || '!', null, null from cues""")
+def write_dialogue_master(spark, sf_dir):
+    """Utterances and display lines, written and read back."""
+    c = views.cues(spark, sf_dir)
+    u = c.select("media_id", F.col("cue_id").alias("utterance_id"), F.array("cue_id").alias("cue_ids"), F.col("content").alias("full_text"), "start_ms", "end_ms", "speaker")
+    d = c.select("media_id", "cue_id", F.concat("content", F.lit("!")).alias("line"))
+    w = c.select("media_id").distinct().select("media_id", F.when(F.col("media_id") % 3 == 0, "offline").alias("warning"))
+    made = J.master_reports(u, d, w, 40).select(F.struct("media_id", "part_no").alias("media_id"), "body")
+    told = made.select("media_id", F.get_json_object("body", "$.warning").alias("warning"))
+    said = J.master_utterances(made).join(told, "media_id").select("media_id.*", F.col("utterance_id").alias("item_id"), F.col("full_text").alias("text"), "warning", "speaker")
+    shown = J.master_lines(made).select("media_id.*", F.col("cue_id").alias("item_id"), F.col("line").alias("text"), F.lit(None).cast("string").alias("warning"), F.lit(None).cast("string").alias("speaker"))
+    return said.unionByName(shown)
