@@ -151,7 +151,7 @@ def merge_repairs(spark, sf_dir):
   select media_id, wanted, used, case when broken = 0 and (media_id % 4 <> 3 or last_id <= 7) then 1 else 0 end covered from f""")
 def master_coverage(spark, sf_dir):
     # Groups of seven lines; by medium one id is lost, doubled, or the first two groups trade places.
-    c, m, i = ranked(spark, sf_dir), F.col("media_id"), F.col("cue_id")
+    c, m, i = numbered(views.cues(spark, sf_dir), views.CUES, "rank"), F.col("media_id"), F.col("cue_id")
     pos = F.floor((i - 1) / 7)
     pos = F.when((m % 4 == 3) & (pos <= 1), 1 - pos).otherwise(pos)
     times = F.when((m % 4 == 1) & (i == 9), F.array().cast("array<int>")).when((m % 4 == 2) & (i == 5), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
