@@ -293,11 +293,15 @@ class Coder:
             if table != self.crc:
                 raise ValueError(f"{name}: written with another table")
             at, heads = struct.calcsize(HEAD), []
+            if len(data) < at + count * (struct.calcsize(SEGMENT) + 8 * lanes):
+                raise ValueError(f"{name}: the block is cut short")
             for _ in range(count):
                 heads.append((*struct.unpack_from(SEGMENT, data, at), np.frombuffer(data, "<u8", lanes, at + struct.calcsize(SEGMENT))))
                 at += struct.calcsize(SEGMENT) + 8 * lanes
             out = []
             for k, (length, crc, ids_crc, states) in enumerate(heads):
+                if len(data) < at + 3 * length:
+                    raise ValueError(f"{name}: the block is cut short")
                 words = np.frombuffer(data, np.uint8, 3 * length, at)
                 if zlib.crc32(words) != crc:
                     raise ValueError(f"{name}: segment {k} is damaged")

@@ -127,7 +127,7 @@ def some_conversations(seed):
     for c in [*rng.sample(range(60), 40), 1_000, 1_003]:
         for turn in range(rng.randint(0, 7)):
             rows.append((c, turn if turn else None, rng.choice(["user", None]), rng.choice(["a b", "c", "", None])))
-    rows += [(21 + 20 * k, t, "user", "the same") for k in range(30) for t in range(6)]
+    rows += [(2_001 + 20 * k, t, "user", "the same") for k in range(30) for t in range(6)]
     return rows + [(None, 0, "user", "nobody's")]
 
 
