@@ -204,8 +204,8 @@ def replace_position(spark, sf_dir):
     return R.replace_positions(j, new)
 
 
-def payloads(spark, sf_dir):
-    c = views.marked(spark, sf_dir)
+def payloads(c):
+    """Requests for cues of (media_id, cue_id, speaker, content, start_ms, end_ms)."""
     c = c.join(S.speaker_aliases(c).select("media_id", "speaker", F.col("alias").alias("speaker_alias")), ["media_id", "speaker"], "left")
     c = cut(S.translation_batches(c).select("media_id", "batch_no", "rank", "cue_id", "content", "speaker_alias", "start_ms", "end_ms"))
     return R.request_payloads(c, T.translation_context(c.drop("batch_no", "rank")))
@@ -218,7 +218,7 @@ def payloads(spark, sf_dir):
   from b join r on r.media_id = b.media_id and r.rank between lo - 6 and hi + 4 group by all""")
 def request_payload(spark, sf_dir):
     shape = "items array<struct<id:bigint,text:string,speaker:string>>, context array<struct<id:bigint,translate:boolean>>"
-    p = payloads(spark, sf_dir).withColumn("r", F.from_json("request", shape))
+    p = payloads(views.marked(spark, sf_dir)).withColumn("r", F.from_json("request", shape))
     chars = F.aggregate("r.items", F.lit(0).cast("long"), lambda n, i: n + F.length(i["text"]))
     return p.select("media_id", "batch_no", F.array_join(F.transform("expected_ids", lambda i: i.cast("string")), ",").alias("expected_ids"),
                     F.size("r.items").cast("long").alias("n_items"), chars.alias("item_chars"), F.size(F.filter("r.items", lambda i: i["speaker"].isNotNull())).cast("long").alias("n_aliased"),
@@ -334,7 +334,7 @@ def echo_provider(request: str) -> str:
   n as (select media_id, batch_no, count(*) n from r group by all)
   select media_id, batch_no, cast(case when n % 2 = 1 then 2 else 1 end as int) attempt, 'ok' status from n""")
 def provider_rounds(spark, sf_dir):
-    p = cut(payloads(spark, sf_dir))
+    p = cut(payloads(views.cues(spark, sf_dir)))
     expected = p.select("media_id", "batch_no", F.explode("expected_ids").alias("item_id"))
     done = P.ask_until_valid(p.select("media_id", "batch_no", "request"), echo_provider, lambda r: P.reply_status(P.translation_items(r), expected))
     return done.select("media_id", "batch_no", "attempt", "status")
