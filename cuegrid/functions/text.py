@@ -107,15 +107,20 @@ def join_spoken(left: Column, right: Column, source_left: Column) -> Column:
 
 def balanced_lines(text: Column, count: Column) -> Column:
     """Split the words into `count` lines, longer ones first; null if too few words."""
-    words = F.split(strip(text), rf"[{BLANK}]+")
-    n = F.when(strip(text) == "", 0).otherwise(F.size(words))
-    base, extra = F.floor(n / count).cast("int"), (n % count).cast("int")
-    lines = F.transform(
-        F.sequence(F.lit(0), count.cast("int") - 1),
-        lambda i: F.array_join(
-            F.slice(words, i * base + F.least(i, extra) + 1, base + F.when(i < extra, 1).otherwise(0)), " "),
-    )
-    return F.when((count >= 1) & (n >= count), lines)
+    words = F.filter(F.split(text, rf"[{BLANK}]+"), lambda w: w != "")
+
+    def lines(s: Column) -> Column:
+        n = F.size(s["words"])
+        base, extra = F.floor(n / s["count"]).cast("int"), (n % s["count"]).cast("int")
+        parts = F.transform(
+            F.sequence(F.lit(0), s["count"] - 1),
+            lambda i: F.array_join(
+                F.slice(s["words"], i * base + F.least(i, extra) + 1, base + F.when(i < extra, 1).otherwise(0)), " "),
+        )
+        return F.when((s["count"] >= 1) & (n >= s["count"]), parts)
+
+    # Inside a lambda nothing is worked out twice unless it is a variable: the words of a text are split once, not once a line.
+    return F.get(F.transform(F.array(F.struct(words.alias("words"), count.cast("int").alias("count"))), lines), F.lit(0))
 
 
 def pause_clauses(text: Column) -> Column:
