@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -139,14 +141,31 @@ def clause_pause_ms(clause: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _mapped(batches: Iterator[pa.Array], change: Callable[[str], str]) -> Iterator[pa.Array]:
+    """change of every text; only some hundred texts are Python values at a time."""
+    for batch in batches:
+        parts = [pa.array([t and change(t) for t in batch.slice(k, 256).to_pylist()], pa.string()) for k in range(0, len(batch), 256)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-@F.pandas_udf(StringType())
-def nfc_folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
+@F.arrow_udf(StringType())
+def _composed(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _mapped(text, lambda t: unicodedata.normalize("NFC", t))
+
+
+@F.arrow_udf(StringType())
+def _composed_folded(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _mapped(text, lambda t: unicodedata.normalize("NFC", t).casefold())
+
+
+def nfc(text: Column) -> Column:
+    """Texts without characters from U+0300 on are composed as they are and do not go to Python."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
+def nfc_folded(text: Column) -> Column:
+    """ASCII folds as it is lower-cased and does not go to Python."""
+    return F.coalesce(_composed_folded(F.when(text.rlike(r"[^\x{0}-\x{7F}]"), text)), F.lower(text))
 
 
 @F.pandas_udf(StringType())
