@@ -138,3 +138,13 @@ def artifact_rows(reports: DataFrame, version: str = PIPELINE_VERSION) -> DataFr
 def write_reports(rows: DataFrame, path: str) -> None:
     """One folder per medium with its report text; the path is new."""
     rows.select("media_id", "body").write.partitionBy("media_id").text(path)
+
+
+def write_bundle(rows: DataFrame, path: str) -> None:
+    """Many whole reports a file, as rows of (media_id, body); a folder and a file for each of millions of media cost more than their texts."""
+    rows.select("media_id", "body").write.parquet(path)
+
+
+def bundle_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(media_id, body) of the reports of a bundle."""
+    return spark.read.parquet(path).select("media_id", F.regexp_replace("body", "^\ufeff", "").alias("body"))
