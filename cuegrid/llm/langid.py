@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cuegrid.llm.common import sample_about
+from cuegrid.llm.common import give_back, sample_about
 from cuegrid.llm.pieces import MARK, slices
 
 UNKNOWN = "und"
@@ -279,7 +279,7 @@ def predicted(text: Column, model: Model, spark, path: str | None = None) -> Col
         scorer = Scorer(vocabulary_of(where), shared.value) if languages else None
         for batch in batches:
             texts = [t if t and any(map(str.isalpha, t)) else None for t in batch]
-            for part in slices(texts, 1_024, 2_000_000):
+            for part in slices(texts, 256, 1_000_000):
                 out = [(UNKNOWN, 0.0, 0.0)] * len(part)
                 if scorer is not None:
                     s, letters = scorer.scores(part)
@@ -288,6 +288,9 @@ def predicted(text: Column, model: Model, spark, path: str | None = None) -> Col
                     fit_ = s[np.arange(len(part)), best] / np.maximum(letters, 1) - floors[best]
                     out = [(languages[b], float(q), float(f)) if t else (UNKNOWN, 0.0, 0.0) for t, b, q, f in zip(part, best, share, fit_)]
                 yield pd.DataFrame(out, columns=["lang_pred", "score", "fit"])
+            give_back()
+        scorer = None  # the worker may serve another operator next
+        give_back()
 
     # else the optimiser would evaluate it once for each filter and projection that reads its fields
     return F.pandas_udf(rows, "lang_pred string, score double, fit double").asNondeterministic()(text)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import utf8_words
+from cuegrid.llm.common import give_back, utf8_words
 from cuegrid.plans.store import as_table
 
 WORDS = 5
@@ -136,7 +136,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key",
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def texts_in_parts(batch: pa.RecordBatch, most_chars: int = 8_000_000) -> Iterator[tuple[list, list]]:
+def texts_in_parts(batch: pa.RecordBatch, most_chars: int = 1_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) of parts of a batch with a bounded number of characters."""
     ids, texts, chars = [], [], 0
     for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -167,7 +167,9 @@ def signed(docs: DataFrame, plan: Bands) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
                     long_lists(list(keys.view(np.uint64))), pa.array(sketches(sig, keys), pa.binary())], schema=SIGNED)
+            give_back()
         _hashes.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key string, bands array<long>, sketch binary")
 
@@ -177,7 +179,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for ids, texts in texts_in_parts(batch):
                 yield pa.record_batch([pa.array(ids, pa.int64()), long_lists([shingles(t) for t in texts])], schema=SETS)
+            give_back()
         _hashes.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, shingles array<long>")
 
@@ -237,6 +241,7 @@ def by_unit(rows: DataFrame, schema: str, handle) -> DataFrame:
             rest = rest.slice(starts[-1]) if len(starts) else rest
         if rest is not None and rest.num_rows:
             yield from handle(rest).to_batches()
+        give_back()
 
     return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, schema)
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from cuegrid.llm.common import give_back
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
@@ -114,6 +115,7 @@ def _over_texts(row, schema: str, path: str | None):
                 yield pd.DataFrame([row(*x) for x in known.encode(part)], columns=names)
         known.clear()  # the worker may serve another operator next
         known.changed.clear()
+        give_back()
 
     return F.pandas_udf(rows, schema)
 

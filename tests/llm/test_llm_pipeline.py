@@ -1,11 +1,15 @@
 """The corpus pipeline, stage by stage, on a small table."""
 
 import random
+import re
 
 import corpus_pipeline
+import pyarrow as pa
 import sentencepiece
 import public_tokenizers
 
+from cuegrid.llm import langid, near_dup
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -50,3 +54,25 @@ def test_duplicates_are_judged_row_by_row(spark):
     assert kept == sorted([(1, a), (2, b), (2, c), (3, e), (4, " "), (5, " "), (4, None)], key=repr)
     nameless = [r["text"] for r in got if r["doc_id"] is None]
     assert len(nameless) == 1 and nameless[0] in (d, d + " end")
+
+
+def test_workers_give_memory_back_between_operators(spark, docs_of):
+    """Workers serve all stages one after the other; what one stage has freed must not stay theirs beside the next one's."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9)))
+    docs = docs_of([(i, " ".join(word() for _ in range(250)), ("en", "de")[i % 2], "s") for i in range(6_000)], extra=False).coalesce(1).persist()
+    docs.count()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        with open("/proc/self/smaps_rollup") as f:
+            yield pa.record_batch([pa.array([int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) // 1024])], ["mb"])
+
+    model = langid.train(docs.limit(200))
+    found = {}
+    for name, df in (("language", docs.select(langid.predicted(docs["text"], model, spark))), ("near duplicates", near_dup.signed(docs, near_dup.Bands()))):
+        df.write.format("noop").mode("overwrite").save()
+        found[name] = spark.range(8, numPartitions=8).mapInArrow(held, "mb long").agg({"mb": "max"}).first()[0]
+    docs.unpersist()
+    assert max(found.values()) < 100, found
