@@ -64,3 +64,20 @@ def test_a_micro_batch_reads_no_more_with_more_history(spark, tmp_path, history,
     monkeypatch.setattr(St.BucketTable, "rows", lambda self, index: read.append(len(index)) or rows(self, index))
     table.update(history, spark.createDataFrame([(0, history)], "k long, at long"), F.col("at"), ("k",))
     assert read == [1, 1]  # the bucket as it was, and as it became
+
+
+def test_changes_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    table = St.BucketTable(spark, str(tmp_path / "t"), ("k",), 4)
+    table.update(0, spark.range(50).select(count("id").alias("k"), F.lit(0).alias("at")), F.col("at"), ("k",))
+    assert seen.value == 50 and table.current().count() == 50
+
+
+def test_totals_are_the_only_state(spark, tmp_path):
+    schema = "media_id long, provider string, model string, prompt long, completion long, hit long, miss long, total long"
+    slices = [[(1, "p", "m", 1, 2, 3, 4, 5), (2, "p", "m", 1, 1, 1, 1, 1)], [(1, "p", "m", 10, 20, 30, 40, 50), (1, None, "m", 7, 7, 7, 7, None)]]
+    found = St.stream_usage(source(spark, tmp_path, slices, schema), str(tmp_path / "out"), str(tmp_path / "cp"), 4)
+    assert sorted(map(tuple, found.drop("bucket").select("media_id", "provider", "model", "requests", "prompt", "completion", "hit", "miss", "total").collect()), key=repr) == sorted(
+        [(1, "p", "m", 2, 11, 22, 33, 44, 55), (1, None, "m", 1, 7, 7, 7, 7, None), (2, "p", "m", 1, 1, 1, 1, 1, 1)], key=repr)
+    assert not (tmp_path / "cp" / "state").exists()
