@@ -61,11 +61,12 @@ def smooth_speaker_flips(words: DataFrame, seq: Sequence = WORDS) -> DataFrame:
         & ~F.col("speaker").eqNullSafe(F.col("_before")) & (F.col("end_ms") - F.col("start_ms") < 350)
     )
     w = w.withColumn("_flip", F.coalesce(flip, F.lit(False)))
-    w = cut(islands(w, seq, {"flip": F.col("_flip")}, lambda p, c: ~(p("flip") & c("flip")), out="_run"))
-    within = Sequence((*seq.keys, "_run"), seq.order, seq.width)
-    w = numbered(w, within, "_nth")
-    fixed = F.when(F.col("_flip") & (F.col("_nth") % 2 == 1), F.col("_before")).otherwise(F.col("speaker"))
-    return w.withColumn("speaker_fixed", fixed).drop("_run", "_nth", "_flip", "_before", "_after")
+    # a candidate's place in its run: candidates so far, less those up to the last other word; nearly every word is a run of its own
+    w = cut(running(w, seq, {"_upto": Run("sum", F.col("_flip").cast("int"))}))
+    w = running(w, seq, {"_settled": Run("max", F.when(~F.col("_flip"), F.col("_upto")))})
+    nth = F.col("_upto") - F.coalesce("_settled", F.lit(0))
+    fixed = F.when(F.col("_flip") & (nth % 2 == 1), F.col("_before")).otherwise(F.col("speaker"))
+    return w.withColumn("speaker_fixed", fixed).drop("_upto", "_settled", "_flip", "_before", "_after")
 
 
 def scene_ids(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 2200) -> DataFrame:

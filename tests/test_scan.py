@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuegrid.operators import sequence
 from cuegrid.plans import carry
 from cuegrid.plans.scan import Run, Sequence, islands, neighbours, numbered, running
 
@@ -161,3 +162,12 @@ def test_carry_fold_keeps_chunks_whole_when_joins_turn_into_broadcasts(spark):
         for _, o, v in sorted(d for d in data if d[0] == key):
             state, want[(key, o)] = step(state, (o, v))
     assert got == want
+
+
+def test_runs_of_speaker_flips_need_no_group_for_each_word(spark):
+    """Candidates at 2, 3, 4 and 8: of a run the 1st and 3rd are overwritten, across chunks of 3 words as well."""
+    said = [None, "a", "b", "a", "b", "a", "a", "a", "c", "a"]
+    words = spark.createDataFrame([(7, p, 1000 * p, 1000 * p + 100, s) for p, s in enumerate(said) if p], "media_id long, pos long, start_ms long, end_ms long, speaker string")
+    fixed = sequence.smooth_speaker_flips(words, Sequence(("media_id",), ("pos",), 3))
+    assert [r[0] for r in fixed.orderBy("pos").select("speaker_fixed").collect()] == ["a", "a", "a", "a", "a", "a", "a", "a", "a"]
+    assert "_run" not in fixed._jdf.queryExecution().optimizedPlan().toString()
