@@ -1,7 +1,7 @@
 """Token ids in files: static range asymmetric numeral systems (rANS, Duda 2009) over independent interleaved blocks.
 
 1. Order: documents are range-partitioned and sorted by doc_id, so that a task writes a run of the stream of all ids.
-2. Tokens: each distinct word is encoded by the library once per Python worker; ids are cut into blocks of `BLOCK` ids.
+2. Tokens: distinct words are encoded by the library and kept by the Python worker (bounded), letters apart from the marks behind them; ids are cut into blocks of `BLOCK` ids.
 3. Table: the counts of all ids give one table of frequencies with a sum of 2^20, shared by all blocks.
 4. Blocks: the ids of a block are dealt over `LANES` interleaved states. A block needs nothing but the table. Every `STEPS`
    steps it has a checkpoint (the states and the place in the words), so that its segments are decoded independently,
@@ -19,11 +19,14 @@ ignored; an empty table gives empty files and results. A damaged block, or a for
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -49,7 +52,8 @@ MAGIC = b"IDS1"
 HEAD = "<4sIHHII"
 SEGMENT = "<III"
 END_ID = 2
-#: Words whose ids a Python worker keeps. The table starts afresh when full, which changes memory and time, never an id.
+#: Words whose ids a Python worker keeps, twice: those of late, and those of the time before that were not met again. Which ones are
+#: kept changes memory and time, never an id.
 KEPT = 300_000
 KEPT_LENGTH = 64
 
@@ -57,92 +61,122 @@ KEPT_LENGTH = 64
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts that lower-casing by characters and as a whole changes alike, and that normalisation leaves as they are.
-LATIN = re.compile("[\x00-;=-\x7f\u00c0-\u012f\u0131-\u017e]*")
-#: A word of plain letters, then marks, which are split from the letters.
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,]*")
+#: No special string has a place in them, nor odd white space.
+LATIN = re.compile("[\x00-\x1b\x20-;=-\x7f\u00c0-\u012f\u0131-\u017e]*")
+ODD_ASCII = "<\x1c\x1d\x1e\x1f"
+#: Plain letters, which normalisation leaves as they are, and marks behind them, which are split from the letters and stay together.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+MARKS = string.punctuation
 
 RAW = "part int, block int, n_ids int, first_doc long, doc_ids array<long>, lengths array<int>, ids binary"
 BLOCKS = RAW.replace("ids binary", "data binary")
 
 
-class WordIds(dict):
+class WordIds:
     """word -> its ids as bytes, for one vocabulary file that splits texts at white space.
 
-    Words of plain letters skip the library's normalisation, which would not change them; all others pass it, as it changes nothing beyond a word.
+    Plain letters skip the library's normalisation, which would not change them, and are encoded apart from the marks behind them, so that
+    each word of letters is encoded once whatever follows it. All others pass it, as it changes nothing beyond a word.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        self.late: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.model, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for part in ("normalizer", "pre_tokenizer") for k, v in spec[part].items() if k in ("normalizers", "pretokenizers") for x in v]
-        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or "|[\\p{L}]+|" not in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]:
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex", "")
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or "|[\\p{L}]+|" not in pattern or not pattern.endswith("|[^\\s\\p{L}\\p{N}]+"):
             raise ValueError(f"{path}: its words are not told apart by white space, or are changed in other ways")
-        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Split(Regex("[.,]+"), "isolated")
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size(with_added_tokens=True))]
         self.length = np.array([len(t.removesuffix("</w>")) for t in names])
-        self.stand_in = {b: c for c, b in byte_symbols().items()}
+        stand_in = {b: c for c, b in byte_symbols().items()} | {0x20: " "}
+        self.stand_ins = "".join(stand_in[b] for b in range(256))
 
-    def _encoded(self, model, words: list[str], lengths: list[int] | None = None) -> list[bytes]:
-        """The ids of each word; lengths, in bytes, of words that nothing changes tell the words' ends, else the library does."""
-        out, size = [], self.kind.itemsize
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of plain letters. They meet as one text; the lengths of their ids tell their ends."""
+        size = self.kind.itemsize
+        for k in range(0, len(words), 20_000):
+            text = " ".join(words[k:k + 20_000]).encode()
+            ids = np.array(self.bare.encode_batch_fast([codecs.charmap_decode(text, "strict", self.stand_ins)[0]], add_special_tokens=False)[0].ids, self.kind)
+            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+            until = np.append(blanks - np.arange(len(blanks)), len(text) - len(blanks))
+            ends = ((np.searchsorted(np.cumsum(self.length[ids]), until) + 1) * size).tolist()
+            data = ids.tobytes()
+            yield from [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _others(self, words: list[str]) -> Iterator[bytes]:
+        size = self.kind.itemsize
         for k in range(0, len(words), 20_000):
             some = words[k:k + 20_000]
-            if lengths is None:
-                made = model.encode(some, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(made.ids, self.kind)
-                ends = np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
-            else:
-                ids = np.array(model.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
-                ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(lengths[k:k + 20_000])) + 1
-            data, ends = ids.tobytes(), (ends * size).tolist()
-            out += [data[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def learn(self, words: list[str]) -> list[str]:
-        """Adds words; gives back those that are too long to be kept."""
-        letters = list(filter(LETTERS.fullmatch, words))
-        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_in) for w in letters]
-        self.update(zip(letters, self._encoded(self.bare, mapped, list(map(len, mapped)))))
-        rest = set(words).difference(letters)
+            made = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = (np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))) * size).tolist()
+            data = np.array(made.ids, self.kind).tobytes()
+            yield from [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _recall(self, words: set[str]) -> set[str]:
+        """The words that are not known; those known from before are words of late from here on."""
+        new = words.difference(self.late)
+        again = new & self.before.keys()
+        self.late.update(zip(again, map(self.before.__getitem__, again)))
+        return new - again
+
+    def learn(self, words: list[str]) -> None:
+        known, bare = self.late, [w.rstrip(MARKS) for w in words]
+        letters = set(filter(LETTERS.fullmatch, set(bare)))
+        new = list(self._recall(letters))
+        known.update(zip(new, self._letters(new)))
+        plain = list(map(letters.__contains__, bare))
+        marked = [w for w, a in zip(compress(words, plain), compress(bare, plain)) if len(a) < len(w)]
+        bare = [w.rstrip(MARKS) for w in marked]
+        marks = [w[len(a):] for w, a in zip(marked, bare)]
+        rest = set(words).difference(compress(words, plain))
         special = {w for w in rest if any(s in w for s in self.special)}
-        plain = [w for w in rest if w not in special]
-        self.update(zip(plain, self._encoded(self.model, plain)))
+        new = list(self._recall((rest - special).union(marks)))
+        known.update(zip(new, self._others(new)))
         for w in special:
-            self[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-        return [w for w in words if len(w) > KEPT_LENGTH]
+            known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        known.update(zip(marked, map(bytes.__add__, map(known.__getitem__, bare), map(known.__getitem__, marks))))
 
     def words_of(self, text: str) -> list[str]:
-        if LATIN.fullmatch(text):  # no special string either
-            return text.lower().split() if not ODD_BLANK.search(text) else WORD.findall(text.lower())
+        if not any(c in text for c in ODD_ASCII) if text.isascii() else LATIN.fullmatch(text):
+            return text.lower().split()
         return WORD.findall(text) if ODD_BLANK.search(text) else text.split()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         cut = [self.words_of(t) if t else [] for t in texts]
         wanted = set().union(*cut)
-        if len(self) + len(wanted) > KEPT:
-            self.clear()
-        long = self.learn(list(wanted - self.keys()))
+        if len(self.late) + len(wanted) > KEPT:
+            self.late, self.before = {}, self.late
+        new = self._recall(wanted)
+        self.learn(list(new))
+        known = self.late
         for words in cut:
-            yield b"".join(map(self.__getitem__, words))
-        for w in long:
-            del self[w]
+            yield b"".join(map(known.__getitem__, words))
+        for w in [w for w in new if len(w) > KEPT_LENGTH]:
+            a = w.rstrip(MARKS)
+            for piece in (w, a, w[len(a):]):
+                known.pop(piece, None)
 
 
-_words: dict[str, WordIds] = {}
+def words_for(path: str) -> WordIds:
+    """The table of a vocabulary file, kept by the Python worker from task to task.
 
+    It hangs on the library's module: where functions travel by value, the names of this module start afresh in each task.
+    """
+    import tokenizers
 
-def words_for(path: str) -> WordIds:
-    """The table of a vocabulary file, kept by the Python worker."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    kept = vars(tokenizers).setdefault("_cuegrid_word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 def raw_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

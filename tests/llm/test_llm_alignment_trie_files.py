@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from cuegrid.llm import alignment, id_files, prefix_trie
@@ -180,6 +181,29 @@ def test_words_are_encoded_as_whole_texts_are():
     assert [[*np.frombuffer(b, words.kind).tolist(), 2] for b in words.encode(texts)] == plain_ids(texts)
 
 
+def test_letters_are_encoded_once_whatever_follows_them(monkeypatch):
+    path, asked = public_tokenizers.path("word_bpe_49k.json"), []
+    words = id_files.WordIds(path)
+    letters = words._letters
+    monkeypatch.setattr(words, "_letters", lambda some: (asked.extend(some), letters(some))[1])
+    texts = ["Été été. été, été!!! été###", "été.,' thhewhor thhewhor", f"{'y' * 70}?! {'y' * 70}"]
+    for kept in (300_000, 2):
+        monkeypatch.setattr(id_files, "KEPT", kept)
+        assert [[*np.frombuffer(b, words.kind).tolist(), 2] for b in words.encode(texts)] == plain_ids(texts)
+    assert Counter(asked) == {"été": 1, "thhewhor": 1, "y" * 70: 2}
+
+
+def test_table_of_words_outlives_functions_that_travel_by_value():
+    cloudpickle.register_pickle_by_value(id_files)
+    try:
+        travelled = cloudpickle.dumps(id_files.words_for)
+    finally:
+        cloudpickle.unregister_pickle_by_value(id_files)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = cloudpickle.loads(travelled), cloudpickle.loads(travelled)
+    assert first is not second and first(path) is second(path)
+
+
 def test_documents_that_span_blocks_and_odd_rows(spark, tmp_path):
     rows = [(k, t) for k, t in enumerate(["the of " * 100_000, "", None, "a " * 140_000, "été, " * 3])] + [(None, "no id")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in reversed(rows)], "doc_id long, text string, part string").coalesce(1)
