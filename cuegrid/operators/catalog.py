@@ -290,16 +290,27 @@ def usage_ledger(tokens: DataFrame) -> DataFrame:
         "models", F.map_from_arrays(names, F.transform(names, count))).drop("_m")
 
 
-def valid_artifacts(wanted: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
+def valid_artifacts(wanted: DataFrame, manifest: DataFrame, files: DataFrame, per_task: int = 250_000) -> DataFrame:
     """Steps that can be reused: same fingerprint and every file present and non-empty.
 
     wanted: (media_id, name, fingerprint); manifest adds files ARRAY<STRING>;
-    files: (media_id, file, size_bytes).
+    files: (media_id, file, size_bytes). A task joins about per_task rows: with more rows than the
+    usual partitions hold at that rate, there are more partitions, not larger ones.
     """
-    same = manifest.join(wanted, ["media_id", "name", "fingerprint"], "left_semi")
+    rows = (manifest.select(F.greatest(F.size("files"), F.lit(1)).cast("long").alias("n")).unionByName(files.select(F.lit(1).cast("long").alias("n")))
+            .agg(F.sum("n")).first()[0] or 0)
+    tasks = -(-rows // per_task)
+    many = tasks > int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.repartition(tasks, *keys) if many else df
+
+    same_step, same_file = ["media_id", "name", "fingerprint"], ["media_id", "file"]
+    same = spread(manifest, same_step).join(spread(wanted.select(*same_step), same_step), same_step, "left_semi")
     listed = same.select("media_id", "name", F.explode_outer("files").alias("file"))
-    sized = listed.join(files, ["media_id", "file"], "left")
-    ok = sized.groupBy("media_id", "name").agg(F.bool_and(F.col("file").isNull() | (F.coalesce("size_bytes", F.lit(0)) > 0)).alias("ok"))
+    sized = spread(listed, same_file).join(spread(files, same_file), same_file, "left")
+    found = sized.select("media_id", "name", (F.col("file").isNull() | (F.coalesce("size_bytes", F.lit(0)) > 0)).alias("found"))
+    ok = spread(found, ["media_id", "name"]).groupBy("media_id", "name").agg(F.bool_and("found").alias("ok"))
     return ok.where("ok").select("media_id", "name")
 
 

@@ -153,7 +153,11 @@ STEPS = ("download", "transcript", "source_subtitle_mask", "translation", "dialo
 
 def _artifacts(spark, sf_dir):
     n = F.col("l_linenumber").cast("int")
-    a = views.table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.floor("l_quantity").cast("long").alias("q")).groupBy("l_orderkey", "n").agg(F.max("q").alias("q"))
+    lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.floor("l_quantity").cast("long").alias("q"))
+    tasks = -(-lines.count() // 250_000)  # the row count that the files' footers give; more rows make more tasks, not larger ones
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(tasks, "l_orderkey", "n")
+    a = lines.groupBy("l_orderkey", "n").agg(F.max("q").alias("q"))
     return a.select(F.col("l_orderkey").alias("media_id"), F.element_at(F.array(*[F.lit(s) for s in STEPS]), F.col("n") % 8 + 1).alias("name"), "n", "q")
 
 
