@@ -22,11 +22,9 @@ def source_dialogue(words: DataFrame, seq: Sequence = sequence.WORDS) -> DataFra
 
 def spoken_sentences(lines: DataFrame, media_end: DataFrame) -> DataFrame:
     """Display lines -> sentences with their speech plan and speaking window."""
-    phrases = cut(sequence.phrase_ids(lines))
-    plans = sequence.speech_plans(sequence.sentences_of(phrases), V.spoken_text(F.col("content")), media_end)
-    gaps = sequence.phrase_gaps(phrases).drop("phrase")
+    plans = sequence.planned(sequence.timed_sentences(lines, media_end), V.spoken_text(F.col("content")))
     window = M.speech_window_ms(F.col("target_ms"), F.col("deadline_ms"), F.col("pause_before_ms"), F.col("pause_after_ms"))
-    return plans.join(gaps, ["media_id", "utterance_id"]).withColumn("window_ms", window)
+    return plans.withColumn("window_ms", window)
 
 
 def dub_timing(sentences: DataFrame, clips: DataFrame | None = None) -> DataFrame:
@@ -47,7 +45,6 @@ def dub_timing(sentences: DataFrame, clips: DataFrame | None = None) -> DataFram
         "alignment_mode", F.lit("punctuated_sentence")).withColumnRenamed("shift_ms", "schedule_shift_ms")
 
 
-def aligned_lines(lines: DataFrame, timing: DataFrame) -> DataFrame:
-    """Display lines moved to the audio that speaks them."""
-    spoken = timing.select("media_id", F.col("utterance_id").alias("phrase"), "scheduled_start_ms", "fitted_ms", F.explode("cue_ids").alias("cue_id"))
-    return sequence.retime(cut(lines.select("media_id", "cue_id", "content").join(spoken, ["media_id", "cue_id"])))
+def aligned_lines(timing: DataFrame) -> DataFrame:
+    """Display lines moved to the audio that speaks them; timing is that of dub_timing."""
+    return sequence.retime_shares(timing)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions import text as X
 from cuegrid.functions import timing as M
-from cuegrid.plans.scan import Run, Sequence, islands, neighbours, numbered, paced, running
+from cuegrid.plans.scan import Run, Sequence, islands, neighbours, numbered, paced, running, sections
 from cuegrid.plans.store import cut
 
 CUES = Sequence(("media_id",), ("cue_id",), 16_384)
@@ -83,14 +83,40 @@ def hard_breaks(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 2800) -> Da
     return c.withColumn("hard_break", F.coalesce(hard, F.lit(False))).drop("_end", "_speaker")
 
 
+def _phrase_needs(done: Column) -> dict[str, Column]:
+    return {"start": F.col("start_ms"), "end": F.col("end_ms"), "speaker": F.col("speaker"), "done": done}
+
+
+def _opens_phrase(gap_ms: int):
+    return lambda p, c: p("done") | both_known_and_differ(p("speaker"), c("speaker")) | (c("start") - p("end") > gap_ms)
+
+
 def phrase_ids(cues: DataFrame, seq: Sequence = CUES, gap_ms: int = 800) -> DataFrame:
     """Add phrase: display lines joined until punctuation, speaker change or pause."""
-    return islands(
-        cues, seq,
-        {"start": F.col("start_ms"), "end": F.col("end_ms"), "speaker": F.col("speaker"), "done": X.ends_sentence(F.col("content"))},
-        lambda p, c: p("done") | both_known_and_differ(p("speaker"), c("speaker")) | (c("start") - p("end") > gap_ms),
-        out="phrase",
-    )
+    return islands(cues, seq, _phrase_needs(X.ends_sentence(F.col("content"))), _opens_phrase(gap_ms), out="phrase")
+
+
+def timed_sentences(lines: DataFrame, media_end: DataFrame, seq: Sequence = CUES, gap_ms: int = 800) -> DataFrame:
+    """Sentences of display lines with all that timing needs of their lines, in one pass over them.
+
+    The rows of sentences_of and phrase_gaps, next_ms (where the next sentence
+    starts, or media_end_ms), and line_shares: of each line its id and the
+    predicted length of the medium's lines before it and with it.
+    """
+    c = lines.select("media_id", "cue_id", "start_ms", "end_ms", "speaker", X.strip(F.col("content")).alias("content"),
+                     F.greatest(F.lit(1), M.predict_ms(F.col("content"))).alias("_w"))
+    c = sections(c, seq, _phrase_needs(F.col("content").rlike(X.SENTENCE_END)), _opens_phrase(gap_ms), out="phrase", first_flag="_first",
+                 prev={"_end": "end"}, next={"_next": "start"}, totals={"_upto": F.col("_w")}, per_key=media_end)
+    line = F.struct(
+        "cue_id", "start_ms", "end_ms", "speaker", "content", F.when(F.col("_first") == 0, F.col("start_ms") - F.col("_end")).alias("gap"),
+        F.coalesce("_next", "media_end_ms").alias("next"), F.struct("cue_id", (F.col("_upto") - F.col("_w")).alias("before"), F.col("_upto").alias("upto")).alias("share"))
+    s = c.groupBy("media_id", "phrase").agg(F.sort_array(F.collect_list(line)).alias("_l"))
+    first, last = F.col("_l")[0], F.element_at("_l", -1)
+    return s.select(
+        "media_id", "phrase", first["cue_id"].alias("utterance_id"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), first["speaker"].alias("speaker"),
+        F.array_join("_l.content", " ").alias("content"), F.col("_l.cue_id").alias("cue_ids"), last["next"].alias("next_ms"),
+        (last["end_ms"] - first["start_ms"]).alias("source_span_ms"), F.greatest(F.lit(0), F.coalesce(F.array_max("_l.gap"), F.lit(0))).alias("max_internal_gap_ms"),
+        F.size("_l").cast("long").alias("num_source_cues"), F.col("_l.share").alias("line_shares"))
 
 
 def sentences_of(phrased: DataFrame) -> DataFrame:
@@ -162,15 +188,20 @@ def speech_plans(utterances: DataFrame, spoken: Column, media_end: DataFrame, se
     """Timing plan per utterance; media_end is (media_id, media_end_ms)."""
     seq = Sequence(("media_id",), ("utterance_id",), seq_width)
     u = neighbours(utterances, seq, next={"_next": F.col("start_ms")}).join(media_end, "media_id", "left")
-    u = u.withColumn("spoken_text", spoken)
+    return planned(u.withColumn("next_ms", F.coalesce("_next", "media_end_ms")).drop("_next", "media_end_ms"), spoken)
+
+
+def planned(utterances: DataFrame, spoken: Column) -> DataFrame:
+    """Timing plan per utterance that knows where the next one starts (next_ms)."""
+    u = utterances.withColumn("spoken_text", spoken)
     u = u.withColumn("target_ms", F.greatest(F.lit(250), F.col("end_ms") - F.col("start_ms")))
-    u = u.withColumn("deadline_ms", F.greatest(F.col("target_ms"), F.coalesce(F.col("_next"), F.col("media_end_ms")) - F.col("start_ms")))
+    u = u.withColumn("deadline_ms", F.greatest(F.col("target_ms"), F.col("next_ms") - F.col("start_ms")))
     u = u.withColumn("predicted_ms", M.predict_ms(F.col("spoken_text")))
     return (
         u.withColumn("emotion", M.emotion(F.col("content")))
         .withColumn("pace", M.pace(F.col("predicted_ms"), F.col("target_ms")))
         .withColumn("pause_before_ms", F.lit(0)).withColumn("pause_after_ms", M.pause_after_ms(F.col("spoken_text")))
-        .drop("_next", "media_end_ms")
+        .drop("next_ms")
     )
 
 
@@ -201,14 +232,29 @@ def retime(lines: DataFrame, seq_width: int = 16_384) -> DataFrame:
     whole = lines.withColumn("_w", F.greatest(F.lit(1), M.predict_ms(F.col("content")))).groupBy("media_id", "phrase").agg(
         F.sum("_w").alias("_all"), F.count("*").alias("_n"), F.max("cue_id").alias("_last"))
     c = c.join(whole, ["media_id", "phrase"])
+    return _retimed(c).drop("_w", "_upto", "_before", "_all", "_n", "_last")
+
+
+def _retimed(c: DataFrame) -> DataFrame:
     span = F.greatest(F.col("_n"), F.col("fitted_ms"))
     base = F.col("scheduled_start_ms")
     start = base + M.rounded(span * F.col("_before") / F.col("_all"))
     end = F.when(F.col("cue_id") == F.col("_last"), base + span).otherwise(base + M.rounded(span * F.col("_upto") / F.col("_all")))
-    return (
-        c.withColumn("aligned_start_ms", start)
-        .withColumn("aligned_end_ms", F.greatest(F.col("aligned_start_ms") + 1, end)).drop("_w", "_upto", "_before", "_all", "_n", "_last")
-    )
+    return c.withColumn("aligned_start_ms", start).withColumn("aligned_end_ms", F.greatest(F.col("aligned_start_ms") + 1, end))
+
+
+def retime_shares(sentences: DataFrame) -> DataFrame:
+    """retime from the line_shares of timed_sentences: rows of sentences become rows of lines, and no line is looked up.
+
+    sentences are (media_id, utterance_id, line_shares, scheduled_start_ms, fitted_ms).
+    """
+    shares = F.col("line_shares")
+    first, last = shares[0], F.element_at(shares, -1)
+    c = sentences.select(
+        "media_id", "utterance_id", "scheduled_start_ms", "fitted_ms", F.size(shares).cast("long").alias("_n"), first["before"].alias("_from"),
+        (last["upto"] - first["before"]).alias("_all"), last["cue_id"].alias("_last"), F.explode(shares).alias("_s"))
+    c = c.withColumns({"cue_id": F.col("_s.cue_id"), "_before": F.col("_s.before") - F.col("_from"), "_upto": F.col("_s.upto") - F.col("_from")})
+    return _retimed(c).select("media_id", "utterance_id", "cue_id", "scheduled_start_ms", "fitted_ms", "aligned_start_ms", "aligned_end_ms")
 
 
 def phrase_gaps(cues: DataFrame, seq_width: int = 16_384) -> DataFrame:

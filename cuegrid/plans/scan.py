@@ -194,6 +194,64 @@ def islands(
     return rows.drop(CHUNK, "_is_c", "_is_p", "_is_f", "_is_r", "_is_head", "_is_off")
 
 
+def sections(
+    df: DataFrame,
+    seq: Sequence,
+    need: Mapping[str, Column],
+    starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    out: str = "island",
+    first_flag: str = "first",
+    prev: Mapping[str, str] | None = None,
+    next: Mapping[str, str] | None = None,
+    totals: Mapping[str, Column] | None = None,
+    per_key: DataFrame | None = None,
+) -> DataFrame:
+    """Islands with neighbours and running totals: the rows move, are sorted and are stored once.
+
+    prev and next name values of need to be taken from the row before or after
+    (null at either end of the key), totals run from the start of the key.
+    The columns of per_key, one row a key, are added to every row. A chunk is
+    summed up by its first and last row alone, read from the stored rows.
+    """
+    prev, next, totals = dict(prev or {}), dict(next or {}), dict(totals or {})
+
+    def test(before: str, here: str) -> Column:
+        hit = starts(lambda n: F.col(f"{before}.{n}"), lambda n: F.col(f"{here}.{n}"))
+        return F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)
+
+    w = seq.local()
+    upto = w.rowsBetween(*FIRST_TO_HERE)
+    rows = seq.with_chunk(df).withColumn("_se_c", F.struct(*[e.alias(a) for a, e in need.items()]))
+    rows = rows.withColumns({f"_se_v_{a}": e for a, e in totals.items()})
+    rows = rows.withColumns({"_se_p": F.lag("_se_c").over(w), "_se_n": F.lead("_se_c").over(w)})
+    opens, closes = F.col("_se_p").isNull(), F.col("_se_n").isNull()
+    rows = rows.withColumn("_se_f", F.when(opens, 0).otherwise(test("_se_p", "_se_c")))
+    rows = rows.withColumns({"_se_r": F.sum("_se_f").over(upto), **{f"_se_h_{a}": F.sum(f"_se_v_{a}").over(upto) for a in totals}})
+    near = {f"_se_b_{a}": F.col(f"_se_p.{n}") for a, n in prev.items()} | {f"_se_a_{a}": F.col(f"_se_n.{n}") for a, n in next.items()}
+    rows = rows.withColumns({"_se_opens": opens, "_se_closes": closes, **near}).withColumn("_se_c", F.when(opens | closes, F.col("_se_c")))
+    rows = cut(rows.drop("_se_p", "_se_n", *[f"_se_v_{a}" for a in totals]))
+
+    ends = rows.where("_se_opens or _se_closes").groupBy(*seq.chunk_keys).agg(
+        F.max(F.when(F.col("_se_opens"), F.col("_se_c"))).alias("_se_first"), F.max(F.when(F.col("_se_closes"), F.col("_se_c"))).alias("_se_last"),
+        F.max("_se_r").alias("_se_k"), *[F.max(F.when(F.col("_se_closes"), F.col(f"_se_h_{a}"))).alias(f"_se_t_{a}") for a in totals])
+    before = seq.chain().rowsBetween(*FIRST_TO_BEFORE)
+    chain = ends.withColumns({"_se_before": F.lag("_se_last").over(seq.chain()), "_se_after": F.lead("_se_first").over(seq.chain())})
+    chain = chain.withColumn("_se_head", F.when(F.col("_se_before").isNull(), 1).otherwise(test("_se_before", "_se_first")))
+    chain = chain.select(
+        *seq.chunk_keys, "_se_head", "_se_before", "_se_after",
+        (F.sum("_se_head").over(seq.chain().rowsBetween(*FIRST_TO_HERE)) + F.coalesce(F.sum("_se_k").over(before), F.lit(0))).alias("_se_off"),
+        *[F.coalesce(F.sum(f"_se_t_{a}").over(before), F.lit(0)).alias(f"_se_o_{a}") for a in totals])
+    if per_key is not None:
+        chain = chain.join(per_key, list(seq.keys), "left")
+    rows = _join_chain(rows, chain, seq)
+    rows = rows.withColumns({
+        out: F.col("_se_off") + F.col("_se_r"), first_flag: F.when(F.col("_se_opens"), F.col("_se_head")).otherwise(F.col("_se_f")),
+        **{a: F.when(F.col("_se_opens"), F.col(f"_se_before.{n}")).otherwise(F.col(f"_se_b_{a}")) for a, n in prev.items()},
+        **{a: F.when(F.col("_se_closes"), F.col(f"_se_after.{n}")).otherwise(F.col(f"_se_a_{a}")) for a, n in next.items()},
+        **{a: F.col(f"_se_o_{a}") + F.coalesce(F.col(f"_se_h_{a}"), F.lit(0)) for a in totals}})
+    return rows.drop(CHUNK, *[c for c in rows.columns if c.startswith("_se_")])
+
+
 def numbered(df: DataFrame, seq: Sequence, out: str) -> DataFrame:
     """1-based position inside the key."""
     return running(df, seq, {out: Run("sum", F.lit(1).cast("long"))})
