@@ -6,10 +6,10 @@ j share. Byte offsets where both end a token cut the tokens into groups; with gr
 tokens that share a group. Matrices are CSR arrays built here; `product` is Gustavson's row-by-row product.
 
 Neither tokenizer joins what stands on both sides of a lone blank, so a text is cut there into chunks, and each distinct chunk
-is aligned once per block of documents. A block is a row: chunk numbers by document and pair numbers by chunk (both CSR), the pairs of
-ids with their counts, and what each document has of its own. Only the pairs are exploded: their counts are summed over the
-corpus, compared with the highest of their B id, and joined back to the blocks in which they occur, where two sparse products with a vector
-give the documents' sums. No text and no link is shuffled.
+is aligned once per block of documents. A block is a run of rows of bounded size: the pairs of ids with their counts, pair numbers by
+chunk, and chunk numbers by document (both CSR) with what each document has of its own. Only the pairs are exploded: their counts are
+summed over the corpus, compared with the highest of their B id, and sorted back before the rows of the blocks in which they occur, where
+two sparse products with a vector give the documents' sums, row by row. No text and no link is shuffled.
 
 Defined results: texts that are null, empty, or whose tokens of A or of B do not spell blank + text (B reads U+2581 as a blank) have no
 tokens: zeros, and '' for the groups. They add nothing to the counts. Strings of special tokens are plain text. Rows are aligned each
@@ -38,6 +38,10 @@ from cuegrid.plans.store import as_table
 #: A block ends with the document that brings it to so many characters, or to so many distinct chunks.
 BLOCK_CHARS = 8_000_000
 BLOCK_CHUNKS = 200_000
+#: A row of a block holds about so many numbers; more only of a single chunk or document. Parquet buffers rows by hundreds unless told to look at each.
+SEGMENT = 65_536
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+PAIRS, CHUNKS, DOCS = range(3)
 #: Chunks that are encoded in one go.
 TOGETHER = 10_000
 #: A blank beside other white space; other kinds of white space are searched for.
@@ -120,8 +124,13 @@ class Aligner:
         ids = range(max(len(names), len(pieces)))
         #: An id as text, and what follows it inside and at the end of its side of a group.
         self.names = {mark: np.array([f"{i}{mark}" for i in ids], object) for mark in ",|;"}
+        self.paths = path_a, path_b
         self.clear()
 
+    def __reduce__(self):
+        """Travels as its files: a copied tokenizer would match the strings of special tokens again."""
+        return Aligner, self.paths
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.texts: list[str | None] = []
@@ -222,16 +231,25 @@ def links(text: Column, path_a: str | None = None, path_b: str | None = None) ->
     return F.pandas_udf(rows, "array<struct<a:int,b:int,id_a:int,id_b:int,n_bytes:int,start:int,end:int>>")(text)
 
 
-BLOCK = ("part int, block int, doc_id array<long>, " + ", ".join(f"{f} array<long>" for f in FACTS) + ", groups_sha256 array<string>, "
-         "doc_stops binary, doc_chunks binary, chunk_stops binary, chunk_pairs binary, a array<int>, b array<int>, n array<long>")
-LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-BLOCK_TYPES = [pa.int32(), pa.int32(), LONGS, *[LONGS] * len(FACTS), pa.list_(pa.string()), *[pa.binary()] * 4, INTS, INTS, LONGS]
+OF_DOC = {"doc_id": pa.int64(), **dict.fromkeys(FACTS, pa.int64()), "groups_sha256": pa.string()}
+#: Rows of a block: those of pairs hold a, b and n, the others lengths and entries of a CSR matrix, and those of documents also docs. `first` numbers the rows of its kind.
+BLOCK = ("part int, block int, kind int, first int, a array<int>, b array<int>, n array<long>, lengths binary, entries binary, "
+         "docs array<struct<" + ", ".join(f"{k}: {'string' if t == pa.string() else 'long'}" for k, t in OF_DOC.items()) + ">>")
+INTS = pa.list_(pa.int32())
+BLOCK_TYPES = {"part": pa.int32(), "block": pa.int32(), "kind": pa.int32(), "first": pa.int32(), "a": INTS, "b": INTS, "n": pa.list_(pa.int64()),
+               "lengths": pa.binary(), "entries": pa.binary(), "docs": pa.list_(pa.struct(OF_DOC))}
+
+
+def segments(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive runs of about SEGMENT in size."""
+    if len(sizes):
+        edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SEGMENT)) + 1
+        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)])
 
 
 def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """The documents as blocks, as the module's docstring describes them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    names = [f.split()[0] for f in BLOCK.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
@@ -241,21 +259,32 @@ def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
         by_doc: list[np.ndarray] = []
         digests: list[str] = []
 
-        def row() -> pa.RecordBatch:
+        def row(kind: int, first: int, **values) -> pa.RecordBatch:
+            values |= {"part": part, "block": block, "kind": kind, "first": first}
+            return pa.RecordBatch.from_arrays([v if isinstance(v := values.get(k), pa.Array) else pa.array([v], t) for k, t in BLOCK_TYPES.items()], list(BLOCK_TYPES))
+
+        def whole() -> Iterator[pa.RecordBatch]:
             facts = np.concatenate([*own.facts, np.zeros((0, len(FACTS)), np.int64)])
             stops = offsets(facts[:, 3])
             keys, pair = np.unique(np.concatenate([*own.keys, np.zeros(0, np.int64)]), return_inverse=True)
-            doc_stops, flat = offsets(np.array([len(x) for x in by_doc])), np.concatenate([*by_doc, np.zeros(0, np.int32)])
-            sums = np.stack([totals(facts[:, k], doc_stops, flat) for k in range(len(FACTS))])
+            own.clear()
+            lengths = np.array([len(x) for x in by_doc])
+            doc_stops, flat = offsets(lengths), np.concatenate([*by_doc, np.zeros(0, np.int32)])
             times = np.bincount(flat, minlength=len(facts))
             n = np.bincount(pair, np.repeat(times, facts[:, 3]), len(keys)).astype(np.int64)
             used = np.flatnonzero(n)
             place = np.zeros(len(keys), np.int32)
             place[used] = np.arange(len(used))
-            values = [part, block, ids, *sums.tolist(), digests, doc_stops.tobytes(), flat.astype(np.int32).tobytes(), stops.tobytes(), place[pair].astype(np.int32).tobytes(),
-                      (keys[used] >> 32).astype(np.int32), (keys[used] & 0xFFFFFFFF).astype(np.int32), n[used]]
-            own.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, BLOCK_TYPES)], names)
+            a, b, n = (keys[used] >> 32).astype(np.int32), (keys[used] & 0xFFFFFFFF).astype(np.int32), n[used]
+            for s in range(0, len(used), SEGMENT):
+                yield row(PAIRS, s, a=a[s:s + SEGMENT], b=b[s:s + SEGMENT], n=n[s:s + SEGMENT])
+            for s, e in segments(facts[:, 3] + 1):
+                yield row(CHUNKS, s, lengths=facts[s:e, 3].astype(np.int32).tobytes(), entries=place[pair[stops[s]:stops[e]]].astype(np.int32).tobytes())
+            for s, e in segments(lengths + 4 * len(OF_DOC)):
+                docs_, stops_ = flat[doc_stops[s]:doc_stops[e]], doc_stops[s:e + 1] - doc_stops[s]
+                sums = [totals(facts[:, k], stops_, docs_) for k in range(len(FACTS))]
+                of_doc = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip([ids[s:e], *sums, digests[s:e]], OF_DOC.values())], list(OF_DOC))
+                yield row(DOCS, s, lengths=lengths[s:e].astype(np.int32).tobytes(), entries=docs_.astype(np.int32).tobytes(), docs=pa.ListArray.from_arrays([0, e - s], of_doc))
 
         for batch in batches:
             if batch.num_rows:
@@ -274,10 +303,10 @@ def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
                 ids += id_of[done:done + len(some)]
                 done += len(some)
                 if chars >= BLOCK_CHARS or len(own.at) >= BLOCK_CHUNKS:
-                    yield row()
+                    yield from whole()
                     block, chars, ids, by_doc, digests = block + 1, 0, [], [], []
         if ids:
-            yield row()
+            yield from whole()
         own.clear()
 
     return rows.mapInArrow(cut, BLOCK)
@@ -291,30 +320,47 @@ def totals(value: np.ndarray, stops: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_shared: one row for each row of docs."""
-    blocks = as_table(blocks_of(docs, path_a, path_b), "alignment-blocks")
+    blocks = as_table(blocks_of(docs, path_a, path_b), "alignment-blocks", **SMALL_GROUPS)
     where = ["part", "block"]
-    pairs = blocks.select(*where, F.posexplode(F.arrays_zip("a", "b", "n")).alias("place", "p")).select(*where, "place", "p.a", "p.b", "p.n")
+    of_pairs = blocks.where(F.col("kind") == PAIRS).select(*where, "first", F.posexplode(F.arrays_zip("a", "b", "n")).alias("at", "p"))
+    pairs = of_pairs.select(*where, (F.col("first") + F.col("at")).alias("first"), "p.a", "p.b", "p.n")
     counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     # a row for each id of B, which its vocabulary bounds
     best = counts.groupBy(F.col("b").alias("best_b")).agg(F.max("count").alias("most"))
     judged = counts.join(best, F.col("b") == F.col("best_b")).select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    back = (pairs.select(*where, "place", "a", "b").join(judged, ["a", "b"])
-            .groupBy(*where).agg(F.array_sort(F.collect_list(F.struct("place", "count", "best"))).alias("judged"))
-            .select(*where, F.col("judged.count").alias("counts"), F.col("judged.best").alias("bests")))
-    met = blocks.drop("a", "b", "n").join(back, where, "left")
-    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_shared"]
+    back = pairs.drop("n").join(judged, ["a", "b"]).select(*where, F.lit(PAIRS).alias("kind"), "first", "count", F.col("best").cast("long").alias("best"))
+    # no row of a block meets the whole of it: its judged pairs, chunks and documents pass one after another
+    met = (blocks.where(F.col("kind") != PAIRS).drop("a", "b", "n").unionByName(back, allowMissingColumns=True)
+           .repartition(*where).sortWithinPartitions(*where, "kind", "first"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = {k: batch.column(k)[i] for k in batch.schema.names}
-                doc_stops, chunk_stops = (np.frombuffer(own[k].as_buffer(), np.int64) for k in ("doc_stops", "chunk_stops"))
-                doc_chunks, chunk_pairs = (np.frombuffer(own[k].as_buffer(), np.int32) for k in ("doc_chunks", "chunk_pairs"))
-                known = own["counts"].is_valid
-                count = own["counts"].values.to_numpy() if known else np.zeros(1, np.int64)
-                best = own["bests"].values.to_numpy(zero_copy_only=False).astype(np.int64) if known else np.zeros(1, np.int64)
-                sums = [pa.array(totals(totals(v, chunk_stops, chunk_pairs), doc_stops, doc_chunks), pa.int64()) for v in (best, count)]
-                yield pa.RecordBatch.from_arrays([*[own[k].values for k in kept], *sums], [*kept, "n_best", "count_sum"])
-
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_shared long, n_best long, count_sum long"
+        block = None
+        for batch in filter(lambda x: x.num_rows, batches):
+            keys = np.stack([batch.column(k).to_numpy() for k in (*where, "kind")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                kind = int(keys[2, s])
+                if tuple(keys[:2, s]) != block:
+                    block = tuple(keys[:2, s])
+                    # best and count by pair and, made of these, by chunk
+                    judged_, by_chunk = ([], []), ([], [])
+                if kind == PAIRS:
+                    for v, k in zip(judged_, ("best", "count")):
+                        v.append(batch.column(k).slice(s, e - s).to_numpy(zero_copy_only=False).astype(np.int64))
+                    continue
+                for i in range(s, e):
+                    lengths, entries = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) for k in ("lengths", "entries"))
+                    known = judged_ if kind == CHUNKS else by_chunk
+                    for v in known:
+                        if len(v) != 1:
+                            v[:] = [np.concatenate([*v, np.zeros(1, np.int64)])]
+                    sums = [totals(v[0], offsets(lengths), entries) for v in known]
+                    if kind == CHUNKS:
+                        for v, x in zip(by_chunk, sums):
+                            v.append(x)
+                        continue
+                    of_doc = dict(zip(OF_DOC, batch.column("docs")[i].values.flatten()))
+                    yield pa.RecordBatch.from_arrays([*of_doc.values(), *(pa.array(x, pa.int64()) for x in sums)], [*of_doc, "n_best", "count_sum"])
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups_sha256 string, n_best long, count_sum long"
     return met.mapInArrow(finish, schema).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark import cloudpickle
@@ -82,6 +83,29 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert Counter(map(tuple, alignment.aligned(docs).collect())) == want
 
 
+def test_small_rows_of_blocks_change_nothing(spark, monkeypatch):
+    rows = list(enumerate(odd_texts(800, 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(alignment, "SEGMENT", 100)
+    assert Counter(tuple(r)[:8] for r in alignment.aligned(docs).collect()) == plain_alignment(rows)
+    # the tokens of one chunk spell it, but not those of the text
+    rows = [(1, "the \u2581"), (2, ""), (3, None)]
+    assert Counter(tuple(r)[:8] for r in alignment.aligned(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_alignment(rows)
+
+
+def test_blocks_are_rows_of_bounded_size(spark, monkeypatch):
+    """Whatever a block holds, its rows, and the row groups of the table, which writers and readers hold whole, do not grow with it."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k % 5_003}" for k in range(i, i + 20_000))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    tables, written = [], alignment.as_table
+    monkeypatch.setattr(alignment, "as_table", lambda *a, **b: tables.append(written(*a, **b)) or tables[-1])
+    assert alignment.aligned(docs).count() == 60
+    sizes = {"binary": lambda v: len(v) // 4, "array": len}
+    kinds = {c: k.split("<")[0] for c, k in tables[0].dtypes}
+    assert max(sizes[kinds[c]](r[c]) for r in tables[0].collect() for c in kinds if kinds[c] in sizes and r[c] is not None) <= 100_000
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in tables[0].inputFiles()]
+    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 20 << 20
+
+
 def test_gustavson_product_and_links(spark):
     rng = np.random.default_rng(3)
     for _ in range(20):
