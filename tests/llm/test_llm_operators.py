@@ -266,6 +266,18 @@ def test_forms_beyond_the_base_rules_are_found(spark, docs_of):
         assert pii.all_spans(text, model) == ([], []), text
 
 
+def test_every_whole_text_is_learnt_with_a_generated_case(docs_of):
+    words = [f"w{k}x" for k in range(300)]
+    places = set()
+    for seed in range(60):
+        made = pii.planted(" ".join(words), seed).split(" ")
+        assert [w for w in made if w in set(words)] == words
+        places.add(next(k for k, w in enumerate([*made, ""]) if k == len(words) or w != words[k]))
+    assert max(places) > 200
+    docs = docs_of([(i, f"{'word ' * (i % 40)}word", None, None) for i in range(1_100)])
+    assert sum(r["n"] for r in pii._examples(docs).where("label = 1").collect()) >= 1_100
+
+
 # ---- language and toxicity: held-out accuracy
 
 def invented(language, n, seed):
