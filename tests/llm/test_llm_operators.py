@@ -278,6 +278,16 @@ def test_every_whole_text_is_learnt_with_a_generated_case(docs_of):
     assert sum(r["n"] for r in pii._examples(docs).where("label = 1").collect()) >= 1_100
 
 
+def test_texts_of_both_halves_fit_and_calibrate(spark, docs_of):
+    """Addresses of one half only: neither half is left out of the trees or of the thresholds."""
+    made = [(i, f"a host {1 + i % 200}.{i % 250}.{i % 99}.{1 + i % 90} of {i} answers", None, None) for i in range(300)]
+    halves = {r["doc_id"]: r["half"] for r in docs_of(made).select("doc_id", F.expr("pmod(xxhash64(doc_id, text), 2)").alias("half")).collect()}
+    for half in (0, 1):
+        model = pii.train(docs_of([r for r in made if halves[r[0]] == half] + [(1_000 + i, f"word {i} word", None, None) for i in range(300)]))
+        assert model.least["ip"] < float("inf")
+        assert model.trees.margin(np.array([pii.features("a host 10.20.30.40 answers", pii.Span("ip", 7, 18))], float))[0] > 0
+
+
 # ---- language and toxicity: held-out accuracy
 
 def invented(language, n, seed):
